@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality_classifier, quality_rules, simhash, toxicity
+from . import license_scan, packing, piece_sampling, quality_classifier, quality_rules, simhash, substring, topk, toxicity, warc_pages
 from .common import crc_mod, table
 
 
@@ -32,10 +32,91 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
+def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = substring.deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return got.select("_row.doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    got = license_scan.scan(docs, license_scan.train(docs))
+    return got.select("doc_id", F.col("paragraph").cast("long").alias("paragraph"), "family", "confirmed")
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = warc_pages.round_trip(table(spark, sf_dir, "pages"))
+    return got.select("page_id", "payload_bytes", _hex(F.col("payload_digest")).alias("payload_digest"), "record_type", "refers_to")
+
+
+def _hex(digest):
+    """``sha1:BASE32`` -> lower-case hex, in the JVM: each 4 letters are 5 hex digits."""
+    letters = F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
+    groups = []
+    for i in range(8):
+        number = F.lit(0)
+        for j in range(4):
+            number = number * 32 + F.instr(letters, F.substring(digest, 6 + 4 * i + j, 1)) - 1
+        groups.append(F.lpad(F.hex(number), 5, "0"))
+    return F.lower(F.concat(*groups))
+
+
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", piece_sampling.digest(F.col("text"), F.col("doc_id")).alias("d")).select("doc_id", "d.*")
+
+
+#: Exact, by the definition of the query: integer inner products of all pairs of a query and another row.
+OP1_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, d.vec_id AS vec_id, CAST(list_sum(list_transform(list_zip(q.e, d.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v q JOIN v d ON q.vec_id <> d.vec_id WHERE q.vec_id % 100 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
+#: Windows of 35 words as lists, counted over all documents.
+OP2_SQL = """
+WITH w AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+s AS (SELECT r, unnest(range(1, len(ws) - 33)) AS i, ws FROM w WHERE len(ws) >= 35),
+k AS (SELECT r, i, md5(array_to_string(ws[i:i + 34], ' ')) AS h FROM s),
+d AS (SELECT h FROM k GROUP BY h HAVING count(*) > 1),
+c AS (SELECT DISTINCT r, unnest(range(i, i + 35)) AS j FROM k SEMI JOIN d USING (h)),
+g AS (SELECT r, list(j) AS js FROM c GROUP BY r),
+x AS (SELECT w.doc_id, w.ws, coalesce(g.js, []) AS js FROM w LEFT JOIN g USING (r))
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(js) AS BIGINT) AS n_removed,
+  sha256(array_to_string(list_filter(ws, lambda e, i: NOT list_contains(js, i)), ' ')) AS kept_sha256
+FROM x
+"""
+
+OP9_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, sha1(html) AS payload_digest, html FROM p),
+l AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY html) END AS last FROM d)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN last IS NULL OR page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> last THEN last END AS refers_to
+FROM l
+"""
+
+
 def queries() -> dict:
-    found = [op4_quality_classifier, op6_toxicity, op7_simhash_near_dedup, op8_quality_rules]
+    found = [
+        op1_topk_search, op2_substring_dedup, op3_packing, op4_quality_classifier, op5_license_scan,
+        op6_toxicity, op7_simhash_near_dedup, op8_quality_rules, op9_warc, op10_sentencepiece,
+    ]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_topk_search": OP1_SQL, "op2_substring_dedup": OP2_SQL, "op9_warc": OP9_SQL}

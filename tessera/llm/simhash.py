@@ -221,3 +221,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     whole = named.join(groups, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
     whole = whole.withColumn("component_id", F.when(F.col("component_id") >= _NO_ID - (1 << 40), None).otherwise(F.col("component_id")))
     return marked.join(whole, "fp", "left").select(F.col("_id").alias(id_col), "fp", "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = 42, bits: int = BITS_APART) -> DataFrame:
+    """One document of each component, the one with the least id, in the documents' own columns.
+
+    A repeated row is a copy like any other: of rows that share the least id, one stays.  Of a component
+    whose documents have no id at all, one stays.
+    """
+    key = F.struct(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("id"), F.monotonically_increasing_id().alias("n"))
+    numbered = stored(docs.select(F.struct("*").alias("_row"), fingerprints(F.col(text_col), shingle, seed).alias("fp"), key.alias("_key")), "numbered")
+    distinct = stored(numbered.groupBy("fp").agg(F.min("_key").alias("key")), "first")
+    groups = components(link(distinct.select(F.col("key.n").alias("node"), "fp"), bits))
+    whole = distinct.select("fp", F.col("key.id").alias("id"), F.col("key.n").alias("node")).join(groups, "node", "left")
+    first = whole.groupBy(F.coalesce("component", "node").alias("c")).agg(F.min(F.struct("id", F.col("node").alias("n"))).alias("_key")).select("_key")
+    return numbered.join(first, "_key").select("_row.*")
