@@ -70,11 +70,13 @@ class FmIndex:
         weight = np.concatenate([np.repeat(np.asarray(weights, np.int64), size), [0]])
         self.weight = np.concatenate([[0], np.cumsum(weight[order])])
 
-    def matches(self, stream: np.ndarray, ends: np.ndarray, length: int, least: int = 2) -> np.ndarray:
+    def matches(self, stream: np.ndarray, ends: np.ndarray, length: int, least: int = 2, indexed: bool = False) -> np.ndarray:
         """Capped matching statistics: for each end place in ``stream`` (word ids, -1: not in the index), the weighted
         number of occurrences of the ``length`` words that end there, or 0 as soon as a suffix of them has fewer than ``least``.
 
-        Backward search of all ends in step; an end whose interval grows too light is dropped.
+        Backward search of all ends in step; an end whose interval grows too light is dropped.  If the streamed
+        sequences are themselves in the index (``indexed``), an interval of one suffix is the words' own occurrence and
+        stays it, so the search of that end is over.
         """
         out = np.zeros(len(ends), np.int64)
         live = np.arange(len(ends))
@@ -87,6 +89,12 @@ class FmIndex:
             both = start + self.matrix.rank(np.concatenate([word, word]), np.concatenate([low, high])).reshape(2, -1)
             heavy = self.weight[both[1]] - self.weight[both[0]] >= least
             live, low, high = live[heavy], both[0][heavy], both[1][heavy]
+            if indexed:
+                wide = high - low > 1
+                if not wide.all():
+                    own = ~wide
+                    out[live[own]] = self.weight[high[own]] - self.weight[low[own]]
+                    live, low, high = live[wide], low[wide], high[wide]
             if not len(live):
                 return out
         out[live] = self.weight[high] - self.weight[low]

@@ -38,6 +38,8 @@ from .fm_index import FmIndex
 WINDOW = 35
 GRAM = 12
 SHARD_WORDS = 400_000
+#: Rows whose Python objects a worker holds at a time.
+_ROWS = 500
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _BASE = np.uint64(0xD6E8FEB86659FD93)
 
@@ -83,7 +85,7 @@ def segments(words: list[bytes], window: int, gram: int) -> tuple[np.ndarray, np
 
 def _streamed(window: int, gram: int):
     def run(batches):
-        for batch in batches:
+        for batch in (b.slice(i, _ROWS) for b in batches for i in range(0, b.num_rows, _ROWS)):
             out = [[] for _ in range(7)]
             for id_, h, text in zip(batch.column("_id").to_pylist(), batch.column("_h").to_pylist(), batch.column("_text"), strict=True):
                 words = (text.as_py() or b"").split()
@@ -107,7 +109,7 @@ def _fetched(window: int):
     """Documents with the segments asked of them -> those segments' words."""
 
     def run(batches):
-        for batch in batches:
+        for batch in (b.slice(i, _ROWS) for b in batches for i in range(0, b.num_rows, _ROWS)):
             rows = []
             for text, asked in zip(batch.column("_text"), batch.column("asked"), strict=True):
                 words = text.as_py().split()
@@ -118,8 +120,9 @@ def _fetched(window: int):
     return run
 
 
-def count_windows(indexed: list[tuple[bytes, int]], streamed: list[bytes], window: int, least: int = 2) -> list[np.ndarray]:
-    """For each streamed text, the (weighted) number of occurrences of each of its windows among the indexed ones."""
+def count_windows(indexed: list[tuple[bytes, int]], streamed: list[bytes], window: int, least: int = 2, own: bool = False) -> list[np.ndarray]:
+    """For each streamed text, the (weighted) number of occurrences of each of its windows among the indexed ones.
+    ``own``: the streamed texts are the indexed ones."""
     ids: dict[bytes, int] = {}
     sequences = [np.fromiter((ids.setdefault(w, len(ids)) for w in text.split(b" ")), np.int64) for text, _ in indexed]
     index = FmIndex(sequences, np.array([w for _, w in indexed], np.int64), len(ids))
@@ -127,7 +130,7 @@ def count_windows(indexed: list[tuple[bytes, int]], streamed: list[bytes], windo
     size = np.fromiter(map(len, streams), np.int64, len(streams))
     begin = np.cumsum(size) - size
     ends = np.concatenate([np.arange(b + window - 1, b + s) for b, s in zip(begin, size, strict=True)])
-    found = index.matches(np.concatenate(streams), ends, window, least)
+    found = index.matches(np.concatenate(streams), ends, window, least, own)
     return np.split(found, np.cumsum(size - window + 1)[:-1])
 
 
@@ -138,7 +141,7 @@ def _searched(window: int, shard_words: int):
     def shard(rows: list[tuple]) -> pa.RecordBatch:
         crowded = rows[0][3] > 1
         texts = [r[5] for r in rows]
-        found = count_windows([(r[5], r[2]) for r in rows if r[6]], texts, window, 1 if crowded else 2)
+        found = count_windows([(r[5], r[2]) for r in rows if r[6]], texts, window, 1 if crowded else 2, own=not crowded)
         out = [(r[0], r[1], r[4], np.minimum(c, 2).astype(np.uint8).tobytes()) for r, c in zip(rows, found, strict=True) if c.any()]
         return pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], f.type) for i, f in enumerate(kind)], schema=kind)
 
@@ -185,7 +188,8 @@ def _applied(window: int):
 
     @F.arrow_udf("n_words long, n_removed long, spans array<struct<start: long, end: long>>, kept string")
     def udf(text: pa.Array, found: pa.Array) -> pa.Array:
-        return pa.array([one(t.as_py(), f.as_py()) for t, f in zip(text, found, strict=True)], kind)
+        part = lambda i: pa.array([one(t.as_py(), f.as_py()) for t, f in zip(text.slice(i, _ROWS), found.slice(i, _ROWS), strict=True)], kind)
+        return pa.concat_arrays([part(i) for i in range(0, len(text), _ROWS)]) if len(text) else pa.array([], kind)
 
     return udf
 

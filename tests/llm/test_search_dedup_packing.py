@@ -120,6 +120,9 @@ def test_fm_index_counts():
         want.append(sum(w for s, w in zip(sequences, weights) for i in range(len(s) - 3) if list(s[i : i + 4]) == pattern))
     got = index.matches(stream, ends, 4, least=1)
     assert got.tolist() == want
+    inside = np.concatenate([np.arange(e - len(s) + 3, e) for s, e in zip(sequences, np.cumsum([len(s) for s in sequences]))])
+    again = index.matches(np.concatenate(sequences), inside, 4, least=1, indexed=True)
+    assert again.tolist() == [want[e - 3] for e in inside]
     text = np.append(rng.integers(1, 3, 200), 0)
     assert suffix_array(text).tolist() == sorted(range(201), key=lambda i: text[i:].tolist())
 
