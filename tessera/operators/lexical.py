@@ -2,14 +2,24 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Retrieval
 from ..functions.text import tokens
 
+#: Questions whose term weights are sent to the scan at a time, and children scored at a time.
+QUERIES = 256
+CHILDREN = 1000
+#: The tokens of ``functions.text.TOKEN`` in Python's notation.
+TOKEN_WORD = "[a-z0-9]+|[\u4e00-\u9fff]"
+
 
 @dataclass(frozen=True)
 class LexicalIndex:
@@ -28,7 +38,7 @@ def fit(children: DataFrame, key: str = "child_id", text: str = "child_text") ->
     cut = children.select(F.col(key), tokens(F.col(text)).alias("_t"))
     stats = cut.agg(F.count("*").alias("n"), (F.sum(F.size("_t")) / F.greatest(F.count("*"), F.lit(1))).alias("avg_len"))
     postings = cut.select(key, F.size("_t").alias("dl"), F.explode("_t").alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
+    df = cut.select(F.explode(F.array_distinct("_t")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     terms = df.join(F.broadcast(stats)).select("term", "df", idf.alias("idf"), "avg_len")  # the broadcast side is one row
     return LexicalIndex(postings, terms)
@@ -44,11 +54,65 @@ def scores(index: LexicalIndex, queries: DataFrame, params: Retrieval | None = N
     return index.postings.join(weighted, "term").groupBy(qid, key).agg(F.round(F.sum(part), 6).alias("score"))
 
 
+def _asked_weights(index: LexicalIndex, queries: DataFrame, qid: str, text: str) -> DataFrame:
+    asked = queries.select(F.col(qid).alias("_q"), F.explode(tokens(F.col(text))).alias("term")).groupBy("_q", "term").agg(F.count("*").alias("qf"))
+    return asked.join(index.terms, "term").select("_q", "term", (F.col("qf") * F.col("idf")).alias("w"), "avg_len")
+
+
 def search(index: LexicalIndex, queries: DataFrame, children: DataFrame, n: int, params: Retrieval | None = None, qid: str = "qid", text: str = "question") -> DataFrame:
     """Keyword channel: ``qid, rank, child_id, score, score_kind`` of the n best children with a positive score.
 
-    Ties go by source, parent and child order.  Ranks are cut on (score, id) pairs before the children's own columns join.
+    Ties go by source, parent and child order.  The questions' term weights are read in
+    blocks of QUERIES questions, each sent to the scan of the children; a task scores its
+    children as a matrix product and keeps n rows a question.  What is shuffled is n rows for each
+    question and task, not a row for each common term of a question and a child.
     """
-    got = scores(index, queries, params, qid, text).filter("score > 0").join(children.select("child_id", "source", "parent_index", "child_index"), "child_id")
-    order = Window.partitionBy(qid).orderBy(F.col("score").desc(), "source", "parent_index", "child_index")
-    return got.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n).select(qid, "rank", "child_id", "score", F.lit("bm25").alias("score_kind"))
+    p = params or Retrieval()
+    spark = children.sparkSession
+    total = queries.select(qid).distinct().count()
+    blocks = max(1, -(-total // QUERIES))
+    qtype = queries.schema[qid].dataType.simpleString()
+    rows = children.select("child_id", "source", "parent_index", "child_index", F.lower("child_text").alias("_t"))
+    weights = _asked_weights(index, queries, qid, text)
+    found = None
+    for block in range(blocks):
+        part = weights.filter(F.pmod(F.xxhash64("_q"), F.lit(blocks)) == block).toArrow()  # the terms of about QUERIES questions
+        ids = pc.unique(part.column("_q")) if part.num_rows else pa.array([], part.schema.field("_q").type)
+        terms: dict[str, int] = {}
+        columns = [terms.setdefault(t, len(terms)) for t in part.column("term").to_pylist()]
+        matrix = np.zeros((len(terms), len(ids)))
+        if part.num_rows:
+            matrix[columns, pc.index_in(part.column("_q"), value_set=ids).to_numpy()] = part.column("w").to_numpy()
+        mean = part.column("avg_len")[0].as_py() if part.num_rows else 1.0
+        sent = spark.sparkContext.broadcast((ids, terms, matrix, max(mean, 1.0)))
+
+        def run(batches, sent=sent):
+            ids, terms, matrix, mean = sent.value
+            word = re.compile(TOKEN_WORD)
+            for whole in batches:
+                for batch in (whole.slice(i, CHILDREN) for i in range(0, whole.num_rows, CHILDREN)):
+                    tf, dl = np.zeros((batch.num_rows, len(terms))), np.zeros(batch.num_rows)
+                    for i, t in enumerate(batch.column("_t").to_pylist()):
+                        said = word.findall(t or "")
+                        dl[i] = len(said)
+                        for w in said:
+                            at = terms.get(w)
+                            if at is not None:
+                                tf[i, at] += 1
+                    part = tf * (p.k1 + 1) / (tf + (p.k1 * (1 - p.b + p.b * dl / mean))[:, None])
+                    score = np.round(part @ matrix, 6)
+                    order = np.empty(batch.num_rows, np.int64)
+                    order[pc.sort_indices(pa.Table.from_batches([batch]), [(c, "ascending") for c in ("source", "parent_index", "child_index")]).to_numpy()] = np.arange(batch.num_rows)
+                    row, col = np.nonzero(score > 0)
+                    s = score[row, col]
+                    best = np.lexsort((order[row], -s, col))
+                    row, col, s = row[best], col[best], s[best]
+                    keep = np.arange(len(col)) - np.searchsorted(col, col) < n
+                    take = pa.array(row[keep])
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(col[keep])), *(batch.column(c).take(take) for c in ("child_id", "source", "parent_index", "child_index")), pa.array(s[keep])], ["_q", "child_id", "source", "parent_index", "child_index", "score"])
+
+        got = rows.mapInArrow(run, f"_q {qtype}, child_id string, source string, parent_index int, child_index int, score double")
+        found = got if found is None else found.unionByName(got)
+    order = Window.partitionBy("_q").orderBy(F.col("score").desc(), "source", "parent_index", "child_index")
+    ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n)
+    return ranked.select(F.col("_q").alias(qid), "rank", "child_id", "score", F.lit("bm25").alias("score_kind"))

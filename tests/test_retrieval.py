@@ -13,6 +13,20 @@ from tessera.streaming import incremental
 HITS = "qid int, rank int, child_id string, parent_id string, child_text string, source string, score double, score_kind string"
 
 
+def test_keyword_search_equals_joined_scores(spark, sf):
+    c = retrieve.corpus(spark.read.parquet(f"{sf}/documents.parquet"))
+    asked = retrieve.questions(spark.read.parquet(f"{sf}/benchmark.parquet"))
+    index_ = lexical.fit(c.children)
+    best = {}
+    for r in lexical.scores(index_, asked).collect():
+        best.setdefault(r.qid, []).append(r.score)
+    for r in lexical.search(index_, asked, c.children, 5).collect():
+        assert abs(sorted(best[r.qid], reverse=True)[r["rank"] - 1] - r.score) < 2e-6
+    none = asked.limit(1).withColumn("question", F.lit("zzzzqq ???"))
+    assert lexical.search(index_, none, c.children, 5).count() == 0
+    assert lexical.search(index_, asked.limit(0), c.children, 5).count() == 0
+
+
 def test_rrf_and_parents(spark):
     a = spark.createDataFrame([(1, 1, "x"), (1, 2, "y")], "qid int, rank int, child_id string")
     b = spark.createDataFrame([(1, 1, "y"), (1, 2, "z"), (2, 1, "w")], "qid int, rank int, child_id string")
