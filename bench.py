@@ -13,7 +13,7 @@ from pyspark.sql import SparkSession
 
 from tessera import queries
 
-HEADLINE = ["parent_chunks", "child_windows", "hash_embedding", "bm25_terms", "bm25_topk", "vector_topk", "hash_vector_topk", "rrf_fuse", "parent_hits", "full_prompts", "html_strip", "index_plan", "eval_metrics"]
+HEADLINE = ["parent_chunks", "child_windows", "hash_embedding", "bm25_terms", "bm25_topk", "vector_topk", "hash_vector_topk", "full_prompts", "html_strip", "index_plan", "eval_metrics"]
 
 
 def main() -> None:

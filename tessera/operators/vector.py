@@ -4,11 +4,17 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import hash_bucket, tokens
+
 #: A batch of queries of at most this many bytes is sent to every scan task.
 QUERY_BYTES = 64 << 20
+#: Questions sent to the scan, and rows scored, at a time.
+QUERIES = 256
+ROWS = 1000
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -19,6 +25,14 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return out
 
 
+def _counts(column: pa.Array, dim: int) -> np.ndarray:
+    """Lists of buckets -> rows of counts."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    size = column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    return np.bincount(np.repeat(np.arange(len(size)), size) * dim + flat, minlength=len(size) * dim).reshape(len(size), dim).astype(float)
+
+
 def _unit(m: np.ndarray) -> np.ndarray:
     norm = np.sqrt((m * m).sum(1, keepdims=True))
     return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
@@ -51,7 +65,7 @@ def top_n(vectors: DataFrame, queries: DataFrame, n: int, min_sim: float | None,
                 wide = lambda x: np.pad(x, ((0, 0), (0, d - x.shape[1])))  # noqa: B023, E731
                 score = np.round(wide(q) @ wide(m).T, 6)
                 keys = batch.column("_k")
-                order = np.argsort(np.asarray(pa.compute.array_sort_indices(keys)))
+                order = np.argsort(np.asarray(pc.array_sort_indices(keys)))
                 row, col = np.nonzero(np.ones_like(score, bool) if min_sim is None else score >= min_sim)
                 s = score[row, col]
                 best = np.lexsort((order[col], -s, row))
@@ -79,3 +93,44 @@ def sparse_top_n(vectors: DataFrame, queries: DataFrame, children: DataFrame, n:
     score = score.join(children.select("child_id", "source", "parent_index", "child_index"), key)
     order = Window.partitionBy(qid).orderBy(F.col("score").desc(), "source", "parent_index", "child_index")
     return score.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n).select(qid, "rank", key, "score", F.lit("cosine").alias("score_kind"))
+
+
+def hash_top_n(children: DataFrame, queries: DataFrame, n: int, min_sim: float, dim: int, qid: str = "qid", text: str = "question") -> DataFrame:
+    """The vector channel on hash vectors, straight from the texts: ``qid, rank, child_id, score, score_kind``.
+
+    Tokens become buckets in the JVM; a task counts them into a small dense block, normalises and
+    multiplies it with a block of at most QUERIES questions, and keeps n rows a question.
+    Ties go by source, parent and child order.
+    """
+    spark = children.sparkSession
+    buckets = lambda c: F.transform(tokens(c), lambda t: hash_bucket(t, dim))
+    asked = queries.select(F.col(qid).alias("_q"), buckets(F.col(text)).alias("_b")).filter("_q is not null")
+    blocks = max(1, -(-asked.count() // QUERIES))
+    qtype = asked.schema["_q"].dataType.simpleString()
+    rows = children.select("child_id", "source", "parent_index", "child_index", buckets(F.col("child_text")).alias("_b"))
+    found = None
+    for block in range(blocks):
+        part = asked.filter(F.pmod(F.xxhash64("_q"), F.lit(blocks)) == block).toArrow()
+        q = _unit(_counts(part.column("_b"), dim)).T
+        sent = spark.sparkContext.broadcast((part.column("_q").combine_chunks(), q))
+
+        def run(batches, sent=sent):
+            ids, q = sent.value
+            for whole in batches:
+                for batch in (whole.slice(i, ROWS) for i in range(0, whole.num_rows, ROWS)):
+                    score = np.round(_unit(_counts(batch.column("_b"), dim)) @ q, 6)
+                    order = np.empty(batch.num_rows, np.int64)
+                    order[pc.sort_indices(pa.Table.from_batches([batch.drop_columns(["_b"])]), [(c, "ascending") for c in ("source", "parent_index", "child_index")]).to_numpy()] = np.arange(batch.num_rows)
+                    row, col = np.nonzero(score >= min_sim)
+                    s = score[row, col]
+                    best = np.lexsort((order[row], -s, col))
+                    row, col, s = row[best], col[best], s[best]
+                    keep = np.arange(len(col)) - np.searchsorted(col, col) < n
+                    take = pa.array(row[keep])
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(col[keep])), *(batch.column(c).take(take) for c in ("child_id", "source", "parent_index", "child_index")), pa.array(s[keep])], ["_q", "child_id", "source", "parent_index", "child_index", "score"])
+
+        got = rows.mapInArrow(run, f"_q {qtype}, child_id string, source string, parent_index int, child_index int, score double")
+        found = got if found is None else found.unionByName(got)
+    order = Window.partitionBy("_q").orderBy(F.col("score").desc(), "source", "parent_index", "child_index")
+    ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n)
+    return ranked.select(F.col("_q").alias(qid), "rank", "child_id", "score", F.lit("cosine").alias("score_kind"))

@@ -33,8 +33,8 @@ def keyword_hits(c: Corpus, asked: DataFrame, p: Retrieval) -> DataFrame:
 
 
 def vector_hits(c: Corpus, asked: DataFrame, p: Retrieval, dim: int = EMBED_DIM) -> DataFrame:
-    """Hash vectors: no model is needed, and the search is an equi-join on buckets."""
-    return vector.sparse_top_n(embed.hash_vectors(c.children, "child_id", "child_text", dim), embed.hash_vectors(asked, "qid", "question", dim), c.children, p.candidates, p.min_sim)
+    """Hash vectors: no model is needed."""
+    return vector.hash_top_n(c.children, asked, p.candidates, p.min_sim, dim)
 
 
 def candidates(c: Corpus, asked: DataFrame, p: Retrieval) -> DataFrame:

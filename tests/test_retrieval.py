@@ -27,6 +27,15 @@ def test_keyword_search_equals_joined_scores(spark, sf):
     assert lexical.search(index_, asked.limit(0), c.children, 5).count() == 0
 
 
+def test_hash_search_equals_bucket_join(spark, sf):
+    c = retrieve.corpus(spark.read.parquet(f"{sf}/documents.parquet"))
+    asked = retrieve.questions(spark.read.parquet(f"{sf}/benchmark.parquet"))
+    sparse = vector.sparse_top_n(embed.hash_vectors(c.children, "child_id", "child_text"), embed.hash_vectors(asked, "qid", "question"), c.children, 5, 0.35)
+    key = lambda df: sorted((r.qid, r["rank"], r.child_id, r.score) for r in df.collect())
+    assert key(vector.hash_top_n(c.children, asked, 5, 0.35, 1536)) == key(sparse)
+    assert vector.hash_top_n(c.children, asked.limit(0), 5, 0.35, 1536).count() == 0
+
+
 def test_rrf_and_parents(spark):
     a = spark.createDataFrame([(1, 1, "x"), (1, 2, "y")], "qid int, rank int, child_id string")
     b = spark.createDataFrame([(1, 1, "y"), (1, 2, "z"), (2, 1, "w")], "qid int, rank int, child_id string")
