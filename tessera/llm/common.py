@@ -71,5 +71,22 @@ def crc_mod(column: str, mod: int):
     return F.crc32(F.col(column).cast("string").cast("binary")) % mod
 
 
+_memos: dict[str, dict] = {}
+
+
+def memo(owner: str, most: int) -> dict:
+    """A worker's memory of what ``owner`` has worked out for words; emptied at ``most`` entries.
+
+    A Python worker serves one stage after another; when another owner asks, what the
+    former ones remembered is let go, so a worker holds one memory at a time.
+    """
+    for name in [n for n in _memos if n != owner]:
+        del _memos[name]
+    found = _memos.setdefault(owner, {})
+    if len(found) > most:
+        found.clear()
+    return found
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

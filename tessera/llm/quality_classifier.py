@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import memo
 from .labelled import labelled_sample
 
 BITS = 18
@@ -36,8 +37,7 @@ THRESHOLD = 0.7
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
 _K = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 _SHIFT = np.uint64(64 - BITS)
-_MEMO = 400_000
-_memo: dict[str, tuple[int, int]] = {}
+_MEMO = 300_000
 
 
 def _form(token: str) -> str:
@@ -60,15 +60,11 @@ def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     tokens = _TOKEN.findall(text or "")
     if not tokens:
         return np.zeros(0, np.int32), np.zeros(0, np.float32)
-    if len(_memo) > _MEMO:
-        _memo.clear()
-    got = []
-    for t in tokens:
-        h = _memo.get(t)
-        if h is None:
-            h = _memo[t] = (_hash(t.lower()), _hash("form:" + _form(t)))
-        got.append(h)
-    pairs = np.array(got, np.uint64)
+    known = memo("n-grams", _MEMO)
+    for t in set(tokens):
+        if t not in known:
+            known[t] = np.array((_hash(t.lower()), _hash("form:" + _form(t))), np.uint64).tobytes()
+    pairs = np.frombuffer(b"".join(map(known.__getitem__, tokens)), np.uint64).reshape(-1, 2)
     word, form = pairs[:, 0], pairs[:, 1].copy()
     form[1:][word[1:] == word[:-1]] = np.uint64(0xA5A5A5A5DEADBEEF)
     parts = [word * _K[0], form * _K[1]]

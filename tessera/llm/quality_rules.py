@@ -28,6 +28,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import memo
+
 MODEL = "piece_bpe_32k.model"
 WINDOW = 8
 MIN_WORDS = 20
@@ -36,7 +38,7 @@ SYMBOLS = b"#*$%&|<>"
 #: A language's tokens have a bounded entropy, so the most that n tokens can have counts up to this n.
 ENTROPY_TOKENS = 512
 #: Words whose tokenisation one worker remembers.
-MEMO = 400_000
+MEMO = 300_000
 
 
 @dataclass(frozen=True)
@@ -77,7 +79,7 @@ def _tokenizer(path: str):
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     is_byte = np.array([model.is_byte(i) for i in range(len(model))])
-    return model, is_byte, {}
+    return model, is_byte
 
 
 def repeated_words(words: list[bytes], window: int = WINDOW) -> int:
@@ -133,15 +135,13 @@ def measure(text: bytes | None, path: str) -> tuple:
     words = text.split()
     if not words:
         return (0, 0, len(text) - len(text.translate(None, SYMBOLS)), 0, 0, 0, 0, None, None, None, "")
-    model, is_byte, memo = _tokenizer(path)
-    missing = [w for w in set(words) if w not in memo]
+    model, is_byte = _tokenizer(path)
+    known = memo(f"fertility {path}", MEMO)
+    missing = [w for w in set(words) if w not in known]
     if missing:
-        if len(memo) > MEMO:
-            memo.clear()
-            missing = list(set(words))
         for word, ids in zip(missing, model.encode([w.decode("utf-8", "replace") for w in missing], num_threads=1), strict=True):
-            memo[word] = np.array(ids, np.int32)
-    ids = np.concatenate([memo[w] for w in words])
+            known[word] = np.array(ids, np.int32).tobytes()
+    ids = np.frombuffer(b"".join(map(known.__getitem__, words)), np.int32)
     joined = b"".join(words).decode("utf-8", "replace")
     n_tokens, n_bytes = len(ids), int(is_byte[ids].sum())
     p = np.unique(ids, return_counts=True)[1] / max(1, n_tokens)

@@ -20,6 +20,7 @@ smoothed share of label 1; repeated rows give repeated results.
 from __future__ import annotations
 
 import re
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import memo
 from .labelled import labelled_sample
 
 BITS = 17
@@ -38,7 +40,7 @@ THRESHOLD = 0.7
 ROUNDS = 70
 SEED = 20240229
 _WORD = re.compile(r"\w+")
-_MEMO = 400_000
+_MEMO = 300_000
 
 
 _PRIME = np.uint32(0x9E3779B1)
@@ -174,7 +176,7 @@ def train(docs: DataFrame, labels: DataFrame, may_learn: Column | None = None, l
 def score_udf(spark, model: Model):
     """Arrow UDF text -> probability that the text is toxic."""
     sent = spark.sparkContext.broadcast(model)
-    memo: dict[str, float] = {}
+    owner = f"toxicity {uuid.uuid4()}"
 
     @F.arrow_udf(T.DoubleType())
     def udf(texts: pa.Array) -> pa.Array:
@@ -182,12 +184,11 @@ def score_udf(spark, model: Model):
         out = []
         for t in texts:
             words = words_of(t.as_py())
-            if len(memo) > _MEMO:
-                memo.clear()
-            new = [w for w in set(words) if w not in memo]
+            known = memo(owner, _MEMO)
+            new = [w for w in set(words) if w not in known]
             if new:
-                memo.update(zip(new, m.margins(new).tolist(), strict=True))
-            out.append(m.score(np.array([memo[w] for w in words])))
+                known.update(zip(new, m.margins(new).tolist(), strict=True))
+            out.append(m.score(np.array([known[w] for w in words])))
         return pa.array(out, pa.float64())
 
     return udf

@@ -9,16 +9,19 @@ through the library's whole pipeline.
 
 from __future__ import annotations
 
+import struct
 from functools import lru_cache
 
 import numpy as np
 import regex
 
+from .common import memo
+
 _SAFE = regex.compile(r"[\x21-\x7e\xc0-\xff]+")
 #: The vocabulary's pre-tokeniser pattern.  Fixed value.
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: Distinct words and pieces that one worker remembers.
-MEMO = 600_000
+MEMO = 500_000
 
 
 def _byte_letters() -> dict[int, str]:
@@ -35,31 +38,28 @@ class WordBpe:
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
         self.letters = _byte_letters()
-        self.words: dict[bytes, np.ndarray] = {}
-        self.pieces: dict[str, list[int]] = {}
+        self.owner = f"word bpe {path}"
 
-    def _word(self, word: bytes) -> np.ndarray:
+    def _word(self, word: bytes, known: dict) -> bytes:
+        """Ids of a word, as bytes."""
         text = word.decode("utf-8", "replace")
         if not _SAFE.fullmatch(text) or "<|" in text:
-            return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4")
+            return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         ids: list[int] = []
         for piece in _PIECES.findall(text.lower()):
-            got = self.pieces.get(piece)
+            got = known.get(piece)  # pieces are str, words are bytes
             if got is None:
                 letters = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
-                got = self.pieces[piece] = [t.id for t in self.model.tokenize(letters)]
+                got = known[piece] = tuple(t.id for t in self.model.tokenize(letters))
             ids += got
-        return np.array(ids, "<u4")
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def ids(self, text: bytes) -> np.ndarray:
-        words, memo = text.split(), self.words
-        if len(memo) > MEMO or len(self.pieces) > MEMO:
-            memo.clear()
-            self.pieces.clear()
-        for w in words:
-            if w not in memo:
-                memo[w] = self._word(w)
-        return np.concatenate([memo[w] for w in words]) if words else np.zeros(0, "<u4")
+        words, known = text.split(), memo(self.owner, MEMO)
+        for w in set(words):
+            if w not in known:
+                known[w] = self._word(w, known)
+        return np.frombuffer(b"".join(map(known.__getitem__, words)), "<u4")
 
 
 @lru_cache(maxsize=2)
