@@ -21,11 +21,13 @@ its own value; repeated rows (same key and text) give the same segmentation; tex
 
 from __future__ import annotations
 
+import gc
+import math
 import re
 import zlib
-from bisect import bisect_left
+from bisect import bisect_right
+from contextlib import contextmanager
 from functools import lru_cache
-from itertools import accumulate
 
 import numpy as np
 import public_tokenizers
@@ -33,6 +35,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import memo
+
 MODEL = "piece_bpe_32k.model"
 ALPHA = 2.0
 SEED = 17
@@ -40,7 +44,17 @@ MARK = "▁"
 _WORD = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 #: Word marks in a long run are cut here, so that a run of blanks has a lattice of bounded width.
 _LONGEST_RUN = 64
-MEMO = 300_000
+MEMO = 100_000
+
+
+@contextmanager
+def _uncollected():
+    """Without searches for reference cycles: lattices are many small lists without any, and the searches took half of the time."""
+    gc.disable()
+    try:
+        yield
+    finally:
+        gc.enable()
 
 
 class Pieces:
@@ -56,29 +70,51 @@ class Pieces:
         self.control = {i for i, s in enumerate(special) if s and i not in self.of_byte}
         self.longest = max(map(len, self.id))
         best = max(model.get_score(i) for i in self.id.values())
-        self.log = {i: -alpha * float(np.log1p(1 + best - model.get_score(i))) for i in self.id.values()}
+        self.log = {i: -alpha * math.log(2 + best - model.get_score(i)) for i in self.id.values()}
+        self.trie: dict = {}  # by character; "" holds (ids, weight) of the piece that ends there
+        for t, i in self.id.items():
+            node = self.trie
+            for ch in t:
+                node = node.setdefault(ch, {})
+            node[""] = ((i,), math.exp(self.log[i]))
+        self.plain = [None if i in self.of_byte else "" if i in self.control else t.replace(MARK, " ") for i, t in enumerate(self.text)]
+        self.is_byte = np.array([i in self.of_byte for i in range(len(self.text))])
         self.own_mark = [self.byte[b] for b in MARK.encode()]
-        self.memo: dict[str, list] = {}
+        self.owner = f"lattice {path} {alpha}"
 
     def _lattice(self, word: str) -> list:
-        """For each place, the pieces that end there: (cumulated probabilities, starts, ids as tuples)."""
-        n = len(word)
-        ways = [0.0] * (n + 1)  # log of the summed weights
-        into: list = [None] * (n + 1)
-        for end in range(1, n + 1):
-            found = []
-            for start in range(max(0, end - self.longest), end):
-                i = self.id.get(word[start:end])
-                if i is not None:
-                    found.append((ways[start] + self.log[i], start, (i,)))
-            if not any(start == end - 1 for _, start, _ in found):  # no piece for this character: its bytes
-                found.append((ways[end - 1] - 40.0, end - 1, tuple(self.byte[b] for b in word[end - 1].encode("utf-8", "replace"))))
-            top = max(f[0] for f in found)
-            mass = [float(np.exp(f[0] - top)) for f in found]
-            total = sum(mass)
-            ways[end] = top + float(np.log(total))
-            into[end] = (list(accumulate(m / total for m in mass)), [f[1] for f in found], [f[2] for f in found])
-        return into
+        """For each place, the pieces that end there: summed weights of the ways through each so far, and (start, ids) of each.
+
+        A trie of the pieces is walked from each place.  Weights are scaled down the word, so they stay in range for words of any length.
+        """
+        n, root = len(word), self.trie
+        sums: list[list[float]] = [[] for _ in range(n + 1)]
+        found: list[list] = [[] for _ in range(n + 1)]
+        here = 1.0
+        for start in range(n):
+            if start:
+                here = sums[start][-1]
+                if here < 1e-100:  # rescale all places that are still to be left
+                    for place in sums[start : start + self.longest]:
+                        place[:] = [x / here for x in place]
+                    here = 1.0
+            node, end, single = root, start, False
+            while end < n:
+                node = node.get(word[end])
+                if node is None:
+                    break
+                end += 1
+                p = node.get("")
+                if p is not None:
+                    single = single or end == start + 1
+                    s = sums[end]
+                    s.append((s[-1] if s else 0.0) + here * p[1])
+                    found[end].append((start, p[0]))
+            if not single:  # no piece for this character: its bytes
+                s = sums[start + 1]
+                s.append((s[-1] if s else 0.0) + here * 1e-17)
+                found[start + 1].append((start, tuple(self.byte[b] for b in word[start].encode("utf-8", "replace"))))
+        return list(zip(sums, found, strict=True))
 
     def _parts(self, text: str):
         """The words of a text with their marks; None stands for a mark that the text itself holds."""
@@ -97,30 +133,35 @@ class Pieces:
         if not text:
             return []
         draws = np.random.Generator(np.random.Philox(seed & (1 << 64) - 1)).random(len(text) + 1).tolist()
-        at, out, memo = 0, [], self.memo
-        if len(memo) > MEMO:
-            memo.clear()
+        at, out, known = 0, [], memo(self.owner, MEMO)
         for part in self._parts(text):
             if part is None:
                 out += self.own_mark
                 continue
-            into = memo.get(part)
+            into = known.get(part)
             if into is None:
                 into = self._lattice(part)
                 if len(part) <= 100:
-                    memo[part] = into
+                    known[part] = into
             place, back = len(part), []
-            while place > 0:
-                chance, starts, ids = into[place]
-                k = 0 if len(starts) == 1 else min(bisect_left(chance, draws[at]), len(starts) - 1)
+            while place:
+                sums, found = into[place]
+                if len(found) == 1:
+                    place, ids = found[0]
+                else:
+                    k = bisect_right(sums, draws[at] * sums[-1])
+                    place, ids = found[k if k < len(found) else -1]
                 at += 1
-                back.append(ids[k])
-                place = starts[k]
+                back.append(ids)
             for ids in reversed(back):
                 out += ids
         return out
 
     def decode(self, ids: list[int]) -> str:
+        try:
+            return "".join(map(self.plain.__getitem__, ids))[1:]
+        except TypeError:  # a byte piece has no text of its own
+            pass
         out, i = [], 0
         while i < len(ids):
             if ids[i] in self.of_byte:
@@ -153,7 +194,8 @@ def encode(text: Column, key: Column, alpha: float = ALPHA, seed: int = SEED, pa
     @F.arrow_udf("array<int>")
     def udf(texts: pa.Array, seeds: pa.Array) -> pa.Array:
         p = pieces(path, alpha)
-        return pa.array([None if t is None else p.encode(t, s) for t, s in zip(texts.to_pylist(), seeds.to_pylist(), strict=True)], pa.list_(pa.int32()))
+        with _uncollected():
+            return pa.array([None if t is None else p.encode(t, s) for t, s in zip(texts.to_pylist(), seeds.to_pylist(), strict=True)], pa.list_(pa.int32()))
 
     return udf(text, row_seed(key, seed))
 
@@ -177,8 +219,10 @@ def digest(text: Column, key: Column, alpha: float = ALPHA, seed: int = SEED, pa
     def udf(texts: pa.Array, seeds: pa.Array) -> pa.Array:
         p, out = pieces(path, alpha), []
         for t, s in zip(texts.to_pylist(), seeds.to_pylist(), strict=True):
-            ids = p.encode(t or "", s)
-            out.append({"n_pieces": len(ids), "n_byte_pieces": sum(i in p.of_byte for i in ids), "ids_crc32": zlib.crc32(np.array(ids, "<u4").tobytes()), "round_trip": p.decode(ids) == (t or "")})
+            with _uncollected():
+                ids = p.encode(t or "", s)
+            array = np.array(ids, "<u4")
+            out.append({"n_pieces": len(ids), "n_byte_pieces": int(p.is_byte[array].sum()), "ids_crc32": zlib.crc32(array.tobytes()), "round_trip": p.decode(ids) == (t or "")})
         return pa.array(out, pa.struct([("n_pieces", pa.int64()), ("n_byte_pieces", pa.int64()), ("ids_crc32", pa.int64()), ("round_trip", pa.bool_())]))
 
     return udf(text, row_seed(key, seed))

@@ -28,7 +28,7 @@ def test_round_trip_and_pushdown(spark, tmp_path, compression):
     assert got == Counter(want)
     only = warc_pages.read_archive(spark, path, payload="false").filter((F.col("type") == "revisit") & F.col("record_id").isin("<urn:page:1>", "<urn:page:5>"))
     assert [(r.record_id, r.payload_length, r.payload) for r in only.collect()] == [("<urn:page:1>", 2000, None)]
-    assert {r.target_uri for r in every.filter("record_id = '<urn:page:2>'").collect()} == {"http://a/2%0D%0AWARC-Type:%20evil".replace("%20", "%20")} or True
+    assert {r.target_uri for r in every.filter("record_id = '<urn:page:2>'").collect()} == {"http://a/2%0D%0AWARC-Type:%20evil"}
 
 
 def test_filters_are_taken_by_the_reader():
@@ -56,7 +56,7 @@ def test_unwanted_records_are_passed_over():
     f = Counting(data)
     found = list(warc.records(f, True, lambda h: h["warc-record-id"] == "<r:13>", verify=True))
     assert [bytes(r["payload"]) for r in found] == [rows[13]["payload"]] and f.got < len(data) / 2
-    plain = re.sub(rb"(?s)\A.*\Z", lambda m: m[0], b"".join(gzip.compress(warc.record(r)) for r in rows))  # members without skip lengths
+    plain = b"".join(gzip.compress(warc.record(r)) for r in rows)  # members without skip lengths
     assert len(list(warc.records(io.BytesIO(plain), True))) == 20
     bad = warc.record(rows[0]).replace(rows[0]["payload"][:50], b"!" * 50)
     with pytest.raises(ValueError):
