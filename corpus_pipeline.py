@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import packing, quality_classifier, quality_rules, simhash, substring
+from tessera.llm import packing, quality_classifier, quality_rules, shingle_sets, substring
 from tessera.llm.common import stored, table
 
 #: Near-duplicates on word shingles take five words here.
@@ -28,8 +28,8 @@ def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
-    return simhash.keep_one(docs, shingle=SHINGLE)
+    """One document of each group of near-duplicates: five-word shingles, similarity 0.8 or more."""
+    return shingle_sets.keep_one(docs, shingle=SHINGLE)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,3 +1,5 @@
+import random
+
 from helpers import docs, prose
 
 import corpus_pipeline
@@ -36,3 +38,50 @@ def test_every_stage_takes_awkward_rows(spark):
     for table in (odd, odd.limit(0)):
         for _, stage in corpus_pipeline.STAGES:
             stage(spark, table, sf).collect()
+
+
+def _shingles(text):
+    words = text.lower().split()
+    return frozenset(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4)))
+
+
+def test_near_duplicates_match_brute_force(spark):
+    rng, texts = random.Random(8), []
+    for n in range(40):  # words changed at distances that give similarities from 0.6 to 0.97
+        words = prose(1000 + n, rng.randrange(30, 400)).split()
+        texts.append(" ".join(words))
+        for share in (0.01, 0.02, 0.03, 0.06):
+            texts.append("\n".join(f"new{rng.random()}" if rng.random() < share else w for w in words))
+    crowd = prose(7, 120).split()
+    for n in range(150):  # near copies of one text, and texts that share its last words only
+        at = rng.randrange(120)
+        texts.append(" ".join([*crowd[:at], f"odd{n}", *crowd[at + 1 :]]))
+        texts.append(prose(5000 + n, 60) + " " + " ".join(crowd[60:]))
+    rng.shuffle(texts)
+    sets = [_shingles(t) for t in texts]
+    label, similar = list(range(len(texts))), []
+    for i in range(len(texts)):
+        for j in range(i):
+            shared = len(sets[i] & sets[j])
+            if shared and 5 * shared >= 4 * (len(sets[i]) + len(sets[j]) - shared):
+                similar.append((j, i, shared / (len(sets[i]) + len(sets[j]) - shared)))
+    for low in (0.8, 0.85, 0.9):
+        assert sum(low <= x < low + 0.05 for _, _, x in similar) >= 10
+    while True:
+        was = list(label)
+        for a, b, _ in similar:
+            label[a] = label[b] = min(label[a], label[b])
+        if was == label:
+            break
+    kept = corpus_pipeline.near_dedup(spark, docs(spark, texts), None)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(label))
+
+
+def test_near_duplicates_with_awkward_rows(spark):
+    base = prose(1, 400)
+    texts = [base, base + " end", prose(2, 100), base, None, "", prose(3, 90), prose(2, 100), "a b", "A  b", "a c"]
+    table = docs(spark, texts, ids=[5, 3, 2, 9, 7, 8, None, None, 20, 21, 22]).selectExpr("*", "1 as _set", "2 as _key")
+    kept = corpus_pipeline.near_dedup(spark, table, None)
+    assert kept.columns == table.columns
+    assert sorted((r.doc_id for r in kept.collect()), key=repr) == sorted([3, 2, 7, None, 20, 22], key=repr)
+    assert corpus_pipeline.near_dedup(spark, docs(spark, []), None).count() == 0
