@@ -125,6 +125,26 @@ def test_scan_finds_planted_notices(spark, sf):
     assert license_scan.scan(empty, license_scan.train(empty)).count() == 0
 
 
+def test_scan_finds_notices_inside_long_lines_and_wrapped(spark):
+    import textwrap
+
+    notices = {"mit": "Released under the MIT License.", "apache": "Licensed under the Apache License, Version 2.0.", "gpl": "This work is licensed under the GNU General Public License, version 3.", "cc-by-nc": "Licensed under CC BY-NC 4.0."}
+    texts, want = [], {}
+    for family, notice in notices.items():
+        for n in (0, 20, 103, 1000):
+            want[(len(texts), 1)] = family
+            texts.append(f"{prose(n, 9)}\n{prose(n + 1, n)} {notice} {prose(n + 2, n)}")
+    for family in ("mit", "gpl", "bsd"):
+        for width in (40, 80):
+            want[(len(texts), 2)] = family
+            texts.append(f"{prose(3, 30)}\n{prose(4, 12)}\n" + textwrap.fill(license_scan.TEMPLATES[family][0], width) + f"\n{prose(6, 40)}")
+    want |= {(len(texts), 0): "mit", (len(texts), 1): "apache"}
+    texts.append(f"{notices['mit']}\n{prose(9, 300)} {notices['apache']} {prose(10, 300)}")
+    table = docs(spark, texts)
+    got = Counter((r.doc_id, r.paragraph, r.family) for r in license_scan.scan(table, license_scan.train(table)).collect() if r.confirmed)
+    assert got == Counter((i, p, f) for (i, p), f in want.items())
+
+
 def test_scan_on_given_documents(spark):
     sf = "/root/testdata/sf0.01"
     got = Counter((r.doc_id, r.paragraph) for r in queries.op5_license_scan(spark, sf).collect() if r.confirmed)
