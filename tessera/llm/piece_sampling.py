@@ -42,8 +42,6 @@ ALPHA = 2.0
 SEED = 17
 MARK = "▁"
 _WORD = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
-#: Word marks in a long run are cut here, so that a run of blanks has a lattice of bounded width.
-_LONGEST_RUN = 64
 MEMO = 100_000
 
 
@@ -121,13 +119,7 @@ class Pieces:
         for n, piece in enumerate(text.split(MARK)):
             if n:
                 yield None
-            for word in _WORD.findall(("" if n else MARK) + piece.replace(" ", MARK)):
-                if len(word) > _LONGEST_RUN:
-                    blanks = len(word) - len(word.lstrip(MARK))
-                    while blanks > _LONGEST_RUN:
-                        yield word[:_LONGEST_RUN]
-                        word, blanks = word[_LONGEST_RUN:], blanks - _LONGEST_RUN
-                yield word
+            yield from _WORD.findall(("" if n else MARK) + piece.replace(" ", MARK))
 
     def encode(self, text: str, seed: int) -> list[int]:
         if not text:

@@ -110,6 +110,13 @@ def test_samples_follow_the_lattice():
         assert abs(seen[ids] / n - want) < 5 * math.sqrt(want * (1 - want) / n) + 1e-3
 
 
+def test_pieces_cross_any_place_of_a_long_run_of_blanks():
+    p = piece_sampling.Pieces(piece_sampling.public_tokenizers.path(piece_sampling.MODEL), 0.3)
+    size = {i: len(piece) for piece, i in p.id.items()}
+    ends = [{sum(size[i] for i in ids[:n]) for n in range(len(ids))} for ids in (p.encode(" " * 200 + "x", seed) for seed in range(40))]
+    assert all(any(place not in e for e in ends) for place in (64, 128, 192))
+
+
 # -- licences ------------------------------------------------------------------------------------------------------
 
 
