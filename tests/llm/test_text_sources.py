@@ -2,7 +2,9 @@ import gzip
 import io
 import math
 import re
+import zlib
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -87,6 +89,73 @@ def test_sampling_is_reproducible_and_lossless(spark, sf):
     assert len({tuple(r.pieces) for r in piece_sampling.sample(keyless).collect()}) == 1
 
 
+def _drawn(seed, n):
+    """Number ``n`` of SplitMix64, in whole numbers."""
+    wrap = (1 << 64) - 1
+    z = (seed + (n + 1) * 0x9E3779B97F4A7C15) & wrap
+    z = ((z ^ z >> 30) * 0xBF58476D1CE4E5B9) & wrap
+    z = ((z ^ z >> 27) * 0x94D049BB133111EB) & wrap
+    return ((z ^ z >> 31) >> 11) / (1 << 53)
+
+
+def _one_by_one(text, seed, alpha):
+    """Sampled ids of a text, word by word with plain lists and exact fractions for the sums."""
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=piece_sampling.public_tokenizers.path(piece_sampling.MODEL))
+    ids = {model.id_to_piece(i): i for i in range(len(model)) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i))}
+    best = max(model.get_score(i) for i in ids.values())
+    weight = {i: Fraction(math.exp(-alpha * math.log(2 + best - model.get_score(i)))) for i in ids.values()}
+    spelt = lambda ch: [model.piece_to_id(f"<0x{b:02X}>") for b in ch.encode()]
+    out, begin = [], 0
+    text = "▁" + text.replace("▁", "\0▁").replace(" ", "▁") if text else ""
+    for own in re.split("(\0▁)", text):
+        if own == "\0▁":
+            out += spelt("▁")
+            begin += 2
+            continue
+        for word in re.findall("▁+[^▁]*|[^▁]+", own):
+            ways, into = [Fraction(1)], [[]]
+            for end in range(1, len(word) + 1):
+                found = [(a, [ids[word[a:end]]], weight[ids[word[a:end]]]) for a in range(max(0, end - 48), end) if word[a:end] in ids]
+                if word[end - 1] not in ids:
+                    found.append((end - 1, spelt(word[end - 1]), Fraction(1e-17)))
+                into.append([(a, i, ways[a] * w) for a, i, w in found])
+                ways.append(sum(x[2] for x in into[-1]))
+            end, back = len(word), []
+            while end:
+                target, total = Fraction(_drawn(seed, begin + end)) * ways[end], Fraction(0)
+                for a, i, w in into[end]:
+                    total += w
+                    if target < total:
+                        break
+                back.append(i)
+                end = a
+            out += [i for part in reversed(back) for i in part]
+            begin += len(word)
+    return out
+
+
+def test_samples_equal_those_drawn_one_by_one(spark, sf):
+    rows = {r.doc_id: (r.n_pieces, r.ids_crc32) for r in queries.op10_sentencepiece(spark, sf).collect()}
+    table = spark.read.parquet(f"{sf}/documents.parquet")
+    seeds = {r.doc_id: r.s for r in table.select("doc_id", piece_sampling.row_seed(F.col("doc_id")).alias("s")).collect()}
+    wrap = (1 << 64) - 1
+    compared = 0
+    for r in given(sf, "documents"):
+        if len(r["text"] or "") < 2500:
+            ids = np.array(_one_by_one(r["text"] or "", seeds[r["doc_id"]] & wrap, piece_sampling.ALPHA), "<u4")
+            assert rows[r["doc_id"]] == (len(ids), zlib.crc32(ids.tobytes())), r["doc_id"]
+            compared += 1
+    assert compared > 100
+    p = piece_sampling.pieces(piece_sampling.public_tokenizers.path(piece_sampling.MODEL), 0.5)
+    texts = ["▁ own ▁▁mark▁ ", "日本語の長い文" * 30 + "\U0001f600\x00\x07", "a1b2c3" * 40, " " * 200 + "x  y", "é" * 129, "word " + "Word" * 32, "x" * 128]
+    seeds = np.array([wrap - i for i in range(len(texts))], np.uint64)
+    ((ids, bounds),) = p.encode_all(texts, seeds)
+    for i, text in enumerate(texts):
+        assert ids[bounds[i] : bounds[i + 1]].tolist() == _one_by_one(text, int(seeds[i]), 0.5) == p.encode(text, int(seeds[i])), text
+
+
 def test_samples_follow_the_lattice():
     p = piece_sampling.Pieces(piece_sampling.public_tokenizers.path(piece_sampling.MODEL), 0.3)
     word = "▁the"
