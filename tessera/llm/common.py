@@ -6,6 +6,7 @@ import atexit
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 #: splits at exactly these: x20 and x09 to x0D.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _own: dict[str, str] = {}
 _written: list[tuple[SparkSession, str]] = []
 
@@ -23,13 +26,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or what ``SparkContext.setCheckpointDir`` was given.
 
-    Only where the session has none (tests on one machine), a folder of our own.
+    Only where the session has none and runs in one process (tests), a folder of our own; elsewhere a missing
+    setting is an error, as executors would write to disks that others can't read.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder:
         return folder.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = "file://" + tempfile.mkdtemp(prefix="tessera-")
@@ -58,11 +65,23 @@ def _discard_all() -> None:
             return
 
 
-def stored(df: DataFrame, name: str, cut: bool = True) -> DataFrame:
+@contextmanager
+def shuffles_end(spark: SparkSession):
+    """Executions in here remove their shuffle files when they end: what they write replaces them."""
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
     """The rows of ``df`` as a written table: its lineage ends there, and any executor may read it."""
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.parquet(path)
+    with shuffles_end(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -72,21 +91,32 @@ def crc_mod(column: str, mod: int):
 
 
 _memos: dict[str, dict] = {}
+_former: dict[str, dict] = {}
 
 
-def memo(owner: str, most: int) -> dict:
+def memo(owner: str, most: int, keep_former: bool = False) -> dict:
     """A worker's memory of what ``owner`` has worked out for words; emptied at ``most`` entries.
 
     A Python worker serves one stage after another; when another owner asks, what the
     former ones remembered is let go, so a worker holds one memory at a time.
+    ``keep_former``: what was in it when it was last emptied stays within reach of ``former``.
     """
     for name in [n for n in _memos if n != owner]:
         del _memos[name]
+        _former.pop(name, None)
     found = _memos.setdefault(owner, {})
     if len(found) > most:
-        found.clear()
+        if keep_former:
+            _former[owner] = found
+            found = _memos[owner] = {}
+        else:
+            found.clear()
     return found
 
 
+def former(owner: str) -> dict:
+    return _former.get(owner, {})
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
