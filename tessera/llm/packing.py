@@ -19,6 +19,7 @@ documents like others; an empty table gives no pieces.
 from __future__ import annotations
 
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -38,7 +39,7 @@ END_ID = 2
 
 def classes(capacity: int = CAPACITY, finest: int = FINEST) -> list[tuple[int, int]]:
     """(piece length, pieces a bin) of each class; the place in the list is the class's number."""
-    large = sorted({capacity // k for k in range(1, finest + 1)}, reverse=True)
+    large = _large(capacity, finest)
     return [(n, capacity // n) for n in [*large, *range(large[-1] - 1, 0, -1)]]
 
 
@@ -46,12 +47,16 @@ def most_left_over(capacity: int = CAPACITY, finest: int = FINEST) -> int:
     return sum(k - 1 for _, k in classes(capacity, finest))
 
 
+@lru_cache(maxsize=8)
+def _large(capacity: int, finest: int) -> list[int]:
+    return sorted({capacity // k for k in range(1, finest + 1)}, reverse=True)
+
+
 def cut(n: int, capacity: int = CAPACITY, finest: int = FINEST) -> list[int]:
     """Piece lengths of a document of ``n`` ids, in order."""
-    sizes = sorted({capacity // k for k in range(1, finest + 1)}, reverse=True)
     out = [capacity] * (n // capacity)
     n %= capacity
-    for size in sizes:
+    for size in _large(capacity, finest):
         while n >= size:
             out.append(size)
             n -= size
@@ -62,21 +67,22 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
     """One row per piece, with its class, the worker that made it and its number there."""
     path = path or public_tokenizers.path(TOKENIZER)
     number = {n: i for i, (n, _) in enumerate(classes(capacity, finest))}
+    end = END_ID.to_bytes(4, "little")
 
     def run(batches):
         bpe, worker, next_of = word_bpe(path), TaskContext.get().partitionId(), [0] * len(number)
         for batch in batches:
             keep, rows, ids_of = [], [], []
-            for at, text in enumerate(batch.column("_text")):
-                ids = np.append(bpe.ids(text.as_py() or b""), np.array([END_ID], "<u4")).astype("<u4")
-                start = 0
-                for length in cut(len(ids), capacity, finest):
+            for at, ids in enumerate(bpe.encode_all(batch.column("_text").to_pylist())):
+                n = len(ids) // 4 + 1
+                view, start = memoryview(ids + end), 0
+                for length in cut(n, capacity, finest):
                     c = number[length]
-                    part = ids[start : start + length]
+                    part = view[4 * start : 4 * (start + length)]
                     keep.append(at)
-                    rows.append((start, length, zlib.crc32(part.tobytes()), len(ids), c, worker, next_of[c]))
+                    rows.append((start, length, zlib.crc32(part), n, c, worker, next_of[c]))
                     if with_ids:
-                        ids_of.append(part.astype(np.int32))
+                        ids_of.append(np.frombuffer(part, "<i4"))
                     next_of[c] += 1
                     start += length
             table = np.array(rows, np.int64).reshape(-1, 7)

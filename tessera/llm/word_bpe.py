@@ -1,27 +1,35 @@
 """Ids of a byte-level BPE with word ends, equal to those of the ``tokenizers`` library, with each distinct word tokenised once.
 
 White space is dropped by this vocabulary's pre-tokeniser, so no token crosses it and a
-text's ids are its words' ids, one after another.  A word of plain letters, digits and
-signs is lower-cased, cut by the vocabulary's own pattern and given to the library's BPE
-model; any other word (other scripts, combining marks, special tokens' strings) goes
-through the library's whole pipeline.
+text's ids are its words' ids, one after another.  The new words of many texts are
+taken together: they are lower-cased and cut by the vocabulary's own pattern in one
+pass over a single string, and each distinct new piece is given to the library's BPE model.  Words with anything but
+plain letters, digits and signs (other scripts, combining marks, special tokens' strings)
+go through the library's whole pipeline, in one call.
 """
 
 from __future__ import annotations
 
 import struct
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import regex
 
-from .common import memo
+from .common import former, memo
 
-_SAFE = regex.compile(r"[\x21-\x7e\xc0-\xff]+")
+#: A word, on a line of its own, that only the whole pipeline can tokenise.
+_ODD = regex.compile(r"^.*(?:[^\x21-\x7e\xc0-\xff\n]|<\|).*$", regex.MULTILINE)
 #: The vocabulary's pre-tokeniser pattern.  Fixed value.
-_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-#: Distinct words and pieces that one worker remembers.
-MEMO = 500_000
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_PIECES = regex.compile(_PATTERN + r"|\n")
+#: Ends a word among ids; ids are smaller than 2**24, so it stands nowhere else.
+_END = b"\xff\xff\xff\xff"
+#: Distinct words and pieces that one worker remembers; as many more from before the last emptying are within reach.
+MEMO = 350_000
+#: Bytes of text whose new words are learnt together.
+TOGETHER = 2_000_000
 
 
 def _byte_letters() -> dict[int, str]:
@@ -40,26 +48,55 @@ class WordBpe:
         self.letters = _byte_letters()
         self.owner = f"word bpe {path}"
 
-    def _word(self, word: bytes, known: dict) -> bytes:
-        """Ids of a word, as bytes."""
-        text = word.decode("utf-8", "replace")
-        if not _SAFE.fullmatch(text) or "<|" in text:
-            return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        ids: list[int] = []
-        for piece in _PIECES.findall(text.lower()):
-            got = known.get(piece)  # pieces are str, words are bytes
-            if got is None:
-                letters = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
-                got = known[piece] = tuple(t.id for t in self.model.tokenize(letters))
-            ids += got
-        return struct.pack(f"<{len(ids)}I", *ids)
+    def _learn(self, words: list[bytes], known: dict) -> None:
+        """Adds the ids of words (bytes), and of their pieces (str), as bytes."""
+        lines = b"\n".join(words).decode("utf-8", "replace")
+        odd = set(_ODD.findall(lines))
+        if odd:
+            texts = lines.split("\n")
+            strange = [i for i, text in enumerate(texts) if text in odd]
+            for i, got in zip(strange, self.whole.encode_batch_fast([texts[i] for i in strange], add_special_tokens=False), strict=True):
+                known[words[i]] = np.array(got.ids, "<u4").tobytes()
+            words = [w for w in words if w not in known]
+            if not words:
+                return
+            lines = b"\n".join(words).decode("utf-8", "replace")
+        pieces = _PIECES.findall(lines.lower())
+        known["\n"] = _END
+        tokenize, letters = self.model.tokenize, self.letters
+        for piece in set(pieces):
+            if piece not in known:
+                ids = [t.id for t in tokenize(piece if piece.isascii() else piece.encode().decode("latin-1").translate(letters))]
+                known[piece] = struct.pack(f"<{len(ids)}I", *ids)
+        known.update(zip(words, b"".join(map(known.__getitem__, pieces)).split(_END), strict=True))
+
+    def encode_all(self, texts: list[bytes | None]) -> Iterator[bytes]:
+        """Ids of each text, as little-endian unsigned 32-bit numbers.  New words are learnt from about TOGETHER bytes of text at a time."""
+        begin = size = 0
+        for i, text in enumerate(texts):
+            size += len(text or b"")
+            if size >= TOGETHER or i + 1 == len(texts):
+                yield from self._encoded(texts[begin : i + 1])
+                begin, size = i + 1, 0
+
+    def _encoded(self, texts: list[bytes | None]) -> Iterator[bytes]:
+        known = memo(self.owner, MEMO, keep_former=True)
+        before = former(self.owner)
+        split = [(text or b"").split() for text in texts]
+        new: set[bytes] = set()
+        for words in split:
+            new.update(words)
+        missing = [w for w in new if w not in known]
+        if before:
+            known.update((w, before[w]) for w in missing if w in before)
+            missing = [w for w in missing if w not in before]
+        if missing:
+            self._learn(missing, known)
+        for words in split:
+            yield b"".join(map(known.__getitem__, words))
 
     def ids(self, text: bytes) -> np.ndarray:
-        words, known = text.split(), memo(self.owner, MEMO)
-        for w in set(words):
-            if w not in known:
-                known[w] = self._word(w, known)
-        return np.frombuffer(b"".join(map(known.__getitem__, words)), "<u4")
+        return np.frombuffer(next(self.encode_all([text])), "<u4")
 
 
 @lru_cache(maxsize=2)
