@@ -7,6 +7,9 @@ import os
 from dataclasses import dataclass, field, replace
 
 
+# The defaults of the parameters are fixed values.
+
+
 @dataclass(frozen=True)
 class Chunking:
     max_parent: int = 1200
@@ -91,6 +94,14 @@ REFUSALS = {
     "generator_error": "生成失败：调用生成模型时发生错误，请稍后重试或检查 API 配置。",
 }
 
+#: What to do about a reason for which a file is not, or only partly, indexed.  Fixed values.
+HINTS = {
+    "dep_missing": "缺解析依赖（装上对应的包即可，安装命令见日志）",
+    "not_implemented": "当前版本不支持该格式（请先转成 Markdown）",
+    "parse_error": "文件损坏或格式不符（建议重新导出）",
+    "degraded": "已降级索引（内容搜得到，但结构有损）",
+}
+
 #: Kind of document by file suffix.  Fixed values.
 KINDS = {"md": "markdown", "markdown": "markdown", "txt": "text", "html": "html", "htm": "html", "docx": "docx", "pdf": "pdf", "doc": "doc"}
 

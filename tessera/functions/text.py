@@ -2,15 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Runs of ASCII letters and digits, or one CJK ideograph.  Fixed value.
 TOKEN = r"[a-z0-9]+|[\x{4e00}-\x{9fff}]"
-#: Sentence ends: after a full-width or closing mark, or after a Western mark before white space.  Fixed value.
-SENTENCE_END = r"(?<=[。！？；!?;．])|(?<=[.!?;])(?=\s)"
 _URL_NAMESPACE = "6ba7b8119dad11d180b400c04fd430c8"
 _BLANK = r"(?U)^\s+|\s+$"
 
@@ -57,26 +53,6 @@ def hash_bucket(token: Column, dim: int) -> Column:
     return (F.conv(F.substring(F.md5(token), 1, 8), 16, 10).cast("long") % dim).cast("int")
 
 
-def hard_split(block: Column, size: Column) -> Column:
-    """Pieces of at most ``size`` characters: sentences packed greedily, longer ones cut; stripped, empty ones dropped."""
-    sentences = F.split(block, SENTENCE_END, -1)
-    last = lambda acc: F.element_at(acc, -1)
-    fits = lambda acc, s: F.length(last(acc)) + F.length(s) <= size
-    grown = lambda acc, s: F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.concat(last(acc), s)))
-    packed = F.aggregate(F.slice(sentences, 2, F.greatest(F.size(sentences) - 1, F.lit(0))), F.slice(sentences, 1, 1), lambda acc, s: F.when(fits(acc, s), grown(acc, s)).otherwise(F.concat(acc, F.array(s))))
-    cut = lambda p: F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.length(p) / size) - 1, F.lit(0)).cast("int")), lambda i: F.substr(p, i * size + 1, size))
-    pieces = F.when(F.length(block) <= size, F.array(block)).otherwise(F.flatten(F.transform(packed, cut)))
-    return F.filter(F.transform(pieces, strip), lambda x: F.length(x) > 0)
-
-
-def join_lines(lines: Column) -> Column:
-    """Stripped lines in one, with a blank only between two ASCII characters."""
-    ascii_ = lambda c: F.ascii(c) < 128
-    gap = lambda acc, x: F.when(ascii_(F.right(acc, F.lit(1))) & ascii_(F.left(x, F.lit(1))), F.lit(" ")).otherwise(F.lit(""))
-    add = lambda acc, x: F.when(F.length(x) == 0, acc).when(F.length(acc) == 0, x).otherwise(F.concat(acc, gap(acc, x), x))
-    return F.aggregate(F.transform(lines, strip), F.lit(""), add)
-
-
 def suffix(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1))
 
@@ -93,14 +69,3 @@ def under_root(source: Column, root: Column) -> Column:
     """Whether a path is the root or below it; ``docs2`` is not below ``docs``."""
     trimmed = F.rtrim(root, F.lit("/"))
     return (source == root) | (source == trimmed) | F.startswith(source, F.concat(trimmed, F.lit("/")))
-
-
-def cosine(a: Column, b: Column) -> Column:
-    """0 for a missing or zero vector."""
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda acc, v: acc + v)
-    norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    return F.coalesce(F.when(norm > 0, dot(a, b) / norm), F.lit(0.0))
-
-
-def any_of(*conditions: Column) -> Column:
-    return reduce(lambda a, b: a | b, conditions)

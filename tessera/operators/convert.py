@@ -6,16 +6,19 @@ import html
 import io
 import re
 import zipfile
+from collections.abc import Iterable
 from html.parser import HTMLParser
+from itertools import groupby
+from operator import itemgetter
 from xml.etree import ElementTree
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..config import KINDS
-from ..functions.text import join_lines, strip, suffix
+from ..config import HINTS, KINDS
+from ..functions.text import strip, suffix
 
 def _two(*names: str) -> T.StructType:
     return T.StructType([T.StructField(n, T.StringType()) for n in names])
@@ -59,46 +62,63 @@ SENTENCE_TAIL = "。！？；…!?;:：\"'）)》】」』"
 LIST_ITEM = r"^\s*(?:[-*+•·]|\d+[.)、](?!\d)\s*|[（(]\d+[)）]\s*)"
 
 
-def is_heading(line: Column, mean_length: Column, ends_paragraph: Column) -> Column:
-    """Whether a line is a heading: short, no sentence end, no list item, before a blank line, and numbered or very short."""
-    t = strip(line)
-    numbered = F.lit(False)
-    for pattern in HEADINGS:
-        numbered = numbered | t.rlike("(?U)" + pattern)
-    short = (F.length(t) <= 20) & (F.length(t) <= F.greatest(F.lit(20.0), mean_length * 0.6))
-    tail = F.instr(F.lit(SENTENCE_TAIL), F.right(t, F.lit(1))) > 0
-    return (F.length(t) > 0) & (F.length(t) <= 60) & ~tail & ~t.rlike("(?U)" + LIST_ITEM) & ends_paragraph & (numbered | short)
+_HEADINGS = [re.compile(p) for p in HEADINGS]
+_LIST_ITEM = re.compile(LIST_ITEM)
 
 
-def reflow(text: Column) -> Column:
-    """Array of (kind, block): heading, paragraph or list.
+def is_heading(line: str, before_blank: bool) -> bool:
+    """Whether a line is a heading: no sentence end, no list item, before a blank line, and at most 20 characters, or numbered and at most 60."""
+    t = line.strip()
+    if not 0 < len(t) <= 60 or not before_blank or t[-1] in SENTENCE_TAIL or _LIST_ITEM.match(t):
+        return False
+    return len(t) <= 20 or any(p.match(t) for p in _HEADINGS)
 
-    Lines of a paragraph are joined; a blank line, a heading and a list item end it.  One
-    fold over the document's own lines, in the JVM, without a shuffle.
+
+def in_one_line(lines: Iterable[str]) -> str:
+    """Stripped, not empty lines in one, with a blank only between two ASCII characters."""
+    out: list[str] = []
+    for line in lines:
+        if out and out[-1][-1].isascii() and line[0].isascii():
+            out.append(" ")
+        out.append(line)
+    return "".join(out)
+
+
+def text_blocks(text: str) -> list[tuple[str, str]]:
+    """(kind, block) pairs of a plain text: heading, paragraph or list.
+
+    A run of ordinary lines is one paragraph; a blank line, a heading and a list item end it.
+    One pass over the lines, whatever their number.
     """
-    lines = F.split(F.regexp_replace(text, r"\r\n|[\r\x{0b}\x{0c}\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}]", "\n"), "\n", -1)
-    full = F.filter(lines, lambda x: F.length(strip(x)) > 0)
-    mean = F.aggregate(full, F.lit(0), lambda acc, x: acc + F.length(x)) / F.greatest(F.size(full), F.lit(1))
-    # the empty piece after a final line end is no line
-    last = F.size(lines) - F.when(F.element_at(lines, -1) == "", 1).otherwise(0)
+    lines = text.splitlines()
+    bare = [line.strip() for line in lines]
+    before_blank = [not b for b in bare[1:]] + [False] * bool(bare)
+    kinds = ["" if not b else "heading" if is_heading(b, e) else "list" if _LIST_ITEM.match(line) else "paragraph" for line, b, e in zip(lines, bare, before_blank, strict=True)]
+    out: list[tuple[str, str]] = []
+    for kind, run in groupby(zip(kinds, bare, strict=True), key=itemgetter(0)):
+        said = [b for _, b in run]
+        if kind == "paragraph":
+            out.append((kind, in_one_line(said)))
+        elif kind:
+            out += [(kind, b) for b in said]
+    return out
+
+
+@F.arrow_udf(T.ArrayType(_two("kind", "block")))
+def reflow(texts: pa.Array) -> pa.Array:
+    """Array of (kind, block) of each text."""
+    rows = [None if t is None else [{"kind": k, "block": b} for k, b in text_blocks(t)] for t in texts.to_pylist()]
+    return pa.array(rows, pa.list_(pa.struct([("kind", pa.string()), ("block", pa.string())])))
 
-    def kind(x: Column, i: Column) -> Column:
-        ends = (i + 1 < last) & (F.length(strip(F.get(lines, i + 1))) == 0)
-        return F.when(F.length(strip(x)) == 0, "blank").when(is_heading(x, mean, ends), "heading").when(x.rlike("(?U)" + LIST_ITEM), "list").otherwise("paragraph")
 
-    marked = F.transform(lines, lambda x, i: F.struct(kind(x, i).alias("kind"), F.array(strip(x)).alias("lines")))
-    grows = lambda acc, m: (m["kind"] == "paragraph") & (F.size(acc) > 0) & (F.element_at(acc, -1)["kind"] == "paragraph")
-    longer = lambda acc, m: F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(m["kind"].alias("kind"), F.concat(F.element_at(acc, -1)["lines"], m["lines"]).alias("lines"))))
-    start = F.array().cast("array<struct<kind: string, lines: array<string>>>")
-    islands = F.aggregate(marked, start, lambda acc, m: F.when(grows(acc, m), longer(acc, m)).otherwise(F.concat(acc, F.array(m))))
-    kept = F.filter(islands, lambda x: x["kind"] != "blank")
-    return F.transform(kept, lambda x: F.struct(x["kind"].alias("kind"), join_lines(x["lines"]).alias("block")))
+@F.arrow_udf(T.StringType())
+def _text_markdown(texts: pa.Array) -> pa.Array:
+    return pa.array([None if t is None else "\n\n".join(f"## {b}" if k == "heading" else b for k, b in text_blocks(t)) for t in texts.to_pylist()], pa.string())
 
 
 def text_to_markdown(text: Column) -> Column:
     """Headings become ``## x``; blocks are separated by blank lines."""
-    blocks = F.transform(reflow(text), lambda b: F.when(b["kind"] == "heading", F.concat(F.lit("## "), b["block"])).otherwise(b["block"]))
-    return normalise(F.array_join(blocks, "\n\n"))
+    return normalise(_text_markdown(text))
 
 
 def normalise(markdown: Column) -> Column:
@@ -114,6 +134,7 @@ NOISE = ("script", "style", "nav", "header", "footer", "aside", "noscript")
 LINE_ELEMENTS = "p|div|br|li|tr|h[1-6]|section|article|ul|ol|dl|dt|dd|table|blockquote|pre"
 _HEADS = ("h1", "h2", "h3", "h4", "h5", "h6")
 _SEMANTIC = (*_HEADS, "p", "li", "pre")
+_VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr")
 
 
 @F.arrow_udf(T.StringType())
@@ -126,42 +147,71 @@ def strip_tags(page: Column) -> Column:
     t = F.regexp_replace(page, rf"(?is)<({'|'.join(NOISE)})\b.*?</\1\s*>", " ")
     t = F.regexp_replace(t, rf"(?i)</?(?:{LINE_ELEMENTS})\b[^>]*>", "\n")
     t = unescape(F.regexp_replace(t, "<[^>]+>", " "))
+    # the three foldings of blanks are fixed values
     t = F.regexp_replace(t, r"[ \t\r\f\x0b]+", " ")
     t = F.regexp_replace(F.regexp_replace(t, " *\n *", "\n"), "\n{3,}", "\n\n")
     return strip(t)
 
 
 class _Blocks(HTMLParser):
-    """Collects the outermost semantic blocks of a page, without noise elements."""
+    """Collects the outermost semantic blocks of a page, without noise elements.
+
+    Open elements lie on a stack.  An end tag closes the latest open element of its name and all that
+    were opened in it; one without an open element says nothing; the end of the page closes all.  So
+    the text of an element that is never closed, such as ``<p>`` or ``<li>`` before the next one, is kept in the
+    block that it stands in.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.noise, self.inside, self.name, self.found, self.texts, self.lang = 0, 0, "", [], [], ""
+        self.open: list[str] = []
+        self.noise, self.block = None, None  # places on the stack of the outermost noise element and semantic block
+        self.found: list[tuple[str, list[str], str]] = []
+        self.texts: list[str] = []
+        self.langs: dict[str, str] = {}
 
     def handle_starttag(self, tag, attrs):
+        if tag in _VOID:
+            return
+        self.open.append(tag)
+        at = len(self.open) - 1
+        if self.noise is not None:
+            return
         if tag in NOISE:
-            self.noise += 1
-        elif not self.noise and tag in _SEMANTIC:
-            if not self.inside:
-                self.name, self.texts, self.lang = tag, [], ""
-            self.inside += 1
-        if self.name == "pre" and self.inside and tag in ("pre", "code") and not self.noise:
+            self.noise = at
+        elif tag in _SEMANTIC and self.block is None:
+            self.block, self.texts, self.langs = at, [], {}
+        if self.block is not None and self.open[self.block] == "pre" and tag in ("pre", "code") and tag not in self.langs:
             named = re.search(r"(?:^|\s)(?:language|lang|highlight)-(\S+)", dict(attrs).get("class") or "")
-            if named and (tag == "code" or not self.lang):
-                self.lang = named[1]
+            self.langs[tag] = named[1] if named else ""
+
+    def handle_startendtag(self, tag, attrs):
+        self.handle_starttag(tag, attrs)
+        self.handle_endtag(tag)
+
+    def _close(self, place: int) -> None:
+        """Closes the elements from ``place`` on the stack on."""
+        if self.block is not None and self.block >= place:
+            self.found.append((self.open[self.block], self.texts, self.langs.get("code") or self.langs.get("pre", "")))
+            self.block = None
+        if self.noise is not None and self.noise >= place:
+            self.noise = None
+        del self.open[place:]
 
     def handle_endtag(self, tag):
-        if tag in NOISE:
-            self.noise = max(0, self.noise - 1)
-        elif not self.noise and tag in _SEMANTIC and self.inside:
-            self.inside -= 1
-            if not self.inside:
-                self.found.append((self.name, self.texts, self.lang))
+        for place in range(len(self.open) - 1, -1, -1):
+            if self.open[place] == tag:
+                self._close(place)
+                return
 
     def handle_data(self, data):
-        if self.inside and not self.noise:
+        if self.block is not None and self.noise is None:
             self.texts.append(data)
 
+    def close(self):
+        super().close()
+        self._close(0)
+
 
 def page_to_markdown(page: str) -> str:
     """Structured conversion: headings one level down, paragraphs, list items and fenced code."""
@@ -248,6 +298,11 @@ def capability(path: Column, structured_html: bool = True) -> Column:
     return F.struct(F.coalesce(ok, F.lit(False)).alias("indexable"), reason.alias("reason"))
 
 
+def hint(reason: Column) -> Column:
+    """What a user can do about a reason; null for none."""
+    return F.element_at(F.create_map(*[F.lit(x) for pair in HINTS.items() for x in pair]), reason)
+
+
 def convert(files: DataFrame, structured_html: bool = True) -> DataFrame:
     """Files (``path, content``) with kind, markdown, available, reason and warnings."""
     rows = files.withColumn("kind", kind_of(F.col("path"))).withColumn("_d", decode_text(F.when(F.col("kind").isin("markdown", "text", "html"), F.col("content"))))
@@ -260,10 +315,3 @@ def convert(files: DataFrame, structured_html: bool = True) -> DataFrame:
     available = F.col("kind").isin("markdown", "text", "html", "docx") & ~F.coalesce(F.col("reason") == "parse_error", F.lit(False))
     empty = F.when(available & (F.length(strip(F.col("markdown"))) == 0), F.lit("empty"))
     return rows.withColumn("available", F.coalesce(available, F.lit(False))).withColumn("encoding", F.col("_d.encoding")).withColumn("warnings", F.array_compact(F.array(empty, F.col("_x.error")))).drop("_d", "_x")
-
-
-def line_numbers(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """``key, line_no, line`` of each line, with whether a blank line follows."""
-    rows = docs.select(key, F.posexplode(F.split(F.col(text), "\n", -1)).alias("line_no", "line"))
-    after = F.lead("line").over(Window.partitionBy(key).orderBy("line_no"))
-    return rows.withColumn("ends_paragraph", F.coalesce(F.length(strip(after)) == 0, F.lit(False)))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import K_VALUES, MIN_ANSWERABLE, MIN_UNANSWERABLE
 from ..functions.text import basename
+from . import contain
 
 
 def matches(anchor: Column, text: Column, heading: Column, source: Column) -> Column:
@@ -73,14 +74,22 @@ def warnings(golden: DataFrame, pseudo_vectors: bool = False) -> DataFrame:
 def check_anchors(golden: DataFrame, parents: DataFrame) -> DataFrame:
     """Anchors that no parent matches: ``qid, anchor, near``, with up to 3 parents that hold the first half of the needle.
 
-    The golden set is small and hand-made; it is exploded and sent to the parents, and each scan
-    task gives counts per anchor.
+    Parents and anchors meet by a string that the parent must hold: the anchor's text, else its heading, else by
+    the file name.  The other fields are then compared for those that met.
     """
     anchors = golden.select("qid", F.posexplode("anchors").alias("anchor", "_a"))
-    pairs = parents.select("parent_id", "parent_text", "heading", "source").join(anchors, matches(F.col("_a"), F.col("parent_text"), F.col("heading"), F.col("source")))
-    found = pairs.groupBy("qid", "anchor").agg(F.lit(1).alias("_found"))
+    given = lambda field: F.length(F.coalesce(field, F.lit(""))) > 0
+    by_text, by_heading = given(F.col("_a.text_contains")), given(F.col("_a.heading_contains"))
+    rows = parents.select("parent_id", "parent_text", "heading", "source")
+    texts = anchors.filter(by_text).withColumn("_n", F.col("_a.text_contains"))
+    heads = anchors.filter(~by_text & by_heading).withColumn("_n", F.col("_a.heading_contains"))
+    names = anchors.filter(~by_text & ~by_heading).withColumn("_n", basename(F.col("_a.source")))
+    met = contain.containing(rows.withColumn("_t", F.col("parent_text")), "_t", texts, "_n").join(texts, "_n")
+    met = met.unionByName(contain.containing(rows.withColumn("_t", F.coalesce("heading", F.lit(""))), "_t", heads, "_n").join(heads, "_n"))
+    met = met.unionByName(rows.withColumn("_n", basename(F.col("source"))).join(names, "_n"))
+    found = met.filter(matches(F.col("_a"), F.col("parent_text"), F.col("heading"), F.col("source"))).select("qid", "anchor").distinct()
     missing = anchors.join(found, ["qid", "anchor"], "left_anti").withColumn("_half", F.left("_a.text_contains", F.ceil(F.length("_a.text_contains") / 2).cast("int")))
-    near = missing.join(parents.select("parent_id", "parent_text"), (F.length("_half") > 0) & F.contains("parent_text", F.col("_half")))
+    near = contain.containing(parents.select("parent_id", "parent_text"), "parent_text", missing, "_half").join(missing, "_half")
     order = Window.partitionBy("qid", "anchor").orderBy("parent_id")
     near = near.withColumn("_n", F.row_number().over(order)).filter("_n <= 3").groupBy("qid", "anchor").agg(F.array_sort(F.collect_list("parent_id")).alias("near"))
     return missing.join(near, ["qid", "anchor"], "left").select("qid", "anchor", F.coalesce("near", F.array().cast("array<string>")).alias("near"))

@@ -12,9 +12,14 @@ from ..functions.text import hash_bucket, tokens
 
 #: A batch of queries of at most this many bytes is sent to every scan task.
 QUERY_BYTES = 64 << 20
-#: Questions sent to the scan, and rows scored, at a time.
+#: Questions and rows that are scored at a time by the hash-vector search.
 QUERIES = 256
 ROWS = 1000
+#: A block of scores has at most so many bytes.
+SCORE_BYTES = 32 << 20
+#: What separates a cosine from one that is equal but for the order of its sums.
+NOISE = 1e-12
+ORDER = ("source", "parent_index", "child_index")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -38,6 +43,38 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
 
 
+def in_order(batch: pa.RecordBatch) -> np.ndarray:
+    """The place of each row in the order of ties: source, parent, child."""
+    order = np.empty(batch.num_rows, np.int64)
+    order[pc.sort_indices(pa.Table.from_batches([batch.select(list(ORDER))]), [(c, "ascending") for c in ORDER]).to_numpy()] = np.arange(batch.num_rows)
+    return order
+
+
+class Best:
+    """The n best scores of each question that a task has seen; what is below them need not leave it."""
+
+    def __init__(self, n: int, questions: int):
+        self.n, self.tops = n, np.full((n, questions), -np.inf)
+
+    def of(self, score: np.ndarray, wanted: np.ndarray, order: np.ndarray, begin: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and questions (from ``begin`` on) among the n best of the score block and of those before; ``wanted`` says which count."""
+        tops = self.tops[:, begin : begin + score.shape[1]]
+        value = np.where(wanted, score, -np.inf)
+        both = np.concatenate([tops, value])
+        tops[:] = np.partition(both, len(both) - self.n, axis=0)[len(both) - self.n :]
+        row, col = np.nonzero(wanted & (value >= tops.min(0)))
+        best = np.lexsort((order[row], -score[row, col], col))
+        row, col = row[best], col[best]
+        keep = np.arange(len(col)) - np.searchsorted(col, col) < self.n
+        return row[keep], col[keep]
+
+
+def ranked_children(found: DataFrame, n: int, qid: str, kind: str) -> DataFrame:
+    """The n best of each question, in order, from what the tasks left."""
+    order = Window.partitionBy("_q").orderBy(F.col("score").desc(), *ORDER)
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n).select(F.col("_q").alias(qid), "rank", "child_id", "score", F.lit(kind).alias("score_kind"))
+
+
 def top_n(vectors: DataFrame, queries: DataFrame, n: int, min_sim: float | None, key: str = "vec_id", vector: str = "embedding", qid: str = "qid", query_vector: str = "embedding") -> DataFrame:
     """``qid, rank, key, score, score_kind`` of the n most similar rows with a cosine of at least ``min_sim`` (ties to the least key).
 
@@ -59,20 +96,15 @@ def top_n(vectors: DataFrame, queries: DataFrame, n: int, min_sim: float | None,
 
         def run(batches, sent=sent):
             ids, q = sent.value
-            for batch in batches:
+            best, rows_at_a_time = Best(n, len(q)), max(1, SCORE_BYTES // (8 * max(1, len(q))))
+            for batch in (b.slice(i, rows_at_a_time) for b in batches for i in range(0, b.num_rows, rows_at_a_time)):
                 m = _unit(_matrix(batch.column("_v")))
                 d = max(m.shape[1], q.shape[1])
                 wide = lambda x: np.pad(x, ((0, 0), (0, d - x.shape[1])))  # noqa: B023, E731
-                score = np.round(wide(q) @ wide(m).T, 6)
-                keys = batch.column("_k")
-                order = np.argsort(np.asarray(pc.array_sort_indices(keys)))
-                row, col = np.nonzero(np.ones_like(score, bool) if min_sim is None else score >= min_sim)
-                s = score[row, col]
-                best = np.lexsort((order[col], -s, row))
-                row, col, s = row[best], col[best], s[best]
-                start = np.searchsorted(row, row)
-                keep = np.arange(len(row)) - start < n
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(row[keep])), keys.take(pa.array(col[keep])), pa.array(s[keep])], ["_q", "_k", "score"])
+                raw = wide(m) @ wide(q).T
+                score, keys = np.round(raw, 6), batch.column("_k")
+                row, col = best.of(score, np.ones_like(score, bool) if min_sim is None else raw >= min_sim - NOISE, np.argsort(np.asarray(pc.array_sort_indices(keys))))
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(col)), keys.take(pa.array(row)), pa.array(score[row, col])], ["_q", "_k", "score"])
 
         got = rows.mapInArrow(run, f"_q {qtype}, _k {ktype}, score double")
         found = got if found is None else found.unionByName(got)
@@ -81,56 +113,38 @@ def top_n(vectors: DataFrame, queries: DataFrame, n: int, min_sim: float | None,
     return ranked.select(F.col("_q").alias(qid), "rank", F.col("_k").alias(key), "score", F.lit("cosine").alias("score_kind"))
 
 
-def sparse_top_n(vectors: DataFrame, queries: DataFrame, children: DataFrame, n: int, min_sim: float, key: str = "child_id", qid: str = "qid") -> DataFrame:
-    """The same for sparse unit vectors (``key, bucket, weight``): an equi-join on buckets, so only rows that share one are scored.
-
-    Rows that share none have cosine 0 and count only where ``min_sim`` <= 0; use it with a positive ``min_sim``.
-    """
-    if min_sim <= 0:
-        raise ValueError("sparse search returns only rows with a positive cosine")
-    pairs = queries.select(F.col(qid), "bucket", F.col("weight").alias("_w")).join(vectors, "bucket")
-    score = pairs.groupBy(qid, key).agg(F.round(F.sum(F.col("weight") * F.col("_w")), 6).alias("score")).filter(F.col("score") >= min_sim)
-    score = score.join(children.select("child_id", "source", "parent_index", "child_index"), key)
-    order = Window.partitionBy(qid).orderBy(F.col("score").desc(), "source", "parent_index", "child_index")
-    return score.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n).select(qid, "rank", key, "score", F.lit("cosine").alias("score_kind"))
-
-
 def hash_top_n(children: DataFrame, queries: DataFrame, n: int, min_sim: float, dim: int, qid: str = "qid", text: str = "question") -> DataFrame:
     """The vector channel on hash vectors, straight from the texts: ``qid, rank, child_id, score, score_kind``.
 
-    Tokens become buckets in the JVM; a task counts them into a small dense block, normalises and
-    multiplies it with a block of at most QUERIES questions, and keeps n rows a question.
-    Ties go by source, parent and child order.
+    Tokens become buckets in the JVM.  The questions' buckets are sent to the scan (in parts of at most QUERY_BYTES, each
+    a pass over the children); a task counts its children's buckets into a small dense block, normalises, multiplies it with the
+    questions, QUERIES at a time, and keeps n rows a question.  Ties go by source, parent and child order.
     """
     spark = children.sparkSession
     buckets = lambda c: F.transform(tokens(c), lambda t: hash_bucket(t, dim))
     asked = queries.select(F.col(qid).alias("_q"), buckets(F.col(text)).alias("_b")).filter("_q is not null")
-    blocks = max(1, -(-asked.count() // QUERIES))
+    size = asked.agg(F.sum(F.size("_b") * 4 + 16)).first()[0] or 0
+    passes = max(1, -(-size // QUERY_BYTES))
     qtype = asked.schema["_q"].dataType.simpleString()
-    rows = children.select("child_id", "source", "parent_index", "child_index", buckets(F.col("child_text")).alias("_b"))
+    rows = children.select("child_id", *ORDER, buckets(F.col("child_text")).alias("_b"))
     found = None
-    for block in range(blocks):
-        part = asked.filter(F.pmod(F.xxhash64("_q"), F.lit(blocks)) == block).toArrow()
-        q = _unit(_counts(part.column("_b"), dim)).T
-        sent = spark.sparkContext.broadcast((part.column("_q").combine_chunks(), q))
+    for number in range(passes):
+        part = asked.filter(F.pmod(F.xxhash64("_q"), F.lit(passes)) == number).toArrow()
+        sent = spark.sparkContext.broadcast((part.column("_q").combine_chunks(), part.column("_b").combine_chunks()))
 
         def run(batches, sent=sent):
-            ids, q = sent.value
-            for whole in batches:
-                for batch in (whole.slice(i, ROWS) for i in range(0, whole.num_rows, ROWS)):
-                    score = np.round(_unit(_counts(batch.column("_b"), dim)) @ q, 6)
-                    order = np.empty(batch.num_rows, np.int64)
-                    order[pc.sort_indices(pa.Table.from_batches([batch.drop_columns(["_b"])]), [(c, "ascending") for c in ("source", "parent_index", "child_index")]).to_numpy()] = np.arange(batch.num_rows)
-                    row, col = np.nonzero(score >= min_sim)
-                    s = score[row, col]
-                    best = np.lexsort((order[row], -s, col))
-                    row, col, s = row[best], col[best], s[best]
-                    keep = np.arange(len(col)) - np.searchsorted(col, col) < n
-                    take = pa.array(row[keep])
-                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(col[keep])), *(batch.column(c).take(take) for c in ("child_id", "source", "parent_index", "child_index")), pa.array(s[keep])], ["_q", "child_id", "source", "parent_index", "child_index", "score"])
+            ids, asked = sent.value
+            best = Best(n, len(ids))
+            blocks = [(i, _unit(_counts(asked.slice(i, QUERIES), dim)).T) for i in range(0, len(ids), QUERIES)] if len(ids) <= 8 * QUERIES else None
+            for batch in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
+                m, order = _unit(_counts(batch.column("_b"), dim)), in_order(batch)
+                for begin, q in blocks or ((i, _unit(_counts(asked.slice(i, QUERIES), dim)).T) for i in range(0, len(ids), QUERIES)):
+                    raw = m @ q
+                    score = np.round(raw, 6)
+                    row, col = best.of(score, raw >= min_sim - NOISE, order, begin)
+                    take = pa.array(row)
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(begin + col)), *(batch.column(c).take(take) for c in ("child_id", *ORDER)), pa.array(score[row, col])], ["_q", "child_id", *ORDER, "score"])
 
         got = rows.mapInArrow(run, f"_q {qtype}, child_id string, source string, parent_index int, child_index int, score double")
         found = got if found is None else found.unionByName(got)
-    order = Window.partitionBy("_q").orderBy(F.col("score").desc(), "source", "parent_index", "child_index")
-    ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n)
-    return ranked.select(F.col("_q").alias(qid), "rank", "child_id", "score", F.lit("cosine").alias("score_kind"))
+    return ranked_children(found, n, qid, "cosine")

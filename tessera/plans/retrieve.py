@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import EMBED_DIM, Budget, Chunking, Retrieval
-from ..operators import chunk, context, embed, fuse, lexical, vector
+from ..operators import chunk, contain, context, embed, fuse, lexical, vector
+from ..sources.tables import spread, stored
 
 
 @dataclass(frozen=True)
@@ -19,11 +20,17 @@ class Corpus:
 
 def corpus(documents: DataFrame, params: Chunking | None = None) -> Corpus:
     """Chunks of a ``documents`` table; the id is the source and gives the label."""
-    docs = documents.select(F.col("doc_id").cast("string").alias("source"), "text", F.concat(F.lit("doc_"), F.col("doc_id")).alias("label"))
+    docs = spread(documents.select("doc_id", "text")).select(F.col("doc_id").cast("string").alias("source"), "text", F.concat(F.lit("doc_"), F.col("doc_id")).alias("label"))
     parents = chunk.parents(docs, label="label", params=params)
     return Corpus(parents, chunk.children(parents, params))
 
 
+def written(c: Corpus) -> Corpus:
+    """The same as tables, for plans that read the chunks more than once: they are made once."""
+    parents = stored(c.parents, "parents")
+    return Corpus(parents, stored(c.children, "children"))
+
+
 def questions(benchmark: DataFrame) -> DataFrame:
     return benchmark.select(F.col("item_id").alias("qid"), F.col("text").alias("question"))
 
@@ -38,11 +45,11 @@ def vector_hits(c: Corpus, asked: DataFrame, p: Retrieval, dim: int = EMBED_DIM)
 
 
 def candidates(c: Corpus, asked: DataFrame, p: Retrieval) -> DataFrame:
-    """Fused, one child for each parent, cut to the candidates: in this order."""
+    """Fused, one child for each parent, cut to the candidates: in this order.  A written table of a few rows a question."""
     found = vector_hits(c, asked, p)
     if p.use_bm25:
         found = fuse.rrf([found, keyword_hits(c, asked, p)], p.rrf_k)
-    return fuse.cut(fuse.best_child(fuse.with_parent(found, c.children)), p.candidates)
+    return stored(fuse.cut(fuse.best_child(fuse.with_parent(found, c.children)), p.candidates), "candidates")
 
 
 def retrieve(c: Corpus, asked: DataFrame, p: Retrieval | None = None, dim: int = EMBED_DIM) -> DataFrame:
@@ -65,8 +72,11 @@ def prompts(c: Corpus, asked: DataFrame, p: Retrieval | None = None, b: Budget |
 
 
 def golden_from(benchmark: DataFrame, documents: DataFrame) -> DataFrame:
-    """A golden set of a ``benchmark`` table: an item is answerable if a document holds its text."""
+    """A golden set of a ``benchmark`` table: an item is answerable if a document holds its whole text.
+
+    The anchor is the text's first 60 characters, as a passage may be cut between two parents.
+    """
     asked = questions(benchmark)
-    held = documents.select("text").join(asked, F.contains("text", F.col("question"))).select("qid").distinct().withColumn("answerable", F.lit(True))
+    held = contain.containing(spread(documents.select("text")), "text", asked, "question").distinct().withColumn("answerable", F.lit(True))
     anchor = F.struct(F.lit("").alias("source"), F.lit("").alias("heading_contains"), F.left("question", F.lit(60)).alias("text_contains"))
-    return asked.join(held, "qid", "left").select("qid", "question", F.array(anchor).alias("anchors"), F.coalesce("answerable", F.lit(False)).alias("answerable"), F.lit(True).alias("reviewed"))
+    return asked.join(held, "question", "left").select("qid", "question", F.array(anchor).alias("anchors"), F.coalesce("answerable", F.lit(False)).alias("answerable"), F.lit(True).alias("reviewed"))

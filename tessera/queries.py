@@ -9,6 +9,7 @@ from . import config
 from .functions import text as fn
 from .operators import answer, chunk, context, convert, embed, evaluate, fuse, index, lexical, vector
 from .plans import retrieve
+from .sources.tables import spread, stored
 
 P = config.Retrieval()
 #: The keyword channel alone, at the evaluation's depth.
@@ -22,10 +23,16 @@ def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def _corpus(spark, sf):
+def _chunks(spark, sf):
+    """The corpus as a plan."""
     return retrieve.corpus(_t(spark, sf, "documents"))
 
 
+def _corpus(spark, sf):
+    """The corpus as tables."""
+    return retrieve.written(_chunks(spark, sf))
+
+
 def _asked(spark, sf):
     return retrieve.questions(_t(spark, sf, "benchmark"))
 
@@ -50,22 +57,22 @@ def signatures(spark, sf):
 def token_counts(spark, sf):
     """OP-47, 96, 97: tokens, distinct tokens, estimated prompt tokens."""
     t = fn.tokens(F.col("text"))
-    return _t(spark, sf, "documents").select("doc_id", F.size(t).cast("long").alias("n_tokens"), F.size(F.array_distinct(t)).cast("long").alias("n_terms"), fn.estimate_tokens(F.col("text")).cast("long").alias("prompt_tokens"))
+    return spread(_t(spark, sf, "documents").select("doc_id", "text")).select("doc_id", F.size(t).cast("long").alias("n_tokens"), F.size(F.array_distinct(t)).cast("long").alias("n_terms"), fn.estimate_tokens(F.col("text")).cast("long").alias("prompt_tokens"))
 
 
 def html_strip(spark, sf):
     """OP-03, 32: pages to plain text by tag stripping."""
-    return _t(spark, sf, "pages").select("page_id", convert.strip_tags(F.col("html")).alias("t")).select("page_id", F.length("t").cast("long").alias("n_chars"), F.md5("t").alias("text_md5"))
+    return spread(_t(spark, sf, "pages").select("page_id", "html")).select("page_id", convert.strip_tags(F.col("html")).alias("t")).select("page_id", F.length("t").cast("long").alias("n_chars"), F.md5("t").alias("text_md5"))
 
 
 def html_structured(spark, sf):
     """OP-33, 34: pages to Markdown by their semantic blocks."""
-    return _t(spark, sf, "pages").select("page_id", convert.html_to_markdown(F.col("html")).alias("markdown"))
+    return spread(_t(spark, sf, "pages").select("page_id", "html")).select("page_id", convert.html_to_markdown(F.col("html")).alias("markdown"))
 
 
 def text_reflow(spark, sf):
     """OP-27..31, 38: plain text reflowed to Markdown."""
-    return _t(spark, sf, "documents").select("doc_id", convert.text_to_markdown(F.col("text")).alias("m")).select("doc_id", F.length("m").cast("long").alias("n_chars"), F.md5("m").alias("markdown_md5"))
+    return spread(_t(spark, sf, "documents").select("doc_id", "text")).select("doc_id", convert.text_to_markdown(F.col("text")).alias("m")).select("doc_id", F.length("m").cast("long").alias("n_chars"), F.md5("m").alias("markdown_md5"))
 
 
 def _files(spark, sf):
@@ -99,17 +106,17 @@ def root_match(spark, sf):
 
 def parent_chunks(spark, sf):
     """OP-20, 40..43: parents with ids, headings and order."""
-    return _corpus(spark, sf).parents.select("parent_id", "source", "heading", F.col("parent_index").cast("long").alias("parent_index"), F.col("char_len").cast("long").alias("char_len"), F.md5("parent_text").alias("text_md5"))
+    return _chunks(spark, sf).parents.select("parent_id", "source", "heading", F.col("parent_index").cast("long").alias("parent_index"), F.col("char_len").cast("long").alias("char_len"), F.md5("parent_text").alias("text_md5"))
 
 
 def child_windows(spark, sf):
     """OP-20, 44..46: children with ids and spans."""
-    return _corpus(spark, sf).children.select("child_id", "parent_id", *[F.col(c).cast("long").alias(c) for c in ("child_index", "char_start", "char_end")], F.md5("child_text").alias("text_md5"))
+    return _chunks(spark, sf).children.select("child_id", "parent_id", *[F.col(c).cast("long").alias(c) for c in ("child_index", "char_start", "char_end")], F.md5("child_text").alias("text_md5"))
 
 
 def hash_embedding(spark, sf):
     """OP-48: sparse hash vectors of the documents."""
-    got = embed.hash_vectors(_t(spark, sf, "documents"), "doc_id", "text")
+    got = embed.hash_vectors(spread(_t(spark, sf, "documents").select("doc_id", "text")), "doc_id", "text")
     return got.select("doc_id", F.col("bucket").cast("long").alias("bucket"), F.round("weight", 6).alias("weight"))
 
 
@@ -122,7 +129,7 @@ def embedding_cache(spark, sf):
 
 def ledger_rows(spark, sf):
     """OP-83: children and parents of each source."""
-    c = _corpus(spark, sf)
+    c = _chunks(spark, sf)
     ledger = _t(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("source"), fn.fingerprint(F.encode("text", "UTF-8")).alias("fingerprint"))
     return index.ledger_rows(ledger, c.children)
 
@@ -175,7 +182,7 @@ def index_summary(spark, sf):
 
 def replace_source(spark, sf):
     """OP-12, 13, 68: children after the labelled sources were replaced and the toxic ones deleted."""
-    c, labels = _corpus(spark, sf).children, _t(spark, sf, "labels")
+    c, labels = _chunks(spark, sf).children, _t(spark, sf, "labels")
     source = F.col("doc_id").cast("string").alias("source")
     toxic, again = labels.filter("toxic = 1").select(source), labels.filter("toxic = 0").select(source)
     new = c.join(again, "source", "left_semi").filter("child_index = 0")
@@ -310,7 +317,8 @@ def golden_items(spark, sf):
 def _judged(spark, sf):
     c, q = _corpus(spark, sf), _asked(spark, sf)
     hits = fuse.cut(fuse.best_child(fuse.with_parent(retrieve.keyword_hits(c, q, TOP), c.children)), TOP.top_k)
-    return evaluate.judge(hits, c.parents, _golden(spark, sf)), c
+    golden = stored(_golden(spark, sf), "golden")
+    return stored(evaluate.judge(hits, c.parents, golden), "judged"), c, golden
 
 
 def judged_hits(spark, sf):
@@ -320,8 +328,8 @@ def judged_hits(spark, sf):
 
 def eval_metrics(spark, sf):
     """OP-58, 77..80, 110: recall, hit rate, MRR and nDCG at each k."""
-    g = _golden(spark, sf)
-    return evaluate.metrics(evaluate.item_metrics(_judged(spark, sf)[0], g)).withColumn("k", F.col("k").cast("long"))
+    judged, _, golden = _judged(spark, sf)
+    return evaluate.metrics(evaluate.item_metrics(judged, golden)).withColumn("k", F.col("k").cast("long"))
 
 
 def eval_warnings(spark, sf):
@@ -337,7 +345,8 @@ def anchor_check(spark, sf):
 
 def failure_list(spark, sf):
     """OP-94: answerable items that were not found at once."""
-    got = evaluate.failures(evaluate.item_metrics(_judged(spark, sf)[0], _golden(spark, sf)), _judged(spark, sf)[0])
+    judged, _, golden = _judged(spark, sf)
+    got = evaluate.failures(evaluate.item_metrics(judged, golden), judged)
     return got.select("qid", "first_rank", "rank", "parent_id")
 
 

@@ -1,5 +1,9 @@
+import functools
+import hashlib
 import math
 import random
+import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -13,26 +17,64 @@ from tessera.streaming import incremental
 HITS = "qid int, rank int, child_id string, parent_id string, child_text string, source string, score double, score_kind string"
 
 
-def test_keyword_search_equals_joined_scores(spark, sf):
-    c = retrieve.corpus(spark.read.parquet(f"{sf}/documents.parquet"))
-    asked = retrieve.questions(spark.read.parquet(f"{sf}/benchmark.parquet"))
-    index_ = lexical.fit(c.children)
-    best = {}
-    for r in lexical.scores(index_, asked).collect():
-        best.setdefault(r.qid, []).append(r.score)
-    for r in lexical.search(index_, asked, c.children, 5).collect():
-        assert abs(sorted(best[r.qid], reverse=True)[r["rank"] - 1] - r.score) < 2e-6
-    none = asked.limit(1).withColumn("question", F.lit("zzzzqq ???"))
-    assert lexical.search(index_, none, c.children, 5).count() == 0
-    assert lexical.search(index_, asked.limit(0), c.children, 5).count() == 0
+WORDS = re.compile("[a-z0-9]+|[\u4e00-\u9fff]")
 
 
-def test_hash_search_equals_bucket_join(spark, sf):
-    c = retrieve.corpus(spark.read.parquet(f"{sf}/documents.parquet"))
-    asked = retrieve.questions(spark.read.parquet(f"{sf}/benchmark.parquet"))
-    sparse = vector.sparse_top_n(embed.hash_vectors(c.children, "child_id", "child_text"), embed.hash_vectors(asked, "qid", "question"), c.children, 5, 0.35)
-    key = lambda df: sorted((r.qid, r["rank"], r.child_id, r.score) for r in df.collect())
-    assert key(vector.hash_top_n(c.children, asked, 5, 0.35, 1536)) == key(sparse)
+def ranked(children, asked, score, n, least):
+    """(qid, rank, child_id, score) of the n best children, one by one."""
+    out = []
+    for q in asked:
+        found = [(-s, c.source, c.parent_index, c.child_index, c.child_id) for c in children if (s := round(score(q, c), 6)) >= least]
+        out += [(q.qid, rank + 1, f[4], -f[0]) for rank, f in enumerate(sorted(found)[:n])]
+    return out
+
+
+def found_by(df):
+    return sorted((r.qid, r["rank"], r.child_id, r.score) for r in df.collect())
+
+
+def test_keyword_search_equals_brute_force(spark, sf, monkeypatch):
+    c = retrieve.corpus(spark.read.parquet(f"{sf}/documents.parquet").limit(60))
+    asked = retrieve.questions(spark.read.parquet(f"{sf}/benchmark.parquet").limit(12))
+    children = c.children.collect()
+    said = {r.child_id: Counter(WORDS.findall(r.child_text.lower())) for r in children}
+    df = Counter(t for s in said.values() for t in s)
+    mean = sum(sum(s.values()) for s in said.values()) / len(said)
+
+    def bm25(q, child):
+        tf = said[child.child_id]
+        weigh = lambda n: n * 2.5 / (n + 1.5 * (0.25 + 0.75 * sum(tf.values()) / mean))
+        return sum(math.log(1 + (len(said) - df[t] + 0.5) / (df[t] + 0.5)) * weigh(tf[t]) for t in WORDS.findall(q.question.lower()) if t in tf)
+
+    fitted = lexical.fit(c.children)
+    want = ranked(children, asked.collect(), bm25, 5, 1e-6)
+    close = lambda got: len(got) == len(want) and all(g[:3] == w[:3] and abs(g[3] - w[3]) < 3e-6 for g, w in zip(got, sorted(want), strict=True))
+    assert close(found_by(lexical.search(fitted, asked, c.children, 5)))
+    for name, value in (("QUERIES", 5), ("CHILDREN", 7), ("WEIGHTS", 40)):  # blocks and passes change nothing
+        monkeypatch.setattr(lexical, name, value)
+    assert close(found_by(lexical.search(fitted, asked, c.children, 5)))
+    none = asked.limit(1).withColumn("question", F.lit("zzzzqq ???"))
+    assert lexical.search(fitted, none, c.children, 5).count() == 0
+    assert lexical.search(fitted, asked.limit(0), c.children, 5).count() == 0
+
+
+def test_hash_search_equals_brute_force(spark, sf, monkeypatch):
+    c = retrieve.corpus(spark.read.parquet(f"{sf}/documents.parquet").limit(60))
+    asked = retrieve.questions(spark.read.parquet(f"{sf}/benchmark.parquet").limit(12))
+    children = c.children.collect()
+
+    @functools.cache
+    def hashed(text):
+        got = Counter(int(hashlib.md5(t.encode()).hexdigest()[:8], 16) % 1536 for t in WORDS.findall(text.lower()))
+        norm = math.sqrt(sum(n * n for n in got.values()))
+        return {k: n / norm for k, n in got.items()}
+
+    cosine = lambda q, child: sum(w * hashed(child.child_text).get(k, 0.0) for k, w in hashed(q.question).items())
+    want = sorted(ranked(children, asked.collect(), cosine, 5, 0.35))
+    assert found_by(vector.hash_top_n(c.children, asked, 5, 0.35, 1536)) == want
+    for name, value in (("QUERIES", 5), ("ROWS", 7), ("QUERY_BYTES", 500)):
+        monkeypatch.setattr(vector, name, value)
+    assert found_by(vector.hash_top_n(c.children, asked, 5, 0.35, 1536)) == want
     assert vector.hash_top_n(c.children, asked.limit(0), 5, 0.35, 1536).count() == 0
 
 
@@ -90,16 +132,14 @@ def test_vector_search_edges(spark):
     got = {r.vec_id: r.score for r in vector.top_n(v, asked, 10, 0.0).collect()}
     assert got == {1: 1.0, 2: 0.0, 3: 0.0, 5: 1.0}
     assert vector.top_n(v, asked.limit(0), 5, 0.1).count() == 0
-    with pytest.raises(ValueError):
-        vector.sparse_top_n(v, v, v, 5, 0.0)
+    near = spark.createDataFrame([(1, [0.3499996, math.sqrt(1 - 0.3499996**2)]), (2, [0.35, math.sqrt(1 - 0.35**2)])], v.schema)
+    assert [r.vec_id for r in vector.top_n(near, asked, 5, 0.35).collect()] == [2]
 
 
 def test_embedding(spark):
     rows = spark.createDataFrame([(1, "a b a"), (2, "!!! ---"), (3, "")], "id int, t string")
     sparse = embed.hash_vectors(rows, "id", "t")
     assert sorted(round(r.weight, 6) for r in sparse.collect()) == [round(1 / math.sqrt(5), 6), round(2 / math.sqrt(5), 6)]
-    maps = {r.id: r.m for r in rows.select("id", embed.hash_array(F.col("t")).alias("m")).collect()}
-    assert maps[2] == {} and {(1, b): round(w, 9) for b, w in maps[1].items()} == {(r.id, r.bucket): round(r.weight, 9) for r in sparse.collect()}
     assert len(embed.dense(sparse, "id").first().embedding) == 1536
     calls = embed.embed(rows, "t", lambda ts: [[float(len(t)), 1.0] for t in ts], 2)
     assert {r.id: r.embedding for r in calls.collect()} == {1: [5.0, 1.0], 2: [7.0, 1.0], 3: [0.0, 1.0]}

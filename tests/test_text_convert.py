@@ -1,4 +1,5 @@
 import io
+import time
 import uuid
 import zipfile
 
@@ -22,8 +23,7 @@ def test_strings(spark):
     assert one(spark, fn.uuid5, "文档::0::块") == str(uuid.uuid5(uuid.NAMESPACE_URL, "文档::0::块"))
     assert [one(spark, fn.estimate_tokens, "x" * n) for n in (0, 1, 3, 1000)] == [1, 1, 2, 666]
     assert one(spark, lambda c: fn.hash_bucket(c, 1536), "连") == 216
-    join = lambda *lines: one(spark, fn.join_lines, list(lines), "array<string>")
-    assert join("hello ", " world") == "hello world" and join("中文", "继续", "abc") == "中文继续abc" and join("", " ") == ""
+    assert convert.in_one_line(["hello", "world"]) == "hello world" and convert.in_one_line(["中文", "继续", "abc"]) == "中文继续abc" and convert.in_one_line([]) == ""
     assert one(spark, fn.stem, "/a/b.c/report.v2.md") == "report.v2"
     for root, ok in (("/d/docs", True), ("/d/docs/", True), ("/d/doc", False), ("/d/docs/a.md", True)):
         assert one(spark, lambda c, root=root: fn.under_root(c, F.lit(root)), "/d/docs/a.md") is ok
@@ -56,6 +56,24 @@ def test_html(spark):
     assert convert.page_to_markdown("") == ""
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<p>a<p>b", "a b\n"), ("<ul><li>one<li>two</ul><p>tail</p>", "- one two\n\ntail\n"), ("<h1>t</h1><p>x<div>y</div><p>z</p>", "## t\n\nx y z\n"),
+        ("<p>a</div>b<nav>n<p>m</nav>c</p></p><p>d<br>e<br/>f", "a b c\n\nd e f\n"), ("<nav>open <p>lost", ""), ("<pre class='lang-x'><code class='y'>q", "```x\nq\n```\n"), ("</p>x<li>y", "- y\n"),
+    ],
+)
+def test_html_that_is_not_closed(page, want):
+    assert convert.page_to_markdown(page) == want
+
+
+def test_long_texts_reflow_in_linear_time():
+    line = "some words of a line\n"
+    began = time.perf_counter()
+    assert convert.text_blocks(line * 40_000)[0][1].startswith("some words of a line some")
+    assert time.perf_counter() - began < 5
+
+
 def docx(body):
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as z:
