@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import time
+from collections.abc import Callable, Iterable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -74,21 +75,42 @@ def echo(blocks: Column, params: Answering | None = None) -> Column:
     return F.when(F.size(blocks) > 0, F.concat(F.lit(ECHO_HEADER + "\n"), said)).otherwise(F.lit(ECHO_NONE))
 
 
+def generator_call(model: Callable, retry: int, backoff: float) -> Callable:
+    """``model`` with retries; None after the last failure."""
+
+    def one(prompt: str):
+        for attempt in range(max(1, retry)):
+            try:
+                return model(prompt)
+            except Exception:
+                if attempt + 1 < retry:
+                    time.sleep(backoff * 2**attempt)
+        return None
+
+    return one
+
+
 def generator(model: Callable[[str], str], retry: int = 2, backoff: float = 0.8):
     """UDF prompt -> text of a remote model; null after the last failure."""
-    import time
+    whole = generator_call(model, retry, backoff)
 
     @F.pandas_udf("string")
     def udf(prompts: pd.Series) -> pd.Series:
-        def one(prompt: str) -> str | None:
-            for attempt in range(retry):
-                try:
-                    return model(prompt)
-                except Exception:
-                    time.sleep(backoff * 2**attempt if attempt + 1 < retry else 0)
-            return None
-
-        return prompts.map(one)
+        return prompts.map(whole)
+
+    return udf
+
+
+def streamed(model: Callable[[str], Iterable[str]], retry: int = 2, backoff: float = 0.8):
+    """UDF prompt -> pieces of a model that answers bit by bit, in order, empty ones left out; null after the last failure.
+
+    A stream that breaks is asked for anew from its start, so no piece is given twice.
+    """
+    whole = generator_call(lambda prompt: [piece for piece in model(prompt) if piece], retry, backoff)
+
+    @F.pandas_udf("array<string>")
+    def udf(prompts: pd.Series) -> pd.Series:
+        return prompts.map(whole)
 
     return udf
 

@@ -40,7 +40,7 @@ def judge(hits: DataFrame, parents: DataFrame, golden: DataFrame, by: tuple[str,
 def item_metrics(judged: DataFrame, golden: DataFrame, runs: DataFrame | None = None, k_values: tuple[int, ...] = K_VALUES) -> DataFrame:
     """Per item (and run) and k: coverage, hit, reciprocal rank, nDCG, first_rank."""
     by = ["run", "qid"] if runs is not None else ["qid"]
-    items = golden.select("qid", "answerable", "reviewed", F.size("anchors").alias("_n"))
+    items = golden.select("qid", "answerable", "reviewed", F.size("anchors").alias("_n"), *(["error"] if "error" in golden.columns else []))
     items = items.join(F.broadcast(runs)) if runs is not None else items  # a run is a row of a small configuration
     items = items.withColumn("k", F.explode(F.array(*[F.lit(k) for k in k_values])))
     seen = judged.groupBy(*by).agg(F.collect_list(F.struct("rank", "matched")).alias("_h"))
@@ -51,23 +51,55 @@ def item_metrics(judged: DataFrame, golden: DataFrame, runs: DataFrame | None =
     gain = F.aggregate(good, F.lit(0.0), lambda acc, x: acc + 1 / F.log2(x["rank"] + 1.0))
     ideal = F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(good), F.lit(1))), F.lit(0.0), lambda acc, i: acc + 1 / F.log2(i + 1.0))
     return rows.select(
-        *by, "k", "answerable", "reviewed", first.alias("first_rank"),
+        *by, "k", "answerable", "reviewed", *(["error"] if "error" in rows.columns else []), first.alias("first_rank"),
         F.when(F.col("_n") > 0, F.size(F.array_distinct(F.flatten(F.transform(top, lambda x: x["matched"])))) / F.col("_n")).otherwise(0.0).alias("recall"),
         F.when(F.coalesce(first <= F.col("k"), F.lit(False)), 1.0).otherwise(0.0).alias("hit"), F.when(F.coalesce(first <= F.col("k"), F.lit(False)), 1 / first).otherwise(0.0).alias("rr"),
         F.when(F.size(good) > 0, gain / ideal).otherwise(0.0).alias("ndcg"),
     )
 
 
+def pair(golden: DataFrame, results: DataFrame) -> DataFrame:
+    """Golden items with their results (``qid, answerable``, and ``error, used_ratio, dropped`` where known).
+
+    Every item has exactly one result, and it agrees whether the item is answerable; anything else raises ValueError.
+    """
+    n = results.groupBy("qid").agg(F.count("*").alias("_n"), F.first("answerable").alias("_said"))
+    both = golden.select("qid", "answerable").join(n, "qid", "full")
+    wrong = both.filter((F.coalesce("_n", F.lit(0)) != 1) | F.col("answerable").isNull() | (F.col("answerable") != F.col("_said"))).limit(5).collect()
+    if wrong:
+        raise ValueError(f"items and results do not match: {[(r.qid, r._n, r.answerable, r._said) for r in wrong]}")
+    given = dict(results.dtypes)
+    columns = [F.col(c).cast(kind).alias(c) if c in given else F.lit(None).cast(kind).alias(c) for c, kind in (("error", "string"), ("used_ratio", "double"), ("dropped", "int"))]
+    return golden.join(results.select("qid", *columns), "qid")
+
+
+def _counts(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``_expected``: reviewed, answerable and, if errors are known, retrieved without one."""
+    failed = F.col("error").isNotNull() if "error" in rows.columns else F.lit(False)
+    return rows.withColumn("_expected", F.col("answerable") & F.col("reviewed") & ~failed)
+
+
 def metrics(items: DataFrame, with_run: bool = False) -> DataFrame:
-    """Means over the reviewed, answerable items."""
+    """Means over the reviewed, answerable items that were retrieved without error; zeros where there are none."""
     by = ["run", "k"] if with_run else ["k"]
-    return items.filter("answerable and reviewed").groupBy(*by).agg(F.count("*").alias("n"), *[F.round(F.avg(c), 6).alias(name) for c, name in (("recall", "recall"), ("hit", "hit_rate"), ("rr", "mrr"), ("ndcg", "ndcg"))])
+    mean = lambda c: F.round(F.coalesce(F.avg(F.when(F.col("_expected"), F.col(c))), F.lit(0.0)), 6)
+    return _counts(items).groupBy(*by).agg(F.count_if("_expected").alias("n"), *[mean(c).alias(name) for c, name in (("recall", "recall"), ("hit", "hit_rate"), ("rr", "mrr"), ("ndcg", "ndcg"))])
+
+
+def counts(paired: DataFrame) -> DataFrame:
+    """One row over paired items: how many there are of each kind, and how full the contexts of the expected ones were."""
+    mean = lambda c: F.round(F.coalesce(F.avg(F.when(F.col("_expected"), F.col(c))), F.lit(0.0)), 6)
+    return _counts(paired).agg(
+        F.count("*").alias("n_items"), F.count_if("answerable").alias("n_answerable"), F.count_if(~F.col("answerable")).alias("n_unanswerable"),
+        F.count_if("_expected").alias("n_expected"), mean("used_ratio").alias("avg_used_ratio"), mean("dropped").alias("avg_dropped"),
+    )
 
 
 def warnings(golden: DataFrame, pseudo_vectors: bool = False) -> DataFrame:
-    """One row with the reasons to distrust the metrics."""
-    n = golden.agg(F.count_if(~F.col("reviewed")).alias("u"), F.count_if(F.col("answerable") & F.col("reviewed")).alias("a"), F.count_if(~F.col("answerable")).alias("x"))
-    said = [F.when(F.col("u") > 0, "unreviewed_items"), F.when(F.col("a") < MIN_ANSWERABLE, "few_answerable"), F.when(F.col("x") < MIN_UNANSWERABLE, "few_unanswerable"), F.when(F.lit(pseudo_vectors), "pseudo_vectors")]
+    """One row with the reasons to distrust the metrics.  Paired items may have an ``error``."""
+    failed = F.col("error").isNotNull() if "error" in golden.columns else F.lit(False)
+    n = _counts(golden).agg(F.count_if(~F.col("reviewed")).alias("u"), F.count_if("_expected").alias("a"), F.count_if(~F.col("answerable")).alias("x"), F.count_if(failed).alias("f"))
+    said = [F.when(F.col("u") > 0, "unreviewed_items"), F.when(F.col("a") < MIN_ANSWERABLE, "few_answerable"), F.when(F.col("x") < MIN_UNANSWERABLE, "few_unanswerable"), F.when(F.col("f") > 0, "failed_items"), F.when(F.lit(pseudo_vectors), "pseudo_vectors")]
     return n.select(F.array_compact(F.array(*said)).alias("warnings"))
 
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens
+from ..functions.text import basename, tokens
 
 
 def rrf(channels: list[DataFrame], k: int = 60, weights: list[float] | None = None) -> DataFrame:
@@ -110,3 +110,12 @@ def channel_overlap(a: DataFrame, b: DataFrame) -> DataFrame:
     both = a.select("qid", "child_id", F.lit(1).alias("_a"), F.lit(0).alias("_b")).unionByName(b.select("qid", "child_id", F.lit(0).alias("_a"), F.lit(1).alias("_b")))
     each = both.groupBy("qid", "child_id").agg(F.max("_a").alias("_a"), F.max("_b").alias("_b"))
     return each.groupBy("qid").agg(F.count_if((F.col("_a") == 1) & (F.col("_b") == 1)).alias("both"), F.count_if(F.col("_b") == 0).alias("only_a"), F.count_if(F.col("_a") == 0).alias("only_b"))
+
+
+def rows_to_show(hits: DataFrame, limit: int = 10, chars: int = 80) -> DataFrame:
+    """The first hits of each question for a table on a screen: rank, score in 4 digits, its scale, file, heading and the beginning of the text."""
+    heading = F.col("heading") if "heading" in hits.columns else F.lit(None).cast("string")
+    return cut(hits, limit).select(
+        "qid", "rank", F.coalesce(F.format_string("%.4f", F.col("score").cast("double")), F.lit("-")).alias("score"), F.coalesce("score_kind", F.lit("-")).alias("score_kind"),
+        basename(F.coalesce("source", F.lit(""))).alias("file"), F.coalesce(F.nullif(heading, F.lit("")), F.lit("-")).alias("heading"), F.translate(F.left(F.coalesce("child_text", F.lit("")), F.lit(chars)), "\n", " ").alias("preview"),
+    )

@@ -127,6 +127,17 @@ h2 AS (SELECT page_id, replace(replace(replace(replace(t, '&quot;', '"'), '&copy
 h3 AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(t, '[ \t\r\f\x0b]+', ' ', 'g'), ' *\n *', chr(10), 'g'), '\n{{3,}}', chr(10) || chr(10), 'g') AS t FROM h2),
 h AS (SELECT page_id, {_strip("t")} AS t FROM h3)"""
 
+#: Headings, paragraphs and list items of the given pages, none of which stands in another; pieces between tags are joined by a blank if both sides are ASCII.
+_BLOCK = "|".join(rf"<{n}\b[^>]*>.*?</{n}>" for n in ("h1", "p", "li"))
+MARKDOWN = rf"""
+k0 AS (SELECT page_id, regexp_extract_all(t, '(?is){_BLOCK}') AS blocks FROM h0),
+k1 AS (SELECT page_id, unnest(blocks) AS b, unnest(range(0, len(blocks))) AS i FROM k0),
+k2 AS (SELECT page_id, i, lower(regexp_extract(b, '^<([A-Za-z0-9]+)', 1)) AS tag,
+  list_filter(list_transform(string_split_regex(b, '<[^>]*>'), lambda x: [trim(regexp_replace(replace(replace(replace(replace(x, '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '\s+', ' ', 'g'))]), lambda x: length(x[1]) > 0) AS pieces FROM k1),
+k3 AS (SELECT page_id, i, tag, list_reduce(pieces, lambda acc, x: [acc[1] || CASE WHEN unicode(right(acc[1], 1)) < 128 AND unicode(left(x[1], 1)) < 128 THEN ' ' ELSE '' END || x[1]])[1] AS line FROM k2 WHERE len(pieces) > 0),
+k4 AS (SELECT page_id, string_agg(CASE tag WHEN 'h1' THEN '## ' WHEN 'li' THEN '- ' ELSE '' END || line, chr(10) || chr(10) ORDER BY i) AS m FROM k3 GROUP BY page_id),
+k AS (SELECT page_id, coalesce(m || chr(10), '') AS m FROM pages LEFT JOIN k4 USING (page_id))"""
+
 _ITEM = r"'^\s*(?:[-*+•·]|\d+[.)、]([^0-9]|$)|[（(]\d+[)）])'"
 #: No line of the given documents is before a blank line, so none is a heading.
 REFLOW = rf"""
@@ -167,6 +178,7 @@ def oracle_sql() -> dict[str, str]:
         "signatures": f"SELECT {chunk_sig} AS chunk_signature, substr(sha256({chunk_sig} || '|hash:1536'), 1, 8) AS index_signature",
         "token_counts": f"SELECT doc_id, CAST(len({_tok('text')}) AS BIGINT) AS n_tokens, CAST(len(list_distinct({_tok('text')})) AS BIGINT) AS n_terms, {_est('text')} AS prompt_tokens FROM documents",
         "html_strip": f"{w}{HTML} SELECT page_id, CAST(length(t) AS BIGINT) AS n_chars, md5(t) AS text_md5 FROM h",
+        "html_structured": f"{w}{HTML}, {MARKDOWN} SELECT page_id, CAST(length(m) AS BIGINT) AS n_chars, md5(m) AS markdown_md5 FROM k",
         "text_reflow": f"{w}{REFLOW} SELECT doc_id, CAST(length(m) AS BIGINT) AS n_chars, md5(m) AS markdown_md5 FROM r",
         "file_capability": f"{w}{FILES} SELECT path, {kind} AS kind, coalesce(lang IN ('en', 'de', 'es'), false) AS indexable, {reason} AS reason, regexp_extract(path, '([^/]+)\\.[^.]+$', 1) AS label FROM f",
         "corpus_status": f"{w}{FILES} SELECT count(*) AS n_files, CAST(sum(length) AS BIGINT) AS total_bytes, count(*) FILTER (lang IN ('en', 'de', 'es')) AS indexable, count(*) FILTER (lang = 'es') AS degraded, count(*) FILTER (lang IS NULL OR lang NOT IN ('en', 'de', 'es')) AS unsupported, count(*) FILTER (lang = 'es') AS n_degraded, count(*) FILTER (lang = 'fr') AS n_not_implemented FROM f",
@@ -189,6 +201,8 @@ def oracle_sql() -> dict[str, str]:
         "parent_hits": f"{w}{bm25(20)}, {VECTORS}, {FUSED}, {best('fu')} SELECT qid, CAST(rank AS INT) AS rank, child_id, parent_id, score, 'rrf' AS score_kind FROM bc WHERE rank <= 20",
         "parent_dedupe": f"{w}{bm25(20)}, {best('kw', True)} SELECT qid, CAST(rank AS INT) AS rank, parent_id, child_id FROM bc",
         "channel_overlap": f"{w}{bm25(20)}, {VECTORS}, e AS (SELECT coalesce(ve.qid, kw.qid) AS qid, ve.child_id AS a, kw.child_id AS b FROM ve FULL JOIN kw ON ve.qid = kw.qid AND ve.child_id = kw.child_id) SELECT qid, count(*) FILTER (a IS NOT NULL AND b IS NOT NULL) AS both, count(*) FILTER (b IS NULL) AS only_a, count(*) FILTER (a IS NULL) AS only_b FROM e GROUP BY qid",
+        "hit_rows": f"{w}{bm25(20)} SELECT qid, CAST(rank AS INT) AS rank, printf('%.4f', score) AS score, 'bm25' AS score_kind, split_part(source, '/', -1) AS file, CASE WHEN length(heading) > 0 THEN heading ELSE '-' END AS heading, replace(left(child_text, 80), chr(10), ' ') AS preview FROM (SELECT kw.*, c.source, c.child_text, p.heading FROM kw JOIN c USING (child_id) JOIN p USING (parent_id)) WHERE rank <= 10",
+        "reason_hints": f"{w}{FILES}, g AS (SELECT {reason} AS reason FROM f) SELECT reason, count(*) AS n, CASE reason WHEN 'not_implemented' THEN {_q(config.HINTS['not_implemented'])} WHEN 'degraded' THEN {_q(config.HINTS['degraded'])} END AS hint FROM g WHERE reason IS NOT NULL GROUP BY reason",
         "lexical_rerank": f"{w}{bm25(20)}, z AS (SELECT kw.qid, kw.child_id, kw.rank AS was, round(coalesce(len(list_intersect({_tok('question')}, {_tok('child_text')})) / nullif(len(list_distinct({_tok('question')})), 0), 0), 6) AS score FROM kw JOIN c USING (child_id) JOIN q ON q.qid = kw.qid), y AS (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, was) AS INT) AS rank FROM z) SELECT qid, rank, child_id, score FROM y WHERE rank <= 5",
         "history_trim": f"{w}{TURNS}, k AS (SELECT conv_id, turn, sum(CASE WHEN length(line) > 0 THEN length(line) + 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn DESC) - 1 AS n FROM tu), y AS (SELECT conv_id, turn, CASE WHEN n > 0 THEN greatest(1, CAST(trunc(n / 1.5) AS BIGINT)) ELSE 0 END AS suffix_tokens FROM k) SELECT * FROM y WHERE suffix_tokens <= 200",
         "history_render": f"{w}{TURNS}, k AS (SELECT conv_id, coalesce(string_agg(line, chr(10) ORDER BY turn) FILTER (length(line) > 0), '') AS history FROM tu GROUP BY conv_id) SELECT conv_id, md5(history) AS history_md5, CASE WHEN length(history) > 0 THEN {_est('history')} ELSE 0 END AS history_tokens FROM k",
@@ -203,6 +217,17 @@ def oracle_sql() -> dict[str, str]:
 im AS (SELECT g.qid, k, fr, (SELECT count(*) FROM ju WHERE ju.qid = g.qid AND matched AND rank <= k) AS m, (SELECT coalesce(sum(1 / log2(rank + 1)), 0) FROM ju WHERE ju.qid = g.qid AND matched AND rank <= k) AS gain FROM gold g CROSS JOIN ks LEFT JOIN fr USING (qid) WHERE answerable),
 io AS (SELECT *, coalesce((SELECT sum(1 / log2(i + 1)) FROM range(1, m + 1) t(i)), 0) AS ideal FROM im)
 SELECT CAST(k AS BIGINT) AS k, count(*) AS n, round(avg(CASE WHEN m > 0 THEN 1.0 ELSE 0.0 END), 6) AS recall, round(avg(CASE WHEN fr <= k THEN 1.0 ELSE 0.0 END), 6) AS hit_rate, round(avg(CASE WHEN fr <= k THEN CAST(1 AS DOUBLE) / fr ELSE 0 END), 6) AS mrr, round(avg(CASE WHEN m > 0 THEN gain / ideal ELSE 0 END), 6) AS ndcg FROM io GROUP BY k""",
+        "eval_counts": f"{r}{PACKED}, {GOLDEN}, x AS (SELECT answerable, round(used_tokens / 2500, 6) AS ratio, dropped FROM gold JOIN us USING (qid)) SELECT count(*) AS n_items, count(*) FILTER (answerable) AS n_answerable, count(*) FILTER (NOT answerable) AS n_unanswerable, count(*) FILTER (answerable) AS n_expected, round(coalesce(avg(ratio) FILTER (answerable), 0.0), 6) AS avg_used_ratio, round(coalesce(avg(dropped) FILTER (answerable), 0.0), 6) AS avg_dropped FROM x",
+        "policy_rates": f"{r}{PACKED}, {GOLDEN}, e AS (SELECT qid, count(*) AS n FROM bl GROUP BY qid), x AS (SELECT answerable, n IS NULL AS refused, least(n, 3) / n AS coverage FROM gold LEFT JOIN e USING (qid)) SELECT count(*) AS n, 0.0 AS hallucination_rate, 0.0 AS unsupported_rate, round(coalesce(avg(CASE WHEN refused THEN 1.0 ELSE 0.0 END) FILTER (NOT answerable), 0.0), 6) AS refusal_accuracy, round(coalesce(avg(CASE WHEN refused THEN 1.0 ELSE 0.0 END) FILTER (answerable), 0.0), 6) AS miss_rate, round(coalesce(avg(round(coverage, 6)), 0.0), 6) AS avg_coverage FROM x",
+        "mmr_select": f"""{r}s AS (SELECT a.vec_id AS qid, b.vec_id, round(coalesce(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 0), 6) AS score FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0),
+h AS (SELECT *, max(score) OVER w AS hi, min(score) OVER w AS lo FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS was FROM s WHERE score >= 0.35) WHERE was <= 20 WINDOW w AS (PARTITION BY qid)),
+x AS (SELECT qid, vec_id, was, score, CASE WHEN hi > lo THEN (score - lo) / (hi - lo) ELSE 1.0 END AS rel, embedding FROM h JOIN embeddings USING (vec_id)),
+n AS (SELECT a.qid, a.vec_id AS u, b.vec_id AS v, coalesce(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 0) AS near FROM x a JOIN x b USING (qid)),
+g AS (SELECT DISTINCT qid, CAST(0 AS BIGINT) AS rank, CAST([] AS BIGINT[]) AS chosen FROM x
+  UNION ALL
+  SELECT qid, rank, list_append(chosen, pick) FROM (SELECT g.qid, g.rank + 1 AS rank, g.chosen, (SELECT x.vec_id FROM x WHERE x.qid = g.qid AND NOT list_contains(g.chosen, x.vec_id)
+    ORDER BY round(0.7 * rel - (1 - 0.7) * coalesce((SELECT max(near) FROM n WHERE n.qid = x.qid AND n.u = x.vec_id AND list_contains(g.chosen, n.v)), 0), 12) DESC, was LIMIT 1) AS pick FROM g WHERE g.rank < 5) WHERE pick IS NOT NULL)
+SELECT g.qid, CAST(g.rank AS INT) AS rank, x.vec_id AS child_id, x.score, 'cosine' AS score_kind FROM g JOIN x ON x.qid = g.qid AND x.vec_id = g.chosen[-1] WHERE g.rank > 0""",
         "eval_warnings": f"{w}{GOLDEN}, n AS (SELECT count(*) FILTER (answerable) AS a, count(*) FILTER (NOT answerable) AS x FROM gold) SELECT concat_ws(',', CASE WHEN a < 20 THEN 'few_answerable' END, CASE WHEN x < 5 THEN 'few_unanswerable' END, 'pseudo_vectors') AS warnings FROM n",
         "anchor_check": f"{w}{PARENTS}, {GOLDEN}, ms AS (SELECT qid, left(needle, CAST(ceil(length(needle) / 2) AS INT)) AS half FROM gold WHERE NOT EXISTS (SELECT 1 FROM p WHERE contains(p.parent_text, needle))) SELECT qid, least(3, (SELECT count(*) FROM p WHERE contains(p.parent_text, half))) AS n_near FROM ms",
         "failure_list": f"{w}{JUDGED}, fr AS (SELECT qid, min(rank) FILTER (matched) AS first_rank FROM ju GROUP BY qid), bad AS (SELECT g.qid, first_rank FROM gold g LEFT JOIN fr USING (qid) WHERE answerable AND first_rank IS DISTINCT FROM 1 ORDER BY g.qid LIMIT 10) SELECT bad.qid, CAST(first_rank AS INT) AS first_rank, CAST(rank AS INT) AS rank, parent_id FROM bad LEFT JOIN ju ON ju.qid = bad.qid AND rank <= 5",

@@ -67,7 +67,7 @@ def html_strip(spark, sf):
 
 def html_structured(spark, sf):
     """OP-33, 34: pages to Markdown by their semantic blocks."""
-    return spread(_t(spark, sf, "pages").select("page_id", "html")).select("page_id", convert.html_to_markdown(F.col("html")).alias("markdown"))
+    return spread(_t(spark, sf, "pages").select("page_id", "html")).select("page_id", convert.html_to_markdown(F.col("html")).alias("m")).select("page_id", F.length("m").cast("long").alias("n_chars"), F.md5("m").alias("markdown_md5"))
 
 
 def text_reflow(spark, sf):
@@ -245,6 +245,19 @@ def mmr_select(spark, sf):
     return fuse.mmr(hits, v.withColumnRenamed("vec_id", "child_id"), P.top_k, P.mmr_lambda)
 
 
+def hit_rows(spark, sf):
+    """OP-95: the best keyword hits as they are shown."""
+    c, q = _corpus(spark, sf), _asked(spark, sf)
+    hits = fuse.with_parent(retrieve.keyword_hits(c, q, P), c.children).join(c.parents.select("parent_id", "heading"), "parent_id")
+    return fuse.rows_to_show(hits)
+
+
+def reason_hints(spark, sf):
+    """OP-39: what to do about the files that are not, or only partly, indexed."""
+    rows = _files(spark, sf).select(convert.capability(F.col("path"), structured_html=False)["reason"].alias("reason"))
+    return rows.filter("reason is not null").groupBy("reason").agg(F.count("*").alias("n")).select("reason", "n", convert.hint(F.col("reason")).alias("hint"))
+
+
 def lexical_rerank(spark, sf):
     """OP-92: re-ranking of the keyword hits by a lexical scorer."""
     c, q = _corpus(spark, sf), _asked(spark, sf)
@@ -332,6 +345,13 @@ def eval_metrics(spark, sf):
     return evaluate.metrics(evaluate.item_metrics(judged, golden)).withColumn("k", F.col("k").cast("long"))
 
 
+def eval_counts(spark, sf):
+    """OP-71, 80: items paired with their results; numbers of items, and how full the contexts of the expected ones were."""
+    golden = stored(_golden(spark, sf), "golden")
+    results = _packed(spark, sf).select("qid", F.col("utilization").alias("used_ratio"), "dropped").join(golden.select("qid", "answerable"), "qid")
+    return evaluate.counts(evaluate.pair(golden, stored(results, "results")))
+
+
 def eval_warnings(spark, sf):
     """OP-81: reasons to distrust the metrics."""
     return evaluate.warnings(_golden(spark, sf), pseudo_vectors=True).select(F.array_join("warnings", ",").alias("warnings"))
@@ -375,8 +395,8 @@ def full_prompts(spark, sf):
 
 ALL = [
     fingerprints, signatures, token_counts, html_strip, html_structured, text_reflow, file_capability, corpus_status, root_match, parent_chunks, child_windows, hash_embedding, embedding_cache, ledger_rows,
-    index_plan, index_vanished, index_unchanged, index_summary, replace_source, bm25_terms, bm25_topk, vector_topk, hash_vector_topk, rrf_fuse, parent_hits, parent_dedupe, channel_overlap, mmr_select, lexical_rerank,
-    history_trim, history_render, pack_context, render_prompt, citations, support_score, echo_answer, golden_items, judged_hits, eval_metrics, eval_warnings, anchor_check, failure_list, ablation_metrics, policy_rates, full_prompts,
+    index_plan, index_vanished, index_unchanged, index_summary, replace_source, bm25_terms, bm25_topk, vector_topk, hash_vector_topk, rrf_fuse, hit_rows, reason_hints, parent_hits, parent_dedupe, channel_overlap, mmr_select, lexical_rerank,
+    history_trim, history_render, pack_context, render_prompt, citations, support_score, echo_answer, golden_items, judged_hits, eval_metrics, eval_counts, eval_warnings, anchor_check, failure_list, ablation_metrics, policy_rates, full_prompts,
 ]
 
 

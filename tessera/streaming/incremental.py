@@ -12,14 +12,25 @@ from ..operators import chunk
 from ..operators.index import LEDGER, Store, plan_index
 
 
-def index_batch(store: Store, docs: DataFrame, params: Chunking | None = None, identity: str = "hash:1536") -> dict[str, int]:
-    """Indexes documents (``source, text, label``) that are new or changed; returns how many were indexed and skipped.
+def latest(docs: DataFrame, order: str | None = "version") -> DataFrame:
+    """The last of several rows of a source, by the column ``order``; a null is before all.
+
+    Equal ones, and all where there is no such column, can't be told apart: the one with the greatest hash of
+    its content is taken, so that the choice doesn't depend on partitioning.
+    """
+    content = F.sha2(F.concat_ws("\0", F.coalesce("text", F.lit("")), F.coalesce("label", F.lit(""))), 256)
+    by = [F.col(order).isNotNull(), F.col(order)] if order and order in docs.columns else []
+    return docs.groupBy("source").agg(F.max_by(F.struct("text", "label"), F.struct(*by, content)).alias("d")).select("source", "d.*")
+
+
+def index_batch(store: Store, docs: DataFrame, params: Chunking | None = None, identity: str = "hash:1536", order: str | None = "version") -> dict[str, int]:
+    """Indexes documents (``source, text, label``, and ``order``) that are new or changed; returns how many were indexed and skipped.
 
     A micro-batch may be run again after a failure: what it has written is then found unchanged.
     """
     params = params or Chunking()
-    latest = docs.groupBy("source").agg(F.max_by(F.struct("text", "label"), F.length("text")).alias("d")).select("source", "d.*")
-    files = latest.withColumn("content_hash", fingerprint(F.encode("text", "UTF-8"))).withColumn("available", F.lit(True)).withColumn("reason", F.lit(None).cast("string"))
+    files = latest(docs, order)
+    files = files.withColumn("content_hash", fingerprint(F.encode("text", "UTF-8"))).withColumn("available", F.lit(True)).withColumn("reason", F.lit(None).cast("string"))
     ledger = store.read("ledger")
     if ledger is None:
         ledger = docs.sparkSession.createDataFrame([], LEDGER)
@@ -36,6 +47,6 @@ def index_batch(store: Store, docs: DataFrame, params: Chunking | None = None, i
     return {"indexed": counts.get("index", 0), "skipped": counts.get("skip", 0)}
 
 
-def start(stream: DataFrame, store: Store, checkpoint: str, params: Chunking | None = None) -> StreamingQuery:
+def start(stream: DataFrame, store: Store, checkpoint: str, params: Chunking | None = None, order: str | None = "version") -> StreamingQuery:
     """Runs ``index_batch`` over a stream of documents until what is there is done."""
-    return stream.writeStream.foreachBatch(lambda batch, _: index_batch(store, batch, params) and None).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream.writeStream.foreachBatch(lambda batch, _: index_batch(store, batch, params, order=order) and None).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -1,5 +1,6 @@
 import functools
 import hashlib
+import json
 import math
 import random
 import re
@@ -10,8 +11,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera import config, queries
-from tessera.operators import answer, chunk, context, embed, evaluate, fuse, index, lexical, vector
-from tessera.plans import retrieve
+from tessera.operators import answer, chunk, contain, context, embed, evaluate, fuse, index, lexical, vector
+from tessera.plans import report, retrieve, trace
+from tessera.sources import database
 from tessera.streaming import incremental
 
 HITS = "qid int, rank int, child_id string, parent_id string, child_text string, source string, score double, score_kind string"
@@ -253,6 +255,50 @@ def test_incremental_index(spark, tmp_path):
     gone = index.vanished(store.read("ledger"), second, "/d")
     store.sync(store.read("ledger").limit(0), store.read("parents").limit(0), store.read("children").limit(0), gone)
     assert {r.source for r in store.read("children").collect()} == {"/d/a", "/d/c"}
+    assert store.fingerprint("/d/b") is None and store.fingerprint("/d/a") and {r.source for r in store.sources("/d").collect()} == {"/d/a", "/d/c"} and store.sources("/d/a/x").count() == 0
+    one = store.read("parents").filter("source = '/d/c'").select("parent_id").unionByName(spark.createDataFrame([("none",)], "parent_id string"))
+    assert [r.source for r in store.parents(one).collect()] == ["/d/c"] and store.vectors(store.read("children")).count() == 0
+    number = store.version()
+    assert store.vacuum() > 0 and store.version() == number and store.read("children").count() == 2
+    assert store.initialize() == number and index.Store(spark, f"file://{tmp_path}/new").initialize() == 1
+
+
+def test_store_survives_a_writer_that_dies(spark, tmp_path, monkeypatch):
+    store = index.Store(spark, f"file://{tmp_path}/store", buckets=8)
+    kind = "source string, text string, label string, version int"
+    many = spark.createDataFrame([(f"/d/{i}", f"text {i}", "", 1) for i in range(30)], kind)
+    incremental.index_batch(store, many)
+    before, number = {tuple(r) for r in store.read("children").collect()}, store.version()
+    change = spark.createDataFrame([("/d/3", "another text, and a longer one", "", 2), ("/d/3", "short", "", 3), ("/d/3", "a very long text that is out of date " * 3, "", None)], kind)
+
+    def dies(*_):
+        raise OSError("killed")
+
+    monkeypatch.setattr(store, "_publish", dies)
+    with pytest.raises(OSError):
+        incremental.index_batch(store, change)
+    again = index.Store(spark, store.path)
+    assert again.version() == number and {tuple(r) for r in again.read("children").collect()} == before
+    assert incremental.index_batch(again, change) == {"indexed": 1, "skipped": 0}
+    texts = {r.source: r.parent_text for r in again.read("parents").collect()}
+    assert len(texts) == 30 and texts["/d/3"] == "short"
+    folders = [set(again._manifest(n)["tables"]["parents"].values()) for n in (number, number + 1)]
+    assert len(folders[0] - folders[1]) == 1 and len(folders[0] & folders[1]) == len(folders[0]) - 1  # one bucket was rewritten
+    with pytest.raises(RuntimeError):
+        again._publish(again._manifest(number), number + 1)
+
+
+def test_database_tables(spark):
+    assert "vector(7)" in " ".join(database.ddl(7)) and len(database.ddl()) == 7
+    for wrong in (lambda: database.ddl(0), lambda: database.read(spark, "jdbc:x", "other")):
+        with pytest.raises(ValueError):
+            wrong()
+    url, driver = "jdbc:derby:memory:tessera;create=true", "org.apache.derby.jdbc.EmbeddedDriver"
+    rows = spark.createDataFrame([(f"c{i}", "p", f"text {i}", "[0.5, 1]", i) for i in range(9)], "child_id string, parent_id string, child_text string, embedding string, child_index int")
+    rows.write.format("jdbc").options(url=url, dbtable="child_chunk", driver=driver).save()
+    got = database.read(spark, url, "child_chunk", partitions=3, driver=driver)
+    assert got.rdd.getNumPartitions() == 3 and sorted(r.child_id for r in got.filter("child_index > 5").collect()) == ["c6", "c7", "c8"]
+    assert got.first().embedding == [0.5, 1.0]
 
 
 def test_stream(spark, tmp_path):
@@ -265,6 +311,80 @@ def test_stream(spark, tmp_path):
         spark.createDataFrame([("/d/a", "alpha gamma", "a")], "source string, text string, label string").write.mode("append").parquet(f"{tmp_path}/in")
 
 
+def test_pairing_counts_and_reports(spark, sf):
+    golden = spark.createDataFrame([(1, True, True), (2, True, False), (3, False, True), (4, True, True)], "qid int, answerable boolean, reviewed boolean").withColumn("anchors", F.array(F.struct(F.lit("").alias("source"), F.lit("").alias("heading_contains"), F.lit("x").alias("text_contains"))))
+    rows = [(1, True, None, 0.5, 1), (2, True, None, 0.1, 9), (3, False, None, 0.2, 9), (4, True, "timeout", 0.3, 9)]
+    kind = "qid int, answerable boolean, error string, used_ratio double, dropped int"
+    paired = evaluate.pair(golden, spark.createDataFrame(rows, kind))
+    total = evaluate.counts(paired)
+    assert total.first().asDict() == {"n_items": 4, "n_answerable": 3, "n_unanswerable": 1, "n_expected": 1, "avg_used_ratio": 0.5, "avg_dropped": 1.0}
+    assert evaluate.warnings(paired).first().warnings == ["unreviewed_items", "few_answerable", "few_unanswerable", "failed_items"]
+    for wrong in (rows[:3], [*rows, rows[0]], [*rows[:3], (4, False, None, 0.0, 0)], [*rows[:3], (5, True, None, 0.0, 0)]):
+        with pytest.raises(ValueError):
+            evaluate.pair(golden, spark.createDataFrame(wrong, kind))
+    judged = spark.createDataFrame([(1, 2, "p", [0], "the snippet", 0.7), (4, 1, "p", [0], "s", 0.9)], "qid int, rank int, parent_id string, matched array<int>, snippet string, score double")
+    items = evaluate.item_metrics(judged, paired)
+    measured = {r.k: r for r in evaluate.metrics(items).collect()}
+    assert measured[1].n == 1 and measured[1].mrr == 0 and measured[3].mrr == 0.5
+    nothing = evaluate.metrics(evaluate.item_metrics(judged, paired.filter("not answerable"))).collect()
+    assert [(r.n, r.recall) for r in nothing] == [(0, 0.0)] * 4
+    text = report.evaluation(evaluate.metrics(items), total, evaluate.failures(items, judged), evaluate.warnings(paired), {"vectors": "hash"})
+    assert "| - | 3 | 1.000 | 1.000 | 0.500 |" in text and "failed_items" in text and "first match at rank 2" in text and "the snippet" in text
+    assert json.loads(report.evaluation(evaluate.metrics(items), total, evaluate.failures(items, judged), evaluate.warnings(paired), form="json"))["counts"]["n_items"] == 4
+    missing = spark.createDataFrame([(1, 0, ["p1"]), (2, 0, [])], "qid int, anchor int, near array<string>")
+    assert "anchors: 4, of which 2" in report.anchors(golden, missing) and "half of it stands in p1" in report.anchors(golden, missing)
+    assert "not indexed, " in report.index_summary(index_summary_of(spark))
+    answers = answer.answer(queries._packed(spark, sf), answer.echo(F.col("blocks")))
+    assert "coverage" in report.answers(answers, 3)
+
+
+def index_summary_of(spark):
+    return spark.createDataFrame([(5, 1, 2, 1, 2, 1, 7, 9, 0, {"not_implemented": 2})], "files int, skipped int, indexed int, empty int, unsupported int, degraded int, parents int, children int, deleted int, unsupported_reasons map<string, int>")
+
+
+def test_trace_and_providers(spark):
+    watched = trace.Trace()
+    rows = watched.watch(spark.range(10), "all", most=F.max("id"))
+    rows = watched.watch(rows.filter("id > 6"), "left")
+    assert rows.count() == 3 and watched.report("all") == {"rows": 10, "most": 9} and watched.report("left") == {"rows": 3}
+    with pytest.raises(ValueError):
+        watched.watch(rows, "all")
+
+    def words(prompt):
+        if "bad" in prompt:
+            raise OSError("gone")
+        yield from prompt.split(" ")
+
+    asked = spark.createDataFrame([("a  b",), ("bad",)], "p string")
+    assert [r.t for r in asked.select(answer.streamed(words, backoff=0)("p").alias("t")).collect()] == [["a", "b"], None]
+    texts = spark.createDataFrame([(1, "a"), (2, "bb"), (3, "a"), (4, "ccc")], "id int, t string")
+    cache = spark.createDataFrame([("bb", [2.0])], "t string, embedding array<float>").select(embed.text_key(F.col("t")).alias("key"), "embedding")
+    provider = embed.lazily(lambda: lambda ts: [[float(len(t))] for t in ts])
+    got, fresh = embed.cached(texts, cache, "t", provider, 1)
+    assert {r.id: r.embedding for r in got.collect()} == {1: [1.0], 2: [2.0], 3: [1.0], 4: [3.0]} and fresh.count() == 2
+
+
+def test_anchors_by_text_heading_and_file(spark):
+    a = lambda s="", h="", t="": (s, h, t)
+    golden = spark.createDataFrame([(1, [a(t="needle"), a(t="needle", h="Other"), a(h="Head"), a(s="x/f.md"), a(s="g.md", t="need"), a(s="none.md"), a(t="haystack!")])], "qid int, anchors array<struct<source: string, heading_contains: string, text_contains: string>>")
+    parents = spark.createDataFrame([("p1", "a needle here", "The Head", "/d/f.md"), ("p2", "hays", None, "/d/h.md")], "parent_id string, parent_text string, heading string, source string")
+    assert [(r.anchor, r.near) for r in evaluate.check_anchors(golden, parents).orderBy("anchor").collect()] == [(1, ["p1"]), (4, ["p1"]), (5, []), (6, [])]
+    assert evaluate.check_anchors(golden.withColumn("anchors", F.slice("anchors", 7, 1)), parents.withColumn("parent_text", F.lit("has hays in it"))).first().near == []
+
+
+def test_containing_equals_brute_force(spark, monkeypatch):
+    rng = random.Random(5)
+    texts = [None, "", *("".join(rng.choice("abé ") for _ in range(rng.randrange(60))) for _ in range(80))]
+    needles = [None, "", *sorted({"".join(rng.choice("abé ") for _ in range(rng.randrange(1, 5))) for _ in range(40)})]
+    t = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    n = spark.createDataFrame([(x,) for x in needles * 2], "n string")
+    want = sorted((i, x) for i, text in enumerate(texts) for x in needles if x and x in (text or ""))
+    for size in (contain.NEEDLE_BYTES, 30):
+        monkeypatch.setattr(contain, "NEEDLE_BYTES", size)
+        assert sorted((r.id, r.n) for r in contain.containing(t, "t", n, "n").collect()) == want
+    assert contain.containing(t, "t", n.limit(0), "n").count() == 0
+
+
 def test_reasons(spark):
     rows = [(None, "never_indexed"), ("abc", "legacy_format"), ("h.s", "unchanged"), ("x.s", "content"), ("h.x", "signature"), ("x.x", "content_and_signature")]
     got = spark.createDataFrame(rows, "stored string, want string").select("want", index.fingerprint_reason(F.col("stored"), F.lit("h"), F.lit("s")).alias("r")).collect()
