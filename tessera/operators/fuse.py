@@ -13,6 +13,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import basename, tokens
 
@@ -112,10 +113,16 @@ def channel_overlap(a: DataFrame, b: DataFrame) -> DataFrame:
     return each.groupBy("qid").agg(F.count_if((F.col("_a") == 1) & (F.col("_b") == 1)).alias("both"), F.count_if(F.col("_b") == 0).alias("only_a"), F.count_if(F.col("_a") == 0).alias("only_b"))
 
 
+@F.arrow_udf(T.StringType())
+def _four_digits(scores: pa.Array) -> pa.Array:
+    """As the number itself rounds, not its decimal form."""
+    return pa.array(["-" if x is None else f"{x:.4f}" for x in scores.to_pylist()], pa.string())
+
+
 def rows_to_show(hits: DataFrame, limit: int = 10, chars: int = 80) -> DataFrame:
     """The first hits of each question for a table on a screen: rank, score in 4 digits, its scale, file, heading and the beginning of the text."""
     heading = F.col("heading") if "heading" in hits.columns else F.lit(None).cast("string")
     return cut(hits, limit).select(
-        "qid", "rank", F.coalesce(F.format_string("%.4f", F.col("score").cast("double")), F.lit("-")).alias("score"), F.coalesce("score_kind", F.lit("-")).alias("score_kind"),
+        "qid", "rank", _four_digits(F.col("score").cast("double")).alias("score"), F.coalesce("score_kind", F.lit("-")).alias("score_kind"),
         basename(F.coalesce("source", F.lit(""))).alias("file"), F.coalesce(F.nullif(heading, F.lit("")), F.lit("-")).alias("heading"), F.translate(F.left(F.coalesce("child_text", F.lit("")), F.lit(chars)), "\n", " ").alias("preview"),
     )

@@ -127,16 +127,18 @@ h2 AS (SELECT page_id, replace(replace(replace(replace(t, '&quot;', '"'), '&copy
 h3 AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(t, '[ \t\r\f\x0b]+', ' ', 'g'), ' *\n *', chr(10), 'g'), '\n{{3,}}', chr(10) || chr(10), 'g') AS t FROM h2),
 h AS (SELECT page_id, {_strip("t")} AS t FROM h3)"""
 
-#: Headings, paragraphs and list items of the given pages, none of which stands in another; pieces between tags are joined by a blank if both sides are ASCII.
-_BLOCK = "|".join(rf"<{n}\b[^>]*>.*?</{n}>" for n in ("h1", "p", "li"))
-MARKDOWN = rf"""
-k0 AS (SELECT page_id, regexp_extract_all(t, '(?is){_BLOCK}') AS blocks FROM h0),
-k1 AS (SELECT page_id, unnest(blocks) AS b, unnest(range(0, len(blocks))) AS i FROM k0),
-k2 AS (SELECT page_id, i, lower(regexp_extract(b, '^<([A-Za-z0-9]+)', 1)) AS tag,
-  list_filter(list_transform(string_split_regex(b, '<[^>]*>'), lambda x: [trim(regexp_replace(replace(replace(replace(replace(x, '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '\s+', ' ', 'g'))]), lambda x: length(x[1]) > 0) AS pieces FROM k1),
-k3 AS (SELECT page_id, i, tag, list_reduce(pieces, lambda acc, x: [acc[1] || CASE WHEN unicode(right(acc[1], 1)) < 128 AND unicode(left(x[1], 1)) < 128 THEN ' ' ELSE '' END || x[1]])[1] AS line FROM k2 WHERE len(pieces) > 0),
-k4 AS (SELECT page_id, string_agg(CASE tag WHEN 'h1' THEN '## ' WHEN 'li' THEN '- ' ELSE '' END || line, chr(10) || chr(10) ORDER BY i) AS m FROM k3 GROUP BY page_id),
-k AS (SELECT page_id, coalesce(m || chr(10), '') AS m FROM pages LEFT JOIN k4 USING (page_id))"""
+#: Headings, paragraphs and list items of the given pages: a block lasts until as many of them are closed as were opened, or the article ends;
+#: its pieces between tags are joined by a blank if both sides are ASCII.
+MARKDOWN = r"""
+k0 AS (SELECT page_id, regexp_extract_all(t, '<[^>]*>') AS tags, string_split_regex(t, '<[^>]*>') AS texts FROM h0),
+k1 AS (SELECT page_id, unnest(range(1, len(tags) + 1)) AS i, unnest(tags) AS tag, unnest(texts[2:]) AS said FROM k0),
+k2 AS (SELECT page_id, i, regexp_extract(lower(tag), '^</?([a-z0-9]+)', 1) AS name, CASE WHEN starts_with(tag, '</') THEN -1 ELSE 1 END AS d, said FROM k1),
+k3 AS (SELECT *, sum(CASE WHEN name IN ('h1', 'p', 'li') THEN d ELSE 0 END) OVER w AS depth, count(*) FILTER (name = 'article' AND d = -1) OVER w AS ended FROM k2 WINDOW w AS (PARTITION BY page_id ORDER BY i)),
+k4 AS (SELECT *, count(*) FILTER (name IN ('h1', 'p', 'li') AND d = 1 AND depth = 1) OVER (PARTITION BY page_id ORDER BY i) AS block FROM k3 WHERE ended = 0),
+k5 AS (SELECT page_id, i, block, first_value(name) OVER (PARTITION BY page_id, block ORDER BY i) AS name, trim(regexp_replace(replace(replace(replace(replace(said, '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '\s+', ' ', 'g')) AS piece FROM k4 WHERE depth >= 1),
+k6 AS (SELECT page_id, block, any_value(name) AS name, list_reduce(list([piece] ORDER BY i), lambda acc, x: [acc[1] || CASE WHEN unicode(right(acc[1], 1)) < 128 AND unicode(left(x[1], 1)) < 128 THEN ' ' ELSE '' END || x[1]])[1] AS line FROM k5 WHERE length(piece) > 0 GROUP BY page_id, block),
+k7 AS (SELECT page_id, string_agg(CASE name WHEN 'h1' THEN '## ' WHEN 'li' THEN '- ' ELSE '' END || line, chr(10) || chr(10) ORDER BY block) AS m FROM k6 GROUP BY page_id),
+k AS (SELECT page_id, coalesce(m || chr(10), '') AS m FROM pages LEFT JOIN k7 USING (page_id))"""
 
 _ITEM = r"'^\s*(?:[-*+•·]|\d+[.)、]([^0-9]|$)|[（(]\d+[)）])'"
 #: No line of the given documents is before a blank line, so none is a heading.
