@@ -2,6 +2,10 @@
 
 Stages read what they need besides documents (labels) from ``sf_dir``; the input
 of every stage after the first is a written table.
+
+Defined cases: a null, empty or short text fails the rules; rows with a null id are documents like others; of repeated
+rows and other near-duplicates one stays; texts of any length are whole; columns besides those of documents, whatever
+their names, pass all stages but packing, which returns its own; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,7 +32,10 @@ def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: five-word shingles, similarity 0.8 or more."""
+    """One document of each group of near-duplicates: five-word shingles, similarity 0.8 or more.
+
+    SimHash fingerprints at anchors find the closest pairs, shingles of the sets' prefixes the others; each pair is confirmed by the whole sets.
+    """
     return shingle_sets.keep_one(docs, shingle=SHINGLE)
 
 
