@@ -1,4 +1,8 @@
-"""A compressed FM-index over word ids: BWT in a wavelet matrix, searched backwards for many patterns at a time."""
+"""An FM-index over word ids: BWT in a wavelet matrix, searched backwards for many patterns at a time.
+
+Compressed to log2(different words) bits a word for the text, half a bit a level for ranks and, for weights, 32 bits a word
+(64 if they add up to over 2**32); the suffix array is not kept.
+"""
 
 from __future__ import annotations
 
@@ -68,7 +72,8 @@ class FmIndex:
         self.matrix = WaveletMatrix(text[order - 1], n_words + 2)
         self.before = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=n_words + 2))])
         weight = np.concatenate([np.repeat(np.asarray(weights, np.int64), size), [0]])
-        self.weight = np.concatenate([[0], np.cumsum(weight[order])])
+        total = np.concatenate([[0], np.cumsum(weight[order])])
+        self.weight = total.astype(np.uint32) if total[-1] < 1 << 32 else total
 
     def matches(self, stream: np.ndarray, ends: np.ndarray, length: int, least: int = 2, indexed: bool = False) -> np.ndarray:
         """Capped matching statistics: for each end place in ``stream`` (word ids, -1: not in the index), the weighted

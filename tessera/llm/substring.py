@@ -120,46 +120,70 @@ def _fetched(window: int):
     return run
 
 
-def count_windows(indexed: list[tuple[bytes, int]], streamed: list[bytes], window: int, least: int = 2, own: bool = False) -> list[np.ndarray]:
-    """For each streamed text, the (weighted) number of occurrences of each of its windows among the indexed ones.
-    ``own``: the streamed texts are the indexed ones."""
-    ids: dict[bytes, int] = {}
-    sequences = [np.fromiter((ids.setdefault(w, len(ids)) for w in text.split(b" ")), np.int64) for text, _ in indexed]
-    index = FmIndex(sequences, np.array([w for _, w in indexed], np.int64), len(ids))
-    streams = [np.fromiter((ids.get(w, -1) for w in text.split(b" ")), np.int64) for text in streamed]
-    size = np.fromiter(map(len, streams), np.int64, len(streams))
-    begin = np.cumsum(size) - size
-    ends = np.concatenate([np.arange(b + window - 1, b + s) for b, s in zip(begin, size, strict=True)])
-    found = index.matches(np.concatenate(streams), ends, window, least, own)
-    return np.split(found, np.cumsum(size - window + 1)[:-1])
+class Shard:
+    """FM-index of some weighted texts, to count the windows of texts in."""
+
+    def __init__(self, indexed: list[tuple[bytes, int]], window: int):
+        self.window, self.ids = window, {}
+        sequences = [np.fromiter((self.ids.setdefault(w, len(self.ids)) for w in text.split(b" ")), np.int64) for text, _ in indexed]
+        self.index = FmIndex(sequences, np.array([w for _, w in indexed], np.int64), len(self.ids))
+
+    def count(self, streamed: list[bytes], least: int = 2, own: bool = False) -> list[np.ndarray]:
+        """For each streamed text, the (weighted) number of occurrences of each of its windows among the indexed ones.
+        ``own``: the streamed texts are the indexed ones."""
+        streams = [np.fromiter((self.ids.get(w, -1) for w in text.split(b" ")), np.int64) for text in streamed]
+        size = np.fromiter(map(len, streams), np.int64, len(streams))
+        begin = np.cumsum(size) - size
+        ends = np.concatenate([np.arange(b + self.window - 1, b + s) for b, s in zip(begin, size, strict=True)])
+        found = self.index.matches(np.concatenate(streams), ends, self.window, least, own)
+        return np.split(found, np.cumsum(size - self.window + 1)[:-1])
 
 
 def _searched(window: int, shard_words: int):
-    """Rows sorted by (least, salt, content) -> counts (0, 1, or 2 for more) of the windows of each segment that has any to report."""
+    """Rows sorted by (least, salt, whether to be indexed first, content) -> counts (0, 1, or 2 for more) of the windows of each
+    segment that has any to report.
+
+    Minimisers with few segments share shards, each searched with its own segments.  Of a crowded one (g > 1), the rows
+    of a salt's own index come first; all others stream through that index, about ``shard_words`` words at a time, so a worker holds
+    one index and one such part, however large the crowd is.
+    """
     kind = pa.schema([("least", pa.int64()), ("content", pa.int64()), ("salt", pa.int32()), ("counts", pa.binary())])
 
-    def shard(rows: list[tuple]) -> pa.RecordBatch:
-        crowded = rows[0][3] > 1
-        texts = [r[5] for r in rows]
-        found = count_windows([(r[5], r[2]) for r in rows if r[6]], texts, window, 1 if crowded else 2, own=not crowded)
+    def reported(rows: list[tuple], found: list[np.ndarray]) -> pa.RecordBatch:
         out = [(r[0], r[1], r[4], np.minimum(c, 2).astype(np.uint8).tobytes()) for r, c in zip(rows, found, strict=True) if c.any()]
         return pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], f.type) for i, f in enumerate(kind)], schema=kind)
 
     def run(batches):
-        rows, size, last = [], 0, None
-        for batch in batches:
+        rows, size, last, shard = [], 0, None, None
+
+        def done():
+            """What the rows at hand report; if they are the indexed ones of a crowd, ``shard`` is made of them."""
+            nonlocal shard
+            texts = [r[5] for r in rows]
+            if rows[0][3] == 1:
+                return reported(rows, Shard([(r[5], r[2]) for r in rows], window).count(texts, 2, own=True))
+            if shard is None:
+                shard = Shard([(r[5], r[2]) for r in rows if r[6]], window)
+            return reported(rows, shard.count(texts, 1))
+
+        for batch in (b.slice(i, _ROWS) for b in batches for i in range(0, b.num_rows, _ROWS)):
             for row in zip(*(batch.column(n).to_pylist() for n in ("least", "content", "weight", "g", "salt", "words", "indexed")), strict=True):
                 key = (row[0], row[4])
                 if last is not None and key == last[:2] and row[1] == last[2]:
                     continue  # the same segment, fetched from a repeated row
-                if rows and key != last[:2] and (size >= shard_words or row[3] > 1 or rows[0][3] > 1):
-                    yield shard(rows)
-                    rows, size = [], 0
+                if rows:
+                    crowd, other = rows[0][3] > 1, key != last[:2]
+                    turns = crowd and not other and rows[-1][6] and not row[6]  # the index is complete
+                    if (other and (crowd or row[3] > 1)) or turns or (size >= shard_words and (other or (crowd and not row[6]))):
+                        yield done()
+                        rows, size = [], 0
+                if last is not None and key != last[:2]:
+                    shard = None
                 rows.append(row)
                 size += row[5].count(b" ") + 1
                 last = (*key, row[1])
         if rows:
-            yield shard(rows)
+            yield done()
 
     return run
 
@@ -172,12 +196,10 @@ def _applied(window: int):
         words = (text or b"").split()
         mark = np.zeros(len(words) + 1, np.int64)
         if found:
-            total, seen = np.zeros(len(words), np.int64), set()
+            total = np.zeros(len(words), np.int64)
             for f in found:
-                if (f["start"], f["salt"]) not in seen:  # a repeated row reports its segments again
-                    seen.add((f["start"], f["salt"]))
-                    counts = np.frombuffer(f["counts"], np.uint8)
-                    total[f["start"] : f["start"] + len(counts)] += counts
+                counts = np.frombuffer(f["counts"], np.uint8)
+                total[f["start"] : f["start"] + len(counts)] += counts
             at = np.flatnonzero(total >= 2)
             mark[at] += 1
             mark[at + window] -= 1
@@ -212,10 +234,10 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     fetched = texts.join(asked, ["_id", "_h"]).select("_text", "asked").mapInArrow(_fetched(window), "least long, content long, weight long, g int, words binary")
     salts = F.explode(F.when(F.col("g") > 1, F.sequence(F.lit(0), F.col("g") - 1)).otherwise(F.array(F.lit(0))))
     dealt = fetched.withColumn("salt", salts).withColumn("indexed", F.pmod(F.col("content"), F.col("g")) == F.col("salt"))
-    dealt = dealt.repartition(shuffle_partitions(spark), "least", "salt").sortWithinPartitions("least", "salt", "content")
+    dealt = dealt.repartition(shuffle_partitions(spark), "least", "salt").sortWithinPartitions("least", "salt", F.desc("indexed"), "content")
     found = stored(dealt.select("least", "content", "weight", "g", "salt", "words", "indexed").mapInArrow(_searched(window, shard_words), "least long, content long, salt int, counts binary"), "found")
     of_doc = candidates.join(found, ["least", "content"]).select("_id", "_h", "start", "salt", "counts")
-    of_doc = of_doc.groupBy("_id", "_h").agg(F.collect_list(F.struct("start", "salt", "counts")).alias("found"))
+    of_doc = of_doc.groupBy("_id", "_h").agg(F.collect_set(F.struct("start", "salt", "counts")).alias("found"))  # a set: repeated rows report alike
     joined = named.join(of_doc, ["_id", "_h"], "left")
     return joined.select("_row", _applied(window)(F.col("_row")[text_col].cast("binary"), F.col("found")).alias("_d")).select("_row", "_d.*")
 

@@ -1,10 +1,12 @@
 import hashlib
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from helpers import docs, given, prose
 from oracle import compare
@@ -97,6 +99,40 @@ def test_substring_matches_brute_force(spark, shard_words):
     assert have == Counter((i, t, *x) for i, t, x in zip(ids, texts, slow_substring(texts, 35)))
 
 
+def test_a_crowd_streams_through_its_shards():
+    """Segments of one minimiser, dealt to 4 shards: whole counts, and never more rows at a time than a shard's share or part."""
+    import xxhash
+
+    window, limit = 35, 2000
+    common = prose(3, 40).split()
+    texts = sorted({" ".join([f"a{n % 90}", *common, f"b{n % 70}"]).encode() for n in range(400)})
+    rows = []
+    for salt in range(4):
+        mine = [(1, xxhash.xxh3_64_intdigest(t) >> 1, 1, 4, salt, t, (xxhash.xxh3_64_intdigest(t) >> 1) % 4 == salt) for t in texts]
+        rows += sorted(mine, key=lambda r: (not r[6], r[1]))
+    names = ["least", "content", "weight", "g", "salt", "words", "indexed"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.bool_()]
+    batch = pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
+    total, most = {}, 0
+    for out in substring._searched(window, limit)(iter([batch])):
+        most = max(most, out.num_rows)
+        for r in out.to_pylist():
+            total[r["content"]] = total.get(r["content"], 0) + np.frombuffer(r["counts"], np.uint8).astype(int)
+    assert most <= max(limit // 42 + 1, max(sum(r[6] for r in rows if r[4] == salt) for salt in range(4)))
+    windows = Counter(tuple(t.split()[i : i + window]) for t in texts for i in range(len(t.split()) - window + 1))
+    for t in texts:
+        words = t.split()
+        want = np.array([windows[tuple(words[i : i + window])] for i in range(len(words) - window + 1)])
+        assert (np.minimum(total[xxhash.xxh3_64_intdigest(t) >> 1], 2) == np.minimum(want, 2)).all()
+
+
+def test_equal_rows_take_linear_time(spark):
+    table = docs(spark, [prose(5, 400)] * 3000, ids=[7] * 3000)
+    began = time.perf_counter()
+    rows = substring.deduplicate(table).select("n_words", "n_removed").distinct().collect()
+    assert [(r.n_words, r.n_removed) for r in rows] == [(400, 400)] and time.perf_counter() - began < 60
+
+
 def test_substring_of_small_windows_and_no_rows(spark):
     texts = ["a b a b a", "b a", "c", "a a a a"]
     got = {r["_row"]["doc_id"]: (r["n_words"], r["n_removed"], r["kept"]) for r in substring.deduplicate(docs(spark, texts), window=2).collect()}
