@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -82,7 +84,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = scratch(spark, name)
     with shuffles_end(spark):
         df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._stored_at = path
+    return table
+
+
+def drop(table: DataFrame) -> None:
+    """Removes a table that ``stored`` wrote, once nothing lazy reads it any more."""
+    discard(table.sparkSession, table._stored_at)
+
+
+def small(keys: DataFrame, most: int = 500_000) -> DataFrame:
+    """Marks a table of a few numbers a row for broadcast if it has at most ``most`` rows (about 30 MB as a hash table)."""
+    return F.broadcast(keys) if keys.limit(most + 1).count() <= most else keys
 
 
 def crc_mod(column: str, mod: int):
@@ -114,6 +128,18 @@ def memo(owner: str, most: int, keep_former: bool = False) -> dict:
     return found
 
 
+def forget() -> None:
+    """Lets go of what this worker remembers for other operators, and gives freed memory back to the system."""
+    if _memos or _former:
+        _memos.clear()
+        _former.clear()
+        gc.collect()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
+
+
 def former(owner: str) -> dict:
     return _former.get(owner, {})
 

@@ -1,8 +1,9 @@
 """Web pages to WARC archives, with revisit records for repeated payloads.
 
 Of pages with equal payloads of at least ``min_bytes`` bytes, the one with the largest id is
-the response and the others revisit it.  Digests are SHA-1, computed in the JVM; the
-largest id of each repeated digest is a partial aggregation, and joins back with one row a digest.
+the response and the others revisit it.  Digests are SHA-1, computed in the JVM; payloads are equal if
+SHA-256 and length are, as SHA-1 is known to collide.  The largest id of each repeated payload is a partial
+aggregation; if such are few, they are sent to the scan and no payload is moved, else both sides are shuffled.
 
 Defined cases: a null payload is empty; smaller payloads are all responses; rows that repeat
 the largest id are all responses; a null id revisits whichever id is there, and is a response if none is; a null url is left out.
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import warc
-from .common import scratch
+from .common import scratch, small, stored
 
 MIN_BYTES = 1000
 _ID = "urn:page:"
@@ -25,8 +26,9 @@ def to_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     payload = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
     page = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("target_uri"), payload.alias("payload"))
     page = page.withColumn("sha1", F.sha1("payload")).withColumn("bytes", F.octet_length("payload").cast("long"))
-    repeated = page.filter(F.col("bytes") >= min_bytes).groupBy("sha1", "bytes").agg(F.max("id").alias("last"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    page = page.join(repeated, ["sha1", "bytes"], "left")
+    page = page.withColumn("sha2", F.when(F.col("bytes") >= min_bytes, F.sha2("payload", 256)))
+    repeated = page.filter("sha2 is not null").groupBy("sha2", "bytes").agg(F.max("id").alias("last"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    page = page.join(small(stored(repeated, "repeated"), 200_000), ["sha2", "bytes"], "left")
     revisit = F.col("last").isNotNull() & ~F.col("id").eqNullSafe(F.col("last"))
     urn = lambda c: F.concat(F.lit(f"<{_ID}"), F.coalesce(c.cast("string"), F.lit("none")), F.lit(">"))
     digest = F.concat(F.lit("sha1:"), _base32(F.col("sha1")))
