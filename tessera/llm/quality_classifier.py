@@ -7,7 +7,7 @@ repeats the one before it), each hashed to one of 2**BITS places.  A value is
 log(1 + count), the vector has length 1.
 
 Training: follow-the-regularised-leader, one pass per epoch over a bounded sample
-of labelled rows (``MOST`` rows a label), on the driver.  Scoring: sparse dot
+of labelled rows (``MOST`` rows and ``labelled.MOST_BYTES`` bytes of text a label), on the driver.  Scoring: sparse dot
 products in an Arrow UDF; the weights are 2**BITS floats whatever the corpus size.
 
 Defined cases: a null or empty text has no features and gets the score of the bias;
@@ -32,7 +32,7 @@ from .labelled import labelled_sample
 
 BITS = 18
 #: At most so many labelled rows of each label are learnt from.
-MOST = {0: 6000, 1: 6000}
+MOST = {0: 4000, 1: 4000}
 THRESHOLD = 0.7
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
 _K = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)

@@ -9,8 +9,8 @@ numpy with the gradient of the cross entropy; while training, windows are weight
 a softmax over their own logits that sharpens from the mean to the maximum.  A
 misspelling shares most n-grams, and so most of its vector, with the word it hides.
 
-Training takes a bounded sample of labelled rows (``MOST`` rows a label) on the
-driver.  Scoring is an Arrow UDF over whole texts; the model is of fixed size.
+Training takes a bounded sample of labelled rows (``MOST`` rows and ``labelled.MOST_BYTES`` bytes of text
+a label) on the driver.  Scoring is an Arrow UDF over whole texts; the model is of fixed size.
 
 Defined cases: a null or wordless text is scored as a bag with the zero vector; a text
 of fewer than WINDOW words is one bag; without rows of both labels the score is the
@@ -34,10 +34,10 @@ from .labelled import labelled_sample
 
 BITS = 17
 DIM = 8
-WINDOW = 6
+WINDOW = 2
 MOST = {0: 2000, 1: 1500}
 THRESHOLD = 0.7
-ROUNDS = 70
+ROUNDS = 110
 SEED = 20240229
 _WORD = re.compile(r"\w+")
 _MEMO = 300_000
