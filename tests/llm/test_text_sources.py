@@ -1,3 +1,4 @@
+import functools
 import gzip
 import io
 import math
@@ -221,6 +222,60 @@ def test_scan_finds_notices_inside_long_lines_and_wrapped(spark):
     assert got == Counter((i, p, f) for (i, p), f in want.items())
 
 
+def _slow_scan(text, scanner):
+    """Hits of one text: every line and window with a cue is classified by plain sums, and the best that do not overlap are kept."""
+    import regex
+    from pyspark.ml.feature import HashingTF
+
+    place = functools.cache(HashingTF(numFeatures=1 << license_scan.BITS).indexOf)
+    weights, bias = scanner.model.coefficientMatrix.toArray(), scanner.model.interceptVector.toArray()
+    lines = text.split("\n")
+    by_line = [regex.findall(r"[\p{L}\p{N}]+(?:[.+-][\p{L}\p{N}]+)*", line.lower()) for line in lines]
+    words, line_of = [w for ws in by_line for w in ws], [i for i, ws in enumerate(by_line) for _ in ws]
+    units = [(False, line_of.index(i), ws, [i] * len(ws), lines[i]) for i, ws in enumerate(by_line) if ws]
+    for size in license_scan.WINDOWS:
+        for at in range(0, max(len(words), 1), size // 2):
+            units.append((True, at, words[at : at + size], line_of[at : at + size], " ".join(words[at : at + size])))
+    hits = []
+    for window, begin, ws, of, said in units:
+        if not any(cue in " ".join(ws) for cue in license_scan.CUES):
+            continue
+        grams = set(ws) | {f"{a} {b}" for a, b in zip(ws, ws[1:])}
+        logits = bias + weights[:, sorted({place(g) for g in grams})].sum(1)
+        p = np.exp(logits - logits.max())
+        p /= p.sum()
+        best = 1 + int(p[1:].argmax())
+        if p[best] < scanner.threshold:
+            continue
+        family = scanner.families[best - 1]
+        templates = license_scan._template_grams()[family]
+        similarity = max(len(grams & set(t)) / len(t) for t in templates)
+        own = {g for t in templates for g in t}
+        at = [i for i in range(len(ws)) if " ".join(ws[i : i + 2]) in own]
+        low, high = (min(at), min(max(at) + 1, len(ws) - 1)) if at else (0, len(ws) - 1)
+        hits.append((similarity < license_scan.CONFIRMED, window, -similarity, -p[best], begin, of[low], family, begin + low, begin + high, said))
+    kept = []
+    for x in sorted(hits):
+        if not any((x[7] <= y[8] and y[7] <= x[8]) or (x[5] == y[5] and x[6] == y[6]) for y in kept):
+            kept.append(x)
+    return sorted((x[5], x[6], round(-x[3], 5), round(-x[2], 5), not x[0]) for x in kept)
+
+
+def test_scan_matches_brute_force(spark):
+    import textwrap
+
+    texts = [f"{prose(n, 20)}\n{t}\n{prose(n + 1, 30)} {t} {prose(n + 2, 40)}" for n, t in enumerate(t for ts in license_scan.TEMPLATES.values() for t in ts)]
+    texts += [textwrap.fill(ts[0], 40) + "\n\n" + ts[-1] for ts in license_scan.TEMPLATES.values()] + license_scan.BACKGROUND + ["", "\n", prose(3, 300), "licence", "the copyright\n\nof the domain"]
+    table = docs(spark, [*texts, None, texts[0]], ids=[*range(len(texts)), None, 0])
+    scanner = license_scan.train(table)
+    got = {}
+    for r in license_scan.scan(table, scanner).collect():
+        got.setdefault(r.doc_id, []).append((r.paragraph, r.family, round(r.probability, 5), round(r.similarity, 5), r.confirmed))
+    assert sum(map(len, got.values())) > len(texts) - 30
+    for i, text in enumerate(texts):
+        assert sorted(got.get(i, [])) == sorted(_slow_scan(text, scanner) * (2 if i == 0 else 1)), text
+
+
 def test_scan_on_given_documents(spark):
     sf = "/root/testdata/sf0.01"
     got = Counter((r.doc_id, r.paragraph) for r in queries.op5_license_scan(spark, sf).collect() if r.confirmed)
