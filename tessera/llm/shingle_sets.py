@@ -1,17 +1,22 @@
-"""Near-duplicates by the similarity of their shingle sets, exactly.
+"""Near-duplicates by SimHash, completed to all pairs whose shingle sets are similar.
 
 A text's set holds the hashes of its word shingles (ASCII-lower-cased, white space
 folded).  Two texts link if the Jaccard similarity of their sets is SIMILAR or more.
 
-Search: of a set of s shingles, ordered alike in all texts, the first s - ceil(4/5 s) + 1
+SimHash fingerprints of the same shingles are searched by anchor-point covering (``simhash.link``).
+They find the closest copies; but two sets at a similarity of 0.8 have an angle of 0.48, so
+64-bit fingerprints of them differ in 9.7 bits on average, and 3 bits reach one such pair in a hundred.
+So the texts are searched by their sets too, exactly:
+
+Of a set of s shingles, ordered alike in all texts, the first s - ceil(4/5 s) + 1
 are its prefix.  Two linked sets share at least 4/5 of each, so the first shingle that
 they share stands in both prefixes: texts meet at the shingles of their prefixes, and no
 linked pair is lost whatever the order is.  Shingles that are common in a bounded sample
 come last, so that prefixes are rare shingles; that only saves work.  Where two texts
 meet, their sizes and the places of the shingle bound what they can share.
 
-Only distinct sets are compared; a copy costs nothing.  First each text is compared with
-its neighbour and with the first one at each shingle, and components are formed; then,
+Only distinct sets are compared; a copy costs nothing.  First the pairs that SimHash found, and each text
+with its neighbour and with the first one at each shingle, are confirmed, and components are formed; then,
 at each shingle, the texts outside its largest component with all of other components.
 So a crowd of near copies is linked without all its pairs.  Every pair is confirmed by
 the whole sets, made again for the texts that met.
@@ -29,8 +34,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stored
+from .common import drop, forget, small, stored
 from .components import components
+from .simhash import link, of_hashes, shingle_hashes
 
 #: Similarity from which texts link, as a fraction of whole numbers.
 SIMILAR = (4, 5)
@@ -38,21 +44,12 @@ SIMILAR = (4, 5)
 SAMPLE, COMMON = 10_000, 50_000
 #: Stands for "no id" among the ids; greater than any id.
 _NO_ID = (1 << 63) - 1
-_MARKED = T.StructType([T.StructField("digest", T.BinaryType()), T.StructField("size", T.IntegerType()), T.StructField("prefix", T.ArrayType(T.LongType()))])
+_MARKED = T.StructType([T.StructField("digest", T.BinaryType()), T.StructField("size", T.IntegerType()), T.StructField("fp", T.LongType()), T.StructField("prefix", T.ArrayType(T.LongType()))])
 
 
-def shingle_set(text: bytes | None, shingle: int, seed: int = 42) -> np.ndarray:
+def shingle_set(text: bytes | None, shingle: int) -> np.ndarray:
     """The distinct 64-bit hashes of the text's shingles, ascending."""
-    words = (text or b"").lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    joined = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-    n = max(1, len(words) - shingle + 1)
-    starts = np.concatenate([[0], ends[: n - 1]]).tolist()
-    stops = (ends[min(shingle, len(words)) - 1 :] - 1).tolist()
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.array([digest(joined[a:b], seed) for a, b in zip(starts, stops, strict=True)], np.uint64))
+    return np.unique(shingle_hashes(text, shingle))
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.Array:
@@ -64,6 +61,7 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
 def _sets(text: Column, shingle: int) -> Column:
     @F.arrow_udf(T.ArrayType(T.LongType()))
     def udf(texts: pa.Array) -> pa.Array:
+        forget()
         return _lists([shingle_set(t.as_py(), shingle) for t in texts])
 
     return udf(text.cast("binary"))
@@ -80,17 +78,20 @@ def prefix(found: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.ndar
 
 
 def _marked(text: Column, shingle: int, common: np.ndarray, counts: np.ndarray) -> Column:
-    """Digest and size of the set, and its prefix."""
+    """Digest and size of the set, the fingerprint, and the set's prefix."""
 
     @F.arrow_udf(_MARKED)
     def udf(texts: pa.Array) -> pa.Array:
-        digests, sizes, firsts = [], [], []
+        forget()
+        digests, sizes, marks, firsts = [], [], [], []
         for t in texts:
-            found = shingle_set(t.as_py(), shingle)
+            hashes = shingle_hashes(t.as_py(), shingle)
+            found = np.unique(hashes)
+            marks.append(of_hashes(hashes))
             digests.append(xxhash.xxh3_128_digest(found.tobytes()))
             sizes.append(len(found))
             firsts.append(prefix(found, common, counts))
-        return pa.StructArray.from_arrays([pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), _lists(firsts)], ["digest", "size", "prefix"])
+        return pa.StructArray.from_arrays([pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), pa.array(np.array(marks, np.uint64).view(np.int64)), _lists(firsts)], ["digest", "size", "fp", "prefix"])
 
     return udf(text.cast("binary"))
 
@@ -110,36 +111,66 @@ def _may_link(a: str, b: str) -> str:
     return f"{whole} * least({a}.size, {b}.size) >= {part} * greatest({a}.size, {b}.size) and {part + whole} * ({most}) >= {part} * ({a}.size + {b}.size)"
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
-    """Those of the pairs ``a, b`` that link.  ``texts`` has ``node`` and ``text``."""
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``_row``, the text, and what a row is found again by without moving its text: ``id`` (or what stands for none) and ``h``, a hash of the text.
+    Rows that agree in both are repeated rows."""
+    text = F.col(text_col)
+    return docs.select(F.struct("*").alias("_row"), text.alias("text"), F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("id"), F.xxhash64(text, text.isNull()).alias("h"))
+
+
+def _confirmed(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, shingle: int, repeats: bool) -> DataFrame:
+    """Those of the pairs ``a, b`` that link.  ``nodes`` has ``node, id, h``; ``texts`` has ``id, h, text``.
+
+    The sets of the texts that met are made again; ``repeats`` says that several rows may have the same key.  If those texts are few, their keys are sent to the scan, so only
+    their own texts are moved.
+    """
     part, whole = SIMILAR
     pairs = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    met = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = stored(texts.join(met, "node").select("node", _sets(F.col("text"), shingle).alias("s")), "sets")
+    met = stored(nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node"), "asked")
+    sets = texts.select("id", "h", "text").join(small(met), ["id", "h"]).select("node", _sets(F.col("text"), shingle).alias("s"))
+    sets = stored(sets.groupBy("node").agg(F.first("s").alias("s")) if repeats else sets, "sets")
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
-    return stored(both.filter((part + whole) * shared >= part * (F.size("x") + F.size("y"))).select("a", "b"), "similar")
+    found = stored(both.filter((part + whole) * shared >= part * (F.size("x") + F.size("y"))).select("a", "b"), "similar")
+    for table in (pairs, met, sets):
+        drop(table)
+    return found
+
+
+def _close(sets: DataFrame) -> DataFrame:
+    """``a, b``: pairs to confirm that SimHash finds: equal fingerprints, and those that the anchors link."""
+    first = stored(sets.groupBy("fp").agg(F.min("node").alias("node")), "fingerprints")
+    equal = sets.select("fp", F.col("node").alias("b")).join(first, "fp").filter("node <> b").select(F.col("node").alias("a"), "b")
+    return equal.unionByName(link(first))
 
 
-def links(sets: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
+def links(sets: DataFrame, nodes: DataFrame, texts: DataFrame, shingle: int, repeats: bool) -> DataFrame:
     """``a, b``: links whose components are those of all pairs that are similar enough.
 
-    ``sets`` has ``node``, ``size`` and ``prefix``, one row for each distinct set; ``texts`` has ``node`` and ``text``.
+    ``sets`` is a stored table, dropped here, with ``node``, ``size``, ``fp`` and ``prefix``, one row for each distinct set; ``nodes`` has ``node, id, h`` of them;
+    ``texts`` has ``id, h, text``.
     """
-    rows = sets.select("node", "size", F.posexplode("prefix").alias("place", "key"))
-    here = F.struct("node", "size", "place")
-    order = Window.partitionBy("key").orderBy("size", "node")
-    rows = rows.withColumn("me", here).withColumn("prev", F.lag("me").over(order)).withColumn("lead", F.lead("node").over(order)).withColumn("first", F.first("me").over(order))
-    met = stored(rows.filter("prev is not null or lead is not null").select("key", "me", "prev", "first"), "met")
+    close = stored(_close(sets), "close")
+    rows = sets.select("node", "size", F.posexplode("prefix").alias("place", "key")).select("key", "node", F.shiftleft(F.col("size").cast("long"), 32).bitwiseOR(F.col("place").cast("long")).alias("at"))
+    order = Window.partitionBy("key").orderBy("at", "node")
+    here = F.struct("node", F.shiftright("at", 32).cast("int").alias("size"), F.col("at").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("place"))
+    rows = rows.withColumn("prev", F.lag(here).over(order)).withColumn("lead", F.lead("node").over(order)).withColumn("first", F.first(here).over(order))
+    met = stored(rows.filter("prev is not null or lead is not null").select("key", here.alias("me"), "prev", "first"), "met")
+    drop(sets)
     near = met.filter("prev is not null").select("me", F.explode(F.array("prev", "first")).alias("it"))
-    near = _confirmed(near.filter(_may_link("me", "it")).select(F.col("me.node").alias("a"), F.col("it.node").alias("b")), texts, shingle)
+    near = near.filter(_may_link("me", "it")).select(F.col("me.node").alias("a"), F.col("it.node").alias("b"))
+    near = _confirmed(near.unionByName(close), nodes, texts, shingle, repeats)
+    drop(close)
     groups = components(near)
     named = met.select("key", "me", F.col("me.node").alias("node")).join(groups, "node", "left").select("key", "me", F.coalesce("component", "node").alias("c"))
     main = named.groupBy("key", "c").count().groupBy("key").agg(F.max_by("c", F.struct("count", "c")).alias("main"), F.count("*").alias("n")).filter("n > 1").select("key", "main")
     mixed = stored(named.join(main, "key"), "mixed")
     off, every = mixed.filter("c <> main").select("key", "me", "c").alias("o"), mixed.alias("e")
     far = off.join(every, F.expr(f"o.key = e.key and o.c <> e.c and (e.c = e.main or o.me.node < e.me.node) and {_may_link('o.me', 'e.me')}"))
-    return near.unionByName(_confirmed(far.select(F.col("o.me.node").alias("a"), F.col("e.me.node").alias("b")), texts, shingle))
+    rest = _confirmed(far.select(F.col("o.me.node").alias("a"), F.col("e.me.node").alias("b")), nodes, texts, shingle, repeats)
+    for table in (met, mixed):
+        drop(table)
+    return near.unionByName(rest)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
@@ -148,13 +179,21 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     A repeated row is a copy like any other: of rows that share the least id, one stays.  Of a component
     whose documents have no id at all, one stays.
     """
-    key = F.struct(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("id"), F.monotonically_increasing_id().alias("n"))
-    marked = _marked(F.col(text_col), shingle, *_common(docs, text_col, shingle))
-    numbered = stored(docs.select(F.struct("*").alias("_row"), key.alias("_key"), marked.alias("_set")), "numbered")
-    distinct = stored(numbered.groupBy("_set.digest").agg(F.min("_key").alias("_key")).select("_key"), "first")
-    sets = numbered.select("_key", "_set.size", "_set.prefix").join(distinct, "_key").select(F.col("_key.n").alias("node"), "size", "prefix")
-    texts = numbered.select(F.col("_key.n").alias("node"), F.col("_row")[text_col].alias("text"))
-    groups = components(links(sets, texts, shingle))
-    whole = distinct.select("_key", F.col("_key.n").alias("node")).join(groups, "node", "left")
-    first = whole.groupBy(F.coalesce("component", "node").alias("c")).agg(F.min("_key").alias("_key")).select("_key")
-    return numbered.join(first, "_key").select("_row.*")
+    texts = _keyed(docs, id_col, text_col)
+    common = _common(docs, text_col, shingle)
+    marked = stored(texts.select("id", "h", F.monotonically_increasing_id().alias("n"), _marked(F.col("text"), shingle, *common).alias("_set")).select("id", "h", "n", "_set.*"), "marked")
+    first = stored(marked.groupBy("digest").agg(F.min(F.struct("id", "n", "h")).alias("k")).select("k.id", F.col("k.n").alias("node"), "k.h"), "first")
+    sets = stored(marked.join(first.select(F.col("node").alias("n")), "n").select(F.col("n").alias("node"), "size", "fp", "prefix"), "sets")
+    rows = stored(marked.select("id", "h", "n"), "rows")
+    drop(marked)
+    repeats = not rows.groupBy("id", "h").count().filter("count > 1").isEmpty()
+    groups = components(links(sets, first, texts, shingle, repeats))
+    whole = first.join(groups, "node", "left").groupBy(F.coalesce("component", "node").alias("c"))
+    kept = stored(whole.agg(F.min(F.struct("id", F.col("node").alias("n"), "h")).alias("k")).select("k.*"), "kept")
+    gone = stored(rows.join(kept.select("n"), "n", "left_anti").select("id", "h").distinct(), "gone")
+    # a key of which one row stays and others go is that of repeated rows: all go, and one comes back
+    again = gone.join(kept.select("id", "h"), ["id", "h"], "left_semi")
+    stay = texts.join(small(gone), ["id", "h"], "left_anti").select("_row")
+    if repeats:
+        stay = stay.unionByName(texts.join(small(again), ["id", "h"], "left_semi").dropDuplicates(["id", "h"]).select("_row"))
+    return stay.select("_row.*")

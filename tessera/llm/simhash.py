@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import shuffle_partitions, stored
+from .common import drop, shuffle_partitions, stored
 from .components import components
 
 BITS_APART = 3
@@ -43,24 +43,36 @@ BLOCK = 4096
 _NO_ID = (1 << 63) - 1
 
 
-def fingerprint(text: bytes | None, shingle: int = 3, seed: int = 42) -> int:
-    """Unsigned 64-bit fingerprint of the ASCII-lower-cased text."""
+def shingle_hashes(text: bytes | None, shingle: int, seed: int = 42) -> np.ndarray:
+    """Unsigned XXH64 of each word shingle of the ASCII-lower-cased text, in order, repeats included."""
     words = (text or b"").lower().split()
     if not words:
-        return 0
+        return np.zeros(0, "<u8")
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
     n = max(1, len(words) - shingle + 1)
     starts = np.concatenate([[0], ends[: n - 1]]).tolist()
     stops = (ends[min(shingle, len(words)) - 1 :] - 1).tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], seed) for a, b in zip(starts, stops, strict=True)], "<u8")
+    return np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts, stops, strict=True)), "<u8", n)
+
+
+def of_hashes(hashes: np.ndarray) -> int:
+    """Unsigned 64-bit fingerprint: the bits that are set in over half of the hashes."""
+    n = len(hashes)
+    if not n:
+        return 0
     ones = np.zeros(64, np.int64)
     for at in range(0, n, 1 << 16):
         ones += np.unpackbits(hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * ones > n, bitorder="little").tobytes(), "little")
 
 
+def fingerprint(text: bytes | None, shingle: int = 3, seed: int = 42) -> int:
+    """Unsigned 64-bit fingerprint of the ASCII-lower-cased text."""
+    return of_hashes(shingle_hashes(text, shingle, seed))
+
+
 def fingerprints(text: Column, shingle: int = 3, seed: int = 42) -> Column:
     """Fingerprints as (signed) longs."""
 
@@ -208,18 +220,21 @@ def link(distinct: DataFrame, bits: int = BITS_APART, block: int = BLOCK) -> Dat
     met = met.withColumn("m", mine).withColumn("o", other)
     met = met.withColumn("key", F.when(F.col("g") > 1, F.xxhash64("key", F.least("m", "o"), F.greatest("m", "o"))).otherwise(F.col("key")))
     dealt = met.select("key", "fp", "node", "home").repartition(shuffle_partitions(spark), "key").sortWithinPartitions("key")
-    return dealt.mapInArrow(_compare(bits), "a long, b long").distinct()
+    found = stored(dealt.mapInArrow(_compare(bits), "a long, b long").distinct(), "links")
+    drop(spread)
+    return found
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = 42, bits: int = BITS_APART) -> DataFrame:
     """One row per document: id, ``fp`` (long) and ``component_id``, the least id reachable by links."""
-    marked = stored(docs.select(F.col(id_col).cast("long").alias("_id"), fingerprints(F.col(text_col), shingle, seed).alias("fp")), "fingerprints")
-    distinct = stored(marked.groupBy("fp").agg(F.coalesce(F.min("_id"), F.lit(_NO_ID)).alias("node")), "distinct")
-    # fingerprints without any id can't share a node: they are told apart below all ids and mapped back at the end
-    named = distinct.withColumn("node", F.when(F.col("node") == _NO_ID, F.lit(_NO_ID) - F.pmod(F.col("fp"), F.lit(1 << 40))).otherwise(F.col("node")))
-    groups = components(link(named, bits))
-    whole = named.join(groups, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    whole = whole.withColumn("component_id", F.when(F.col("component_id") >= _NO_ID - (1 << 40), None).otherwise(F.col("component_id")))
+    marked = docs.select(F.col(id_col).cast("long").alias("_id"), F.monotonically_increasing_id().alias("_n"), fingerprints(F.col(text_col), shingle, seed).alias("fp"))
+    marked = stored(marked, "fingerprints")
+    # a fingerprint's node is the place of one of its rows, so fingerprints without any id stay apart
+    distinct = stored(marked.groupBy("fp").agg(F.min("_id").alias("id"), F.min("_n").alias("node")), "distinct")
+    groups = components(link(distinct.select("node", "fp"), bits))
+    named = distinct.join(groups, "node", "left").select("fp", "id", F.coalesce("component", "node").alias("c"))
+    least = named.groupBy("c").agg(F.min("id").alias("component_id"))
+    whole = named.join(least, "c").select("fp", "component_id")
     return marked.join(whole, "fp", "left").select(F.col("_id").alias(id_col), "fp", "component_id")
 
 

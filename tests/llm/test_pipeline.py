@@ -1,6 +1,7 @@
 import random
 
 from helpers import docs, prose
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tessera.llm import simhash
@@ -40,11 +41,28 @@ def test_every_stage_takes_awkward_rows(spark):
             stage(spark, table, sf).collect()
 
 
+def test_every_stage_keeps_other_columns(spark):
+    sf = "/root/testdata/sf0.001"
+    names = ["_row", "kept", "score", "fp", "id", "h", "n", "node", "digest", "_id", "_h", "label", "_m"]
+    table = spark.read.parquet(f"{sf}/documents.parquet").limit(60).withColumns({n: F.concat(F.lit(n), "doc_id") for n in names})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, table, sf)
+        assert out.dtypes == table.dtypes, name
+        assert all(r[n] == f"{n}{r.doc_id}" for r in out.collect() for n in names)
+    assert corpus_pipeline.STAGES[-1][1](spark, table, sf).count() >= 60
+
+
 def _shingles(text):
     words = text.lower().split()
     return frozenset(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4)))
 
 
+def test_repeated_rows_leave_one(spark):
+    texts = [prose(1, 80), prose(1, 80), prose(2, 80), prose(2, 80) + " more", prose(2, 80), None, None]
+    rows = corpus_pipeline.near_dedup(spark, docs(spark, texts, ids=[4, 4, 6, 5, 6, None, None]), None).collect()
+    assert sorted(((r.doc_id, r.text) for r in rows), key=repr) == sorted([(4, texts[0]), (5, texts[3]), (None, None)], key=repr)
+
+
 def test_near_duplicates_match_brute_force(spark):
     rng, texts = random.Random(8), []
     for n in range(40):  # words changed at distances that give similarities from 0.6 to 0.97

@@ -82,3 +82,9 @@ def test_components_of_a_path_and_a_hub(spark):
     hub = [(7, i) for i in range(1000, 1500)]
     got = {r.node: r.component for r in components(spark.createDataFrame(path + hub + [(5, 5)], "a long, b long")).collect()}
     assert all(got[i] == 100 for i in range(100, 161)) and all(got[i] == 7 for i in range(1000, 1500)) and 5 not in got
+
+
+def test_texts_without_ids_stay_apart(spark):
+    texts = [prose(1, 50), prose(2, 50), prose(2, 50), prose(3, 50)]
+    rows = simhash.near_duplicates(docs(spark, texts, ids=[None, None, 9, 3])).collect()
+    assert sorted(((r.doc_id, r.component_id) for r in rows), key=repr) == sorted([(None, None), (None, 9), (9, 9), (3, 3)], key=repr)
