@@ -40,7 +40,7 @@ SYMBOLS = b"#*$%&|<>"
 #: A language's tokens have a bounded entropy, so the most that n tokens can have counts up to this n.
 ENTROPY_TOKENS = 512
 #: Words whose tokenisation one worker remembers.
-MEMO = 250_000
+MEMO = 180_000
 #: Greater than any id.
 _BEYOND = 1 << 20
 

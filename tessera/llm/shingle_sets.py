@@ -129,10 +129,17 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, shingle: in
     met = stored(nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node"), "asked")
     sets = texts.select("id", "h", "text").join(small(met), ["id", "h"]).select("node", _sets(F.col("text"), shingle).alias("s"))
     sets = stored(sets.groupBy("node").agg(F.first("s").alias("s")) if repeats else sets, "sets")
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
+    # first by the upper halves of the hashes, half as many bytes: hashes that agree have equal halves, and at most
+    # ``lost`` shared ones fall together, so this is never too few
+    half = F.array_distinct(F.transform("s", lambda h: F.shiftright(h, 32).cast("int")))
+    halves = sets.select("node", half.alias("t"), F.size("s").alias("n")).withColumn("lost", F.col("n") - F.size("t"))
+    both = pairs.join(halves.select(F.col("node").alias("a"), F.col("t").alias("x"), F.col("n").alias("m"), "lost"), "a").join(halves.select(F.col("node").alias("b"), F.col("t").alias("y"), "n"), "b")
+    likely = both.filter((part + whole) * (F.size(F.array_intersect("x", "y")) + F.col("lost")) >= part * (F.col("m") + F.col("n"))).select("a", "b")
+    likely = stored(likely, "likely")
+    both = likely.join(sets.select(F.col("node").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
     found = stored(both.filter((part + whole) * shared >= part * (F.size("x") + F.size("y"))).select("a", "b"), "similar")
-    for table in (pairs, met, sets):
+    for table in (pairs, met, sets, likely):
         drop(table)
     return found
 
