@@ -1,10 +1,11 @@
 import random
 
+import numpy as np
 from helpers import docs, prose
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tessera.llm import simhash
+from tessera.llm import shingle_sets, simhash
 
 
 def test_stages_in_order(spark):
@@ -103,3 +104,47 @@ def test_near_duplicates_with_awkward_rows(spark):
     assert kept.columns == table.columns
     assert sorted((r.doc_id for r in kept.collect()), key=repr) == sorted([3, 2, 7, None, 20, 22], key=repr)
     assert corpus_pipeline.near_dedup(spark, docs(spark, []), None).count() == 0
+
+
+def test_parities_lose_no_pair():
+    rng = np.random.default_rng(3)
+    for size in (0, 1, 5, 64, 65, 300, 5000):
+        for other in (0, 1, size // 5, size):
+            x = np.unique(rng.integers(0, 1 << 63, size + other, dtype=np.uint64))
+            y = np.concatenate([x[:size], rng.integers(0, 1 << 63, other // 2, dtype=np.uint64)])
+            apart = len(np.setxor1d(x, y))
+            got = shingle_sets.least_apart(shingle_sets.parities(x), shingle_sets.parities(np.unique(y)))
+            assert got <= apart and (size < 300 or not apart or got > apart / 4)
+
+
+def test_crowds_make_few_sets_again(spark, monkeypatch):
+    monkeypatch.setattr(shingle_sets, "SAMPLE", 1)  # nothing is known to be common, as of most shingles of a large table
+    base, said, texts = prose(7, 200).split(), prose(8, 60), []
+    for n in range(300):  # near copies of one text, and texts that share a passage
+        rng = random.Random(n)
+        texts.append(" ".join(f"odd{n}x{i}" if rng.random() < 0.02 else w for i, w in enumerate(base)))
+        texts.append(f"{prose(9000 + n, 40)} {said} {prose(9500 + n, 40)}")
+    asked, stored = [], shingle_sets.stored
+    monkeypatch.setattr(shingle_sets, "stored", lambda df, name: (asked.append((name, stored(df, name))), asked[-1][1])[1])
+    counts, drop = {}, shingle_sets.drop
+
+    def counted(table):
+        for name, t in asked:
+            if t is table:
+                counts[name] = counts.get(name, 0) + table.count()
+        drop(table)
+
+    monkeypatch.setattr(shingle_sets, "drop", counted)
+    sets = [_shingles(t) for t in texts]
+    kept = {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs(spark, texts), None).collect()}
+    label, rest = {}, set(range(len(texts)))
+    while rest:
+        todo = [first := min(rest)]
+        rest.discard(first)
+        for i in todo:
+            label[i] = first
+            close = {j for j in rest if 9 * len(sets[i] & sets[j]) >= 4 * (len(sets[i]) + len(sets[j]))}
+            rest -= close
+            todo += sorted(close)
+    assert kept == set(label.values())
+    assert counts["asked"] < len(texts)  # sets are made again for few, not for all that share a passage
