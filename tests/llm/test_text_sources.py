@@ -287,3 +287,12 @@ def test_no_python_in_the_scan(spark, sf):
     table = spark.read.parquet(f"{sf}/documents.parquet")
     plan = license_scan.scan(table, license_scan.train(table))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|ArrowEval|MapInArrow", plan)
+
+
+def test_scan_judges_paragraphs_whatever_their_words(spark):
+    texts = ["This work is available under a Creative Commons Attribution-NonCommercial 4.0 International deed.", "Terms: GNU General Public, either version 3, or (at your option) any later version.", "free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction", prose(3, 100)]
+    table = docs(spark, [f"{prose(i, 30)}\n{t}\n{prose(i + 9, 30)}" for i, t in enumerate(texts)])
+    scanner = license_scan.train(table)
+    got = {(r.doc_id, r.paragraph, r.family) for r in license_scan.scan(table, scanner).collect()}
+    assert {(0, 1, "cc-by-nc"), (2, 1, "mit")} <= got and 3 not in {i for i, _, _ in got}, got
+    assert license_scan.units_of(table).select("_id").distinct().count() == len(texts)
