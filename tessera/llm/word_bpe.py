@@ -1,35 +1,95 @@
-"""Ids of a byte-level BPE with word ends, equal to those of the ``tokenizers`` library, with each distinct word tokenised once.
+"""Ids of a byte-level BPE with word ends, equal to those of the ``tokenizers`` library, with each distinct piece tokenised once.
 
 White space is dropped by this vocabulary's pre-tokeniser, so no token crosses it and a
-text's ids are its words' ids, one after another.  The new words of many texts are
-taken together: they are lower-cased and cut by the vocabulary's own pattern in one
-pass over a single string, and each distinct new piece is given to the library's BPE model.  Words with anything but
-plain letters, digits and signs (other scripts, combining marks, special tokens' strings)
+text's ids are those of its pieces, one after another.  The texts of a batch are lower-cased and cut into
+the pieces of the vocabulary's own pattern as one array of bytes; equal pieces are found by Arrow,
+and each new one is given to the library's BPE model.  Words with anything but
+plain letters, digits and signs (other scripts, combining marks, special tokens' strings) are pieces as they are, which
 go through the library's whole pipeline, in one call.
 """
 
 from __future__ import annotations
 
+import re
 import struct
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
-import regex
+import pyarrow as pa
 
 from .common import former, memo
 
-#: A word, on a line of its own, that only the whole pipeline can tokenise.
-_ODD = regex.compile(r"^.*(?:[^\x21-\x7e\xc0-\xff\n]|<\|).*$", regex.MULTILINE)
-#: The vocabulary's pre-tokeniser pattern.  Fixed value.
-_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-_PIECES = regex.compile(_PATTERN + r"|\n")
-#: Ends a word among ids; ids are smaller than 2**24, so it stands nowhere else.
-_END = b"\xff\xff\xff\xff"
-#: Distinct words and pieces that one worker remembers; as many more from before the last emptying are within reach.
-MEMO = 350_000
-#: Bytes of text whose new words are learnt together.
-TOGETHER = 2_000_000
+#: Distinct pieces that one worker remembers; as many more from before the last emptying are within reach.
+MEMO = 100_000
+#: Bytes of text that are cut together.
+TOGETHER = 4_000_000
+
+#: A piece of plain letters, digits or signs.
+_PLAIN = re.compile(rb"(?:(?!<\|)[\x21-\x7e]|\xc3[\x80-\xbf])+")
+
+_SPACE, _LETTER, _DIGIT, _SIGN, _ODD = range(5)
+
+
+def _kinds() -> np.ndarray:
+    """The kind of each byte that stands for itself; 0xC3, the first byte of U+00C0 to U+00FF, is a letter's."""
+    kinds = np.full(256, _ODD, np.uint8)
+    kinds[0x21:0x7F] = _SIGN
+    kinds[[0x20, *range(0x09, 0x0E)]] = _SPACE
+    kinds[[*range(0x41, 0x5B), *range(0x61, 0x7B), 0xC3]] = _LETTER
+    kinds[0x30:0x3A] = _DIGIT
+    return kinds
+
+
+_KIND = _kinds()
+_LOWER = np.array([b + 32 * (0x41 <= b <= 0x5A) for b in range(256)], np.uint8)
+
+
+def cut_up(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, bool]:
+    """The bytes of all words, lower-cased, where in ``data`` each piece starts, where in those bytes, and
+    whether there are pieces for the whole pipeline.  Pieces are those of the
+    vocabulary's pattern, ``'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+``; a word that only the
+    whole pipeline can tokenise is one piece, as it is.  ``data`` ends in a space.
+    """
+    raw = np.frombuffer(data, np.uint8)
+    kind, low = _KIND[raw], _LOWER[raw]
+    first = np.flatnonzero(raw == 0xC3)
+    second = raw[first + 1]
+    right = (second >= 0x80) & (second <= 0xBF)
+    kind[first[~right]] = _ODD
+    first, second = first[right], second[right]
+    of_pair = np.where((second == 0x97) | (second == 0xB7), _SIGN, _LETTER)  # the signs of multiplication and division
+    kind[first] = kind[first + 1] = of_pair
+    low[first + 1] += np.where((second <= 0x9E) & (second != 0x97), 32, 0).astype(np.uint8)
+
+    begins = np.empty(len(raw), bool)
+    begins[0] = True
+    np.not_equal(kind[1:], kind[:-1], out=begins[1:])
+    begins |= kind == _DIGIT
+    quote = np.flatnonzero((raw == 0x27) & begins)
+    # a sign's run that begins with a quote; what follows it in data ends in a space
+    after = low[np.minimum(quote[:, None] + [1, 2], len(raw) - 1)]
+    one = np.isin(after[:, 0], np.frombuffer(b"stmd", np.uint8))
+    two = np.isin(after[:, 0].astype(np.uint16) << 8 | after[:, 1], [0x7265, 0x7665, 0x6C6C])
+    begins[quote[one] + 1] = begins[quote[two] + 1] = False
+    begins[quote[one] + 2] = begins[quote[two] + 3] = True
+    # pair bytes are of one kind, so no piece begins at a second byte
+
+    word = kind != _SPACE
+    odd = kind == _ODD
+    special = np.flatnonzero((raw[:-1] == 0x3C) & (raw[1:] == 0x7C))
+    odd[special] = True
+    any_odd = bool(odd.any())
+    if any_odd:
+        edge = np.flatnonzero(np.diff(word, prepend=False))  # begins and ends of words, in turn
+        strange = np.unique(np.searchsorted(edge[::2], np.flatnonzero(odd), "right") - 1)
+        for a, b in zip(edge[::2][strange].tolist(), edge[1::2][strange].tolist(), strict=True):
+            begins[a:b] = False
+            begins[a] = True
+            low[a:b] = raw[a:b]
+    begins &= word
+    return low[word], np.flatnonzero(begins), np.flatnonzero(begins[word]), any_odd
 
 
 def _byte_letters() -> dict[int, str]:
@@ -48,30 +108,21 @@ class WordBpe:
         self.letters = _byte_letters()
         self.owner = f"word bpe {path}"
 
-    def _learn(self, words: list[bytes], known: dict) -> None:
-        """Adds the ids of words (bytes), and of their pieces (str), as bytes."""
-        lines = b"\n".join(words).decode("utf-8", "replace")
-        odd = set(_ODD.findall(lines))
-        if odd:
-            texts = lines.split("\n")
-            strange = [i for i, text in enumerate(texts) if text in odd]
-            for i, got in zip(strange, self.whole.encode_batch_fast([texts[i] for i in strange], add_special_tokens=False), strict=True):
-                known[words[i]] = np.array(got.ids, "<u4").tobytes()
-            words = [w for w in words if w not in known]
-            if not words:
-                return
-            lines = b"\n".join(words).decode("utf-8", "replace")
-        pieces = _PIECES.findall(lines.lower())
-        known["\n"] = _END
+    def _learn(self, pieces: list[bytes], known: dict, any_odd: bool) -> None:
+        """Adds the ids of pieces, as bytes."""
+        strange = [p for p in pieces if _PLAIN.fullmatch(p) is None] if any_odd else []
+        if strange:
+            texts = [p.decode("utf-8", "replace") for p in strange]
+            for piece, got in zip(strange, self.whole.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+                known[piece] = np.array(got.ids, "<u4").tobytes()
         tokenize, letters = self.model.tokenize, self.letters
-        for piece in set(pieces):
+        for piece in pieces:
             if piece not in known:
-                ids = [t.id for t in tokenize(piece if piece.isascii() else piece.encode().decode("latin-1").translate(letters))]
+                ids = [t.id for t in tokenize(piece.decode() if piece.isascii() else piece.decode("latin-1").translate(letters))]
                 known[piece] = struct.pack(f"<{len(ids)}I", *ids)
-        known.update(zip(words, b"".join(map(known.__getitem__, pieces)).split(_END), strict=True))
 
     def encode_all(self, texts: list[bytes | None]) -> Iterator[bytes]:
-        """Ids of each text, as little-endian unsigned 32-bit numbers.  New words are learnt from about TOGETHER bytes of text at a time."""
+        """Ids of each text, as little-endian unsigned 32-bit numbers.  About TOGETHER bytes of text are cut at a time."""
         begin = size = 0
         for i, text in enumerate(texts):
             size += len(text or b"")
@@ -80,20 +131,26 @@ class WordBpe:
                 begin, size = i + 1, 0
 
     def _encoded(self, texts: list[bytes | None]) -> Iterator[bytes]:
+        texts = [text or b"" for text in texts]
+        bytes_of, places, starts, any_odd = cut_up(b" ".join([*texts, b""]))
+        offsets = np.append(starts, len(bytes_of)).astype(np.int32)
+        pieces = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(bytes_of)]).dictionary_encode()
         known = memo(self.owner, MEMO, keep_former=True)
         before = former(self.owner)
-        split = [(text or b"").split() for text in texts]
-        new: set[bytes] = set()
-        for words in split:
-            new.update(words)
-        missing = [w for w in new if w not in known]
+        distinct = pieces.dictionary.to_pylist()
+        missing = [p for p in distinct if p not in known]
         if before:
-            known.update((w, before[w]) for w in missing if w in before)
-            missing = [w for w in missing if w not in before]
+            known.update((p, before[p]) for p in missing if p in before)
+            missing = [p for p in missing if p not in before]
         if missing:
-            self._learn(missing, known)
-        for words in split:
-            yield b"".join(map(known.__getitem__, words))
+            self._learn(missing, known, any_odd)
+        ids = pa.array([known[p] for p in distinct], pa.large_binary()).take(pieces.indices)
+        ends = np.frombuffer(ids.buffers()[1], np.int64)[ids.offset : ids.offset + len(ids) + 1]
+        first = [0, *accumulate(len(text) + 1 for text in texts)]
+        cuts = ends[np.searchsorted(places, first)].tolist()
+        data = memoryview(ids.buffers()[2] or b"")
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            yield bytes(data[a:b])
 
     def ids(self, text: bytes) -> np.ndarray:
         return np.frombuffer(next(self.encode_all([text])), "<u4")

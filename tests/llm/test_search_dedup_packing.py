@@ -220,6 +220,26 @@ def test_word_bpe_equals_library():
         assert bpe.ids(t.encode()).tolist() == whole.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_word_bpe_cuts_like_the_library(monkeypatch):
+    from tessera.llm import common, word_bpe
+
+    bpe, whole = WordBpe(public_tokenizers.path(packing.TOKENIZER)), Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER))
+    # one entry a piece: words that differ only in their signs are not remembered one by one
+    common.forget()
+    list(bpe.encode_all([" ".join(f"word{'.' * i}" for i in range(1, 150)).encode()] * 9))
+    list(bpe.encode_all([" ".join(f"other{'.' * i}" for i in range(1, 150)).encode()] * 9))
+    assert len(common.memo(bpe.owner, 10**9)) == 151
+    monkeypatch.setattr(word_bpe, "MEMO", 200)
+    monkeypatch.setattr(word_bpe, "TOGETHER", 500)
+    random.seed(5)
+    parts = [*"abzABZ019'''''-.<|$ \n\t", "'s", "'LL", "'re", "'VE", "É", "é", "ß", "×", "÷", "\x1c", "日", "́", "İ", "Σ", "\x7f", "<|endoftext|>", "’", "\u0085", "¿", " "]
+    texts = ["".join(random.choice(parts) for _ in range(random.randrange(40))) for _ in range(3000)]
+    got = bpe.encode_all([None, *[t.encode() for t in texts]])
+    assert next(got) == b""
+    for t, ids in zip(texts, got, strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == whole.encode(t, add_special_tokens=False).ids, repr(t)
+
+
 def test_hash_of_kept_text(spark, sf):
     rows = queries.op2_substring_dedup(spark, sf).collect()
     texts = {r["doc_id"]: r["text"] for r in given(sf, "documents")}
