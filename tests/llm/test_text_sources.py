@@ -296,3 +296,21 @@ def test_scan_judges_paragraphs_whatever_their_words(spark):
     got = {(r.doc_id, r.paragraph, r.family) for r in license_scan.scan(table, scanner).collect()}
     assert {(0, 1, "cc-by-nc"), (2, 1, "mit")} <= got and 3 not in {i for i, _, _ in got}, got
     assert license_scan.units_of(table).select("_id").distinct().count() == len(texts)
+
+
+def test_scan_passes_over_spans_that_cannot_hold_a_notice(spark):
+    notices = [t for ts in license_scan.TEMPLATES.values() for t in ts]
+    given_texts = [r["text"] for r in given("/root/testdata/sf0.01", "documents")][: 2 * len(notices)]
+    texts = [f"{text} {t}\n{prose(n, 33 + n)}" for n, (t, text) in enumerate(zip(notices, given_texts, strict=False))] + given_texts + ["a", "\n\n b", None, "", prose(7, 96), prose(8, 97), "\n".join(["word"] * 300)]
+    table = docs(spark, texts)
+    scanner = license_scan.train(table)
+    laid = license_scan._laid_out(table, "doc_id", "text")
+    spans = license_scan._spans(laid)
+    key = lambda r: (r["_id"], r["_window"], r["_begin"], " ".join(r["_words"]))
+    every = license_scan.units_of(table).cache()
+    # each line and window is in one span, and those of the possible spans hold all hits
+    assert Counter(map(key, license_scan._units(spans).collect())) == Counter(map(key, every.collect()))
+    judged = Counter(map(key, license_scan._units(scanner.possible(spans)).collect()))
+    hits = [key(r) for r in scanner.classified(every).filter("family <> 'unknown'").collect()]
+    assert len(hits) > len(notices) and all(judged[h] for h in hits)
+    assert 2 * sum(judged.values()) < every.count()
