@@ -20,7 +20,6 @@ from __future__ import annotations
 import base64
 import math
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -29,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import memo
+from .common import memo, model
 
 MODEL = "piece_bpe_32k.model"
 MULTI = "byte_bpe_multi_50k.tiktoken"
@@ -79,7 +78,7 @@ SCHEMA = T.StructType(
 )
 
 
-@lru_cache(maxsize=2)
+@model
 def _tokenizer(path: str):
     import sentencepiece
 
@@ -88,7 +87,7 @@ def _tokenizer(path: str):
     return model, is_byte
 
 
-@lru_cache(maxsize=2)
+@model
 def _multi(path: str):
     import tiktoken
 
@@ -151,12 +150,12 @@ def measure(text: bytes | None, path: str, multi: str) -> tuple:
     n_symbols = len(text) - len(text.translate(None, SYMBOLS))
     if not words:
         return (0, 0, n_symbols, 0, 0, 0, 0, 0, None, None, None, None, "")
-    model, is_byte = _tokenizer(path)
     known = memo(f"fertility {path} {multi}", MEMO)  # ids of each word and, beyond them, its number of tokens by the second vocabulary
+    pieces, is_byte = _tokenizer(path)
     missing = [w for w in set(words) if w not in known]
     if missing:
         texts, cut = [w.decode("utf-8", "replace") for w in missing], _multi(multi)
-        for word, said, ids in zip(missing, texts, model.encode(texts, num_threads=1), strict=True):
+        for word, said, ids in zip(missing, texts, pieces.encode(texts, num_threads=1), strict=True):
             known[word] = np.array([*ids, _BEYOND + len(cut(said))], np.int32).tobytes()
     ids = np.frombuffer(b"".join(map(known.__getitem__, words)), np.int32)
     n_multi = int((ids[ids >= _BEYOND].astype(np.int64) - _BEYOND).sum())

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions, stored
+from .common import shuffle_partitions, stored, trim
 from .fm_index import FmIndex
 
 WINDOW = 35
@@ -184,6 +184,8 @@ def _searched(window: int, shard_words: int):
                 last = (*key, row[1])
         if rows:
             yield done()
+        rows, shard = [], None
+        trim()
 
     return run
 

@@ -13,13 +13,12 @@ from __future__ import annotations
 import re
 import struct
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 
-from .common import former, memo
+from .common import former, memo, model, trim
 
 #: Distinct pieces that one worker remembers; as many more from before the last emptying are within reach.
 MEMO = 100_000
@@ -103,10 +102,12 @@ class WordBpe:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        self.owner = f"word bpe {path}"
+        memo(self.owner, MEMO, keep_former=True)  # what other operators remember and have freed goes first
+        trim()
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
         self.letters = _byte_letters()
-        self.owner = f"word bpe {path}"
 
     def _learn(self, pieces: list[bytes], known: dict, any_odd: bool) -> None:
         """Adds the ids of pieces, as bytes."""
@@ -156,6 +157,6 @@ class WordBpe:
         return np.frombuffer(next(self.encode_all([text])), "<u4")
 
 
-@lru_cache(maxsize=2)
+@model
 def word_bpe(path: str) -> WordBpe:
     return WordBpe(path)

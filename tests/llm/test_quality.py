@@ -175,3 +175,17 @@ def test_misspelling_shares_vectors():
     model = toxicity.fit(bad + good, np.array([1] * 24 + [0] * 24))
     known, hidden, other = model.margins(["monstrous", "monstr0us", "teacher"])
     assert known > other and hidden > other
+
+
+def test_workers_let_models_of_other_operators_go():
+    import public_tokenizers
+
+    from tessera.llm import common, packing, word_bpe
+
+    quality_rules.measure(b"some words", public_tokenizers.path(quality_rules.MODEL), public_tokenizers.path(quality_rules.MULTI))
+    assert quality_rules._tokenizer.cache_info().currsize and quality_rules._multi.cache_info().currsize
+    list(word_bpe.word_bpe(public_tokenizers.path(packing.TOKENIZER)).encode_all([b"some words"]))
+    assert not quality_rules._tokenizer.cache_info().currsize and not quality_rules._multi.cache_info().currsize
+    assert word_bpe.word_bpe.cache_info().currsize == 1
+    common.forget()
+    assert not word_bpe.word_bpe.cache_info().currsize
