@@ -148,3 +148,37 @@ def test_crowds_make_few_sets_again(spark, monkeypatch):
             todo += sorted(close)
     assert kept == set(label.values())
     assert counts["asked"] < len(texts)  # sets are made again for few, not for all that share a passage
+
+
+def test_a_crowd_is_linked_by_hubs(spark, monkeypatch):
+    base, texts = prose(11, 150).split(), []
+    for n in range(500):  # copies with words changed, some shorter: many pairs of them aren't similar, but most link to the least changed ones
+        rng, words = random.Random(n), list(base)
+        for at in rng.sample(range(150), rng.randrange(7)):
+            words[at] = f"odd{n}x{at}"
+        if n % 10 == 0:
+            for at in rng.sample(range(140), 8):
+                del words[at]
+        texts.append(" ".join(words))
+    counts, stored = [], shingle_sets.stored
+
+    def counted(df, name):
+        table = stored(df, name)
+        if name == "pairs":
+            counts.append(table.count())
+        return table
+
+    monkeypatch.setattr(shingle_sets, "stored", counted)
+    sets = [_shingles(t) for t in texts]
+    label, rest = {}, set(range(len(texts)))
+    while rest:
+        todo = [first := min(rest)]
+        rest.discard(first)
+        for i in todo:
+            label[i] = first
+            close = {j for j in rest if 9 * len(sets[i] & sets[j]) >= 4 * (len(sets[i]) + len(sets[j]))}
+            rest -= close
+            todo += sorted(close)
+    kept = {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs(spark, texts), None).collect()}
+    assert kept == set(label.values())
+    assert 20 < len(kept) < 300 and sum(counts) < 8 * len(set(texts))
