@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions, stored, trim
+from .common import forget, shuffle_partitions, stored, trim
 from .fm_index import FmIndex
 
 WINDOW = 35
@@ -85,6 +85,7 @@ def segments(words: list[bytes], window: int, gram: int) -> tuple[np.ndarray, np
 
 def _streamed(window: int, gram: int):
     def run(batches):
+        forget()
         for batch in (b.slice(i, _ROWS) for b in batches for i in range(0, b.num_rows, _ROWS)):
             out = [[] for _ in range(7)]
             for id_, h, text in zip(batch.column("_id").to_pylist(), batch.column("_h").to_pylist(), batch.column("_text"), strict=True):
@@ -101,6 +102,7 @@ def _streamed(window: int, gram: int):
             arrays = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in out]
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(a.astype(np.int64)).cast(k) for a, k in zip(arrays, kinds, strict=True)], ["_id", "_h", "start", "n", "least", "content", "times"])
+        trim()
 
     return run
 
@@ -116,6 +118,7 @@ def _fetched(window: int):
                 rows += [(a["least"], a["content"], a["weight"], a["g"], b" ".join(words[a["start"] : a["start"] + a["n"] + window - 1])) for a in asked.as_py()]
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["least", "content", "weight", "g", "words"])
+        trim()
 
     return run
 
@@ -154,6 +157,7 @@ def _searched(window: int, shard_words: int):
         return pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], f.type) for i, f in enumerate(kind)], schema=kind)
 
     def run(batches):
+        forget()
         rows, size, last, shard = [], 0, None, None
 
         def done():
