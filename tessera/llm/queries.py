@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import license_scan, packing, piece_sampling, quality_classifier, quality_rules, simhash, substring, topk, toxicity, warc_pages
+from . import language_id, license_scan, packing, piece_sampling, prefix_trie, quality_classifier, quality_rules, simhash, substring, topk, toxicity, warc_pages, whitening
 from .common import crc_mod, table
 
 
@@ -73,6 +73,21 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", piece_sampling.digest(F.col("text"), F.col("doc_id")).alias("d")).select("doc_id", "d.*")
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(crc_mod("doc_id", 5) == 0, F.lit(False))
+    got = language_id.predict(docs, language_id.train(docs, crc_mod("doc_id", 5) != 0))
+    return got.select("_row.doc_id", "lang_pred", "score").withColumn("held_out", held_out)
+
+
 #: Exact, by the definition of the query: integer inner products of all pairs of a query and another row.
 OP1_SQL = """
 WITH v AS (
@@ -109,14 +124,44 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM l
 """
 
+#: A node is a prefix of turns; equal prefixes have equal concatenated MD5s.
+OP12_SQL = """
+WITH t AS (SELECT conv_id AS c, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT c, md5(role) || md5(text) AS e, length(text) AS chars, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, md5(length(role) || ':' || role || text)) AS j FROM t),
+k AS (
+  SELECT DISTINCT c, list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(CAST(c AS VARCHAR), ''), lambda a: ascii(a)::UBIGINT)),
+    lambda s, a: list_reduce([xor(s, a), 0::UBIGINT, 0::UBIGINT, 0::UBIGINT, 0::UBIGINT, 0::UBIGINT, 0::UBIGINT, 0::UBIGINT, 0::UBIGINT],
+      lambda v, z: CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384::UBIGINT) ELSE v // 2 END)) AS s FROM t),
+h AS (SELECT c, xor(s, 4294967295::UBIGINT) % 6 AS h FROM k),
+b AS (
+  SELECT h.c, 0 AS part, o.j, o.e, o.chars FROM h JOIN o ON o.c = h.c - h.c % 100 AND o.j <= h.h
+  UNION ALL SELECT h.c, 1, o.j, o.e, o.chars FROM h JOIN o ON o.c = h.c AND o.j > h.h),
+r AS (SELECT c, row_number() OVER w AS d, string_agg(e, '') OVER w AS key, chars FROM b WINDOW w AS (PARTITION BY c ORDER BY part, j)),
+p AS (SELECT c, CAST(d AS BIGINT) AS d, key, CAST(chars AS BIGINT) AS chars FROM r UNION ALL SELECT c, 0, '', 0 FROM h),
+l AS (SELECT c, max(d) AS d FROM p GROUP BY c),
+n AS (
+  SELECT p.key, p.d, any_value(p.chars) AS chars, min(p.c) AS conv_id, count(*) AS n_convs,
+    sha256(coalesce(string_agg(CAST(p.c AS VARCHAR), ',' ORDER BY p.c) FILTER (WHERE l.d = p.d), '')) AS ends_sha256
+  FROM p JOIN l ON l.c = p.c GROUP BY p.key, p.d),
+x AS (SELECT u.key, u.d, v.conv_id AS parent_conv_id FROM n u JOIN n v ON v.d = u.d - 1 AND v.key = left(u.key, 64 * CAST(v.d AS INT))),
+ch AS (SELECT left(key, 64 * CAST(d - 1 AS INT)) AS key, d - 1 AS d, count(*) AS n FROM n WHERE d > 0 GROUP BY ALL),
+sub AS (SELECT DISTINCT a.key, a.d, z.key AS low, z.d AS low_d FROM p a JOIN p z ON z.c = a.c AND z.d >= a.d),
+s AS (
+  SELECT sub.key, sub.d, CAST(sum((n.n_convs - 1) * n.chars) AS BIGINT) AS saved, count(*) FILTER (WHERE ch.n IS NULL) AS leaves
+  FROM sub JOIN n ON n.key = sub.low AND n.d = sub.low_d LEFT JOIN ch ON ch.key = sub.low AND ch.d = sub.low_d GROUP BY sub.key, sub.d)
+SELECT n.conv_id, n.d AS depth, x.parent_conv_id, n.n_convs, coalesce(ch.n, 0) AS n_children, s.leaves AS n_leaves, s.saved AS saved_tokens, n.ends_sha256
+FROM n LEFT JOIN x ON x.key = n.key AND x.d = n.d LEFT JOIN ch ON ch.key = n.key AND ch.d = n.d JOIN s ON s.key = n.key AND s.d = n.d
+"""
+
 
 def queries() -> dict:
     found = [
         op1_topk_search, op2_substring_dedup, op3_packing, op4_quality_classifier, op5_license_scan,
         op6_toxicity, op7_simhash_near_dedup, op8_quality_rules, op9_warc, op10_sentencepiece,
+        op11_embedding_whitening, op12_prefix_trie, op13_language_id,
     ]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_topk_search": OP1_SQL, "op2_substring_dedup": OP2_SQL, "op9_warc": OP9_SQL}
+    return {"op1_topk_search": OP1_SQL, "op2_substring_dedup": OP2_SQL, "op9_warc": OP9_SQL, "op12_prefix_trie": OP12_SQL}
