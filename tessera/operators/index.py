@@ -1,11 +1,8 @@
-"""Incremental index: what to skip, replace and delete, and the store that holds it."""
+"""Incremental index: what to skip, replace and delete."""
 
 from __future__ import annotations
 
-import json
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import combine_fingerprint, under_root
@@ -79,137 +76,3 @@ def ledger_rows(ledger: DataFrame, child_rows: DataFrame) -> DataFrame:
     """Per source: number of children and of distinct parents."""
     counts = child_rows.groupBy("source").agg(F.count("*").alias("n_children"), F.countDistinct("parent_id").alias("n_parents"))
     return ledger.join(counts, "source", "left").select("source", "fingerprint", F.coalesce("n_children", F.lit(0)).alias("n_children"), F.coalesce("n_parents", F.lit(0)).alias("n_parents"))
-
-
-#: Columns of the store's tables; children have an ``embedding`` too where one was made.
-TABLES = {
-    "ledger": LEDGER,
-    "parents": "source string, parent_index int, heading string, parent_text string, char_len int, parent_id string",
-    "children": "parent_id string, source string, parent_index int, child_index int, char_start int, char_end int, child_text string, child_id string",
-}
-
-
-class Store:
-    """Ledger, parents and children as Parquet folders, one for each bucket of sources, behind numbered manifests.
-
-    A write makes new folders for the buckets that it touches and then a new manifest, which names the
-    folders of all buckets: it is written beside and renamed to the next number.  The greatest number
-    holds.  A reader resolves it first and so sees whole versions only; a writer that dies before the
-    renaming has changed nothing.  One writer at a time: a second one finds its number taken and fails.
-    """
-
-    BUCKETS = 64
-
-    def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS):
-        self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
-        self._jvm = spark.sparkContext._jvm
-        self._fs = self._path("").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-    def _path(self, name: str):
-        return self._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
-
-    def _numbers(self) -> list[int]:
-        if not self._fs.exists(self._path("manifests")):
-            return []
-        names = [f.getPath().getName() for f in self._fs.listStatus(self._path("manifests"))]
-        return sorted(int(n.removesuffix(".json")) for n in names if n.endswith(".json"))
-
-    def version(self) -> int | None:
-        numbers = self._numbers()
-        return numbers[-1] if numbers else None
-
-    def _manifest(self, number: int | None) -> dict:
-        if number is None:
-            return {"buckets": self.buckets, "tables": {name: {} for name in TABLES}, "schemas": dict(TABLES)}
-        stream = self._fs.open(self._path(f"manifests/{number}.json"))
-        try:
-            return json.loads(self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
-        finally:
-            stream.close()
-
-    def _publish(self, manifest: dict, number: int) -> int:
-        """Makes a manifest the current one."""
-        aside, final = self._path(f"manifests/.{uuid.uuid4().hex}"), self._path(f"manifests/{number}.json")
-        stream = self._fs.create(aside, False)
-        try:
-            stream.write(bytearray(json.dumps(manifest).encode()))
-        finally:
-            stream.close()
-        if self._fs.exists(final) or not self._fs.rename(aside, final):
-            self._fs.delete(aside, False)
-            raise RuntimeError(f"version {number} was written by someone else")
-        return number
-
-    def initialize(self) -> int:
-        """An empty store, unless there is one already."""
-        number = self.version()
-        return self._publish(self._manifest(None), 1) if number is None else number
-
-    def read(self, table: str, buckets: set[int] | None = None) -> DataFrame | None:
-        """A table of the current version (of some buckets), or None before the first one."""
-        number = self.version()
-        return None if number is None else self._rows(self._manifest(number), table, buckets)
-
-    def _rows(self, manifest: dict, table: str, buckets: set[int] | None = None) -> DataFrame:
-        folders = [f"{self.path}/{folder}" for b, folder in sorted(manifest["tables"][table].items()) if buckets is None or int(b) in buckets]
-        schema = manifest["schemas"][table]
-        return self.spark.read.schema(schema).parquet(*folders) if folders else self.spark.createDataFrame([], schema)
-
-    def sync(self, new_ledger: DataFrame, new_parents: DataFrame, new_children: DataFrame, gone: DataFrame) -> int:
-        """Replaces the sources of ``new_ledger`` and deletes those of ``gone``; only their buckets are rewritten."""
-        number = self.version()
-        manifest = self._manifest(number)
-        bucket = F.pmod(F.xxhash64("source"), F.lit(manifest["buckets"])).cast("int").alias("_bucket")
-        sources = new_ledger.select("source").unionByName(gone.select("source"))
-        touched = {r._bucket for r in sources.select(bucket).distinct().collect()}  # at most as many as there are buckets
-        changed = {"buckets": manifest["buckets"], "tables": {}, "schemas": {}}
-        for name, new in {"ledger": new_ledger, "parents": new_parents, "children": new_children}.items():
-            old = self._rows(manifest, name, touched)
-            rows = replace(delete(old, gone), new, new_ledger)
-            folder = f"data/{uuid.uuid4().hex}/{name}"
-            rows.withColumn("_bucket", bucket).repartition("_bucket").write.partitionBy("_bucket").parquet(f"{self.path}/{folder}")
-            made = [f.getPath().getName() for f in self._fs.listStatus(self._path(folder)) if f.isDirectory()]
-            kept = {b: at for b, at in manifest["tables"][name].items() if int(b) not in touched}
-            changed["tables"][name] = kept | {d.removeprefix("_bucket="): f"{folder}/{d}" for d in made if d.startswith("_bucket=")}
-            changed["schemas"][name] = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-        return self._publish(changed, (number or 0) + 1)
-
-    def vacuum(self, keep: int = 2) -> int:
-        """Removes manifests but the last ``keep``, and the folders that no manifest left names; returns how many."""
-        numbers = self._numbers()
-        live = {folder.split("/")[1] for n in numbers[-keep:] for table in self._manifest(n)["tables"].values() for folder in table.values()}
-        for n in numbers[:-keep]:
-            self._fs.delete(self._path(f"manifests/{n}.json"), False)
-        dead = [f.getPath() for f in self._fs.listStatus(self._path("data")) if f.getPath().getName() not in live] if self._fs.exists(self._path("data")) else []
-        for folder in dead:
-            self._fs.delete(folder, True)
-        return len(dead)
-
-    # -- reads by key ------------------------------------------------------------------------------------------
-
-    def _of_source(self, table: str, source: str) -> DataFrame:
-        """Rows of one source, from its bucket alone."""
-        number = self.version()
-        manifest = self._manifest(number)
-        where = self.spark.range(1).select(F.pmod(F.xxhash64(F.lit(source)), F.lit(manifest["buckets"])).cast("int")).first()[0]
-        return self._rows(manifest, table, {where}).filter(F.col("source") == source)
-
-    def fingerprint(self, source: str) -> str | None:
-        """Fingerprint of a source, or None if it isn't indexed."""
-        row = self._of_source("ledger", source).select("fingerprint").first()
-        return None if row is None else row.fingerprint
-
-    def sources(self, root: str) -> DataFrame:
-        """Sources at or below a root."""
-        return self._rows(self._manifest(self.version()), "ledger").filter(under_root(F.col("source"), F.lit(root))).select("source")
-
-    def parents(self, ids: DataFrame) -> DataFrame:
-        """Parents with the ids asked for (``parent_id``); ids that aren't there give no row."""
-        return self._rows(self._manifest(self.version()), "parents").join(ids.select("parent_id").distinct(), "parent_id", "left_semi")
-
-    def vectors(self, ids: DataFrame) -> DataFrame:
-        """``child_id, embedding`` of the children asked for that are there and have a vector."""
-        rows = self._rows(self._manifest(self.version()), "children")
-        if "embedding" not in rows.columns:
-            rows = rows.withColumn("embedding", F.lit(None).cast("array<float>"))
-        return rows.filter("embedding is not null").join(ids.select("child_id").distinct(), "child_id", "left_semi").select("child_id", "embedding")

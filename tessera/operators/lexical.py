@@ -43,9 +43,13 @@ def fit(children: DataFrame, key: str = "child_id", text: str = "child_text") ->
     stats = cut.agg(F.count("*").alias("n"), (F.sum(F.size("_t")) / F.greatest(F.count("*"), F.lit(1))).alias("avg_len"))
     postings = cut.select(key, F.size("_t").alias("dl"), F.explode("_t").alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
     df = cut.select(F.explode(F.array_distinct("_t")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    return LexicalIndex(postings, weighed(df, stats))
+
+
+def weighed(df: DataFrame, stats: DataFrame) -> DataFrame:
+    """``term, df, idf, avg_len`` from document frequencies and the one row of ``n`` and ``avg_len``."""
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    terms = df.join(F.broadcast(stats)).select("term", "df", idf.alias("idf"), "avg_len")  # the broadcast side is one row
-    return LexicalIndex(postings, terms)
+    return df.join(F.broadcast(stats)).select("term", "df", idf.alias("idf"), "avg_len")  # the broadcast side is one row
 
 
 def _asked_weights(index: LexicalIndex, queries: DataFrame, qid: str, text: str) -> DataFrame:

@@ -175,7 +175,7 @@ def oracle_sql() -> dict[str, str]:
     chunk_sig = "substr(sha256('parent=1200|child=300|overlap=50|min_child=60|merge=1.25'), 1, 8)"
     reason = "CASE WHEN lang = 'fr' THEN 'not_implemented' WHEN lang = 'es' THEN 'degraded' WHEN lang IN ('en', 'de') THEN NULL ELSE 'unsupported' END"
     kind = "CASE lang WHEN 'en' THEN 'markdown' WHEN 'de' THEN 'text' WHEN 'fr' THEN 'pdf' WHEN 'es' THEN 'html' END"
-    return {
+    found = {
         "fingerprints": f"SELECT doc_id, substr(sha256(text), 1, 16) AS content_hash, substr(sha256(text), 1, 16) || '.{_SIG}' AS fingerprint FROM documents",
         "signatures": f"SELECT {chunk_sig} AS chunk_signature, substr(sha256({chunk_sig} || '|hash:1536'), 1, 8) AS index_signature",
         "token_counts": f"SELECT doc_id, CAST(len({_tok('text')}) AS BIGINT) AS n_tokens, CAST(len(list_distinct({_tok('text')})) AS BIGINT) AS n_terms, {_est('text')} AS prompt_tokens FROM documents",
@@ -234,3 +234,5 @@ SELECT g.qid, CAST(g.rank AS INT) AS rank, x.vec_id AS child_id, x.score, 'cosin
         "anchor_check": f"{w}{PARENTS}, {GOLDEN}, ms AS (SELECT qid, left(needle, CAST(ceil(length(needle) / 2) AS INT)) AS half FROM gold WHERE NOT EXISTS (SELECT 1 FROM p WHERE contains(p.parent_text, needle))) SELECT qid, least(3, (SELECT count(*) FROM p WHERE contains(p.parent_text, half))) AS n_near FROM ms",
         "failure_list": f"{w}{JUDGED}, fr AS (SELECT qid, min(rank) FILTER (matched) AS first_rank FROM ju GROUP BY qid), bad AS (SELECT g.qid, first_rank FROM gold g LEFT JOIN fr USING (qid) WHERE answerable AND first_rank IS DISTINCT FROM 1 ORDER BY g.qid LIMIT 10) SELECT bad.qid, CAST(first_rank AS INT) AS first_rank, CAST(rank AS INT) AS rank, parent_id FROM bad LEFT JOIN ju ON ju.qid = bad.qid AND rank <= 5",
     }
+    # the store's history ends in the state that the tables have
+    return found | {"store_ledger": found["ledger_rows"], "store_terms": found["bm25_terms"]}

@@ -9,7 +9,9 @@ from . import config
 from .functions import text as fn
 from .operators import answer, chunk, context, convert, embed, evaluate, fuse, index, lexical, vector
 from .plans import retrieve
-from .sources.tables import spread, stored
+from .operators.store import Store
+from .sources.tables import shared_path, spread, stored
+from .streaming import incremental
 
 P = config.Retrieval()
 #: The keyword channel alone, at the evaluation's depth.
@@ -189,6 +191,31 @@ def replace_source(spark, sf):
     return index.replace(index.delete(c, toxic), new, again).groupBy("source").agg(F.count("*").alias("n"))
 
 
+def _history(spark, sf):
+    """A store over the documents by way of others: at first all of them, the toxic ones with other texts, and pages; then those documents again as they are, while the pages go."""
+    store = Store(spark, shared_path(spark, "store"), fan=3)
+    docs = _t(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("source"), "text", F.concat(F.lit("doc_"), F.col("doc_id")).alias("label"))
+    toxic = _t(spark, sf, "labels").filter("toxic = 1").select(F.col("doc_id").cast("string").alias("source")).distinct()
+    pages = _t(spark, sf, "pages").select(F.concat(F.lit("page/"), "page_id").alias("source"), F.col("url").alias("text"), F.lit("").alias("label"))
+    wrong = docs.join(F.broadcast(toxic) if toxic.limit(500_001).count() <= 500_000 else toxic, "source", "left_semi")
+    for batch in (docs, pages, wrong.withColumn("text", F.concat(F.lit("out of date "), F.reverse("text"))), wrong):
+        incremental.index_batch(store, batch)
+    ledger = store.read("ledger")
+    store.sync(ledger.limit(0), store.read("parents").limit(0), store.read("children").limit(0), ledger.filter(fn.under_root(F.col("source"), F.lit("page"))))
+    return store
+
+
+def store_ledger(spark, sf):
+    """OP-09, 12, 13, 16, 115: what a store holds after inserts, changes and deletes."""
+    store = _history(spark, sf)
+    return index.ledger_rows(store.read("ledger").withColumn("fingerprint", F.split("fingerprint", r"\.")[0]), store.read("children"))
+
+
+def store_terms(spark, sf):
+    """OP-72: the term statistics that the store has kept up with these changes."""
+    return _history(spark, sf).terms().select("term", "df", F.round("idf", 6).alias("idf"))
+
+
 # -- retrieval ---------------------------------------------------------------------------------------------------
 
 
@@ -395,7 +422,7 @@ def full_prompts(spark, sf):
 
 ALL = [
     fingerprints, signatures, token_counts, html_strip, html_structured, text_reflow, file_capability, corpus_status, root_match, parent_chunks, child_windows, hash_embedding, embedding_cache, ledger_rows,
-    index_plan, index_vanished, index_unchanged, index_summary, replace_source, bm25_terms, bm25_topk, vector_topk, hash_vector_topk, rrf_fuse, hit_rows, reason_hints, parent_hits, parent_dedupe, channel_overlap, mmr_select, lexical_rerank,
+    index_plan, index_vanished, index_unchanged, index_summary, replace_source, store_ledger, store_terms, bm25_terms, bm25_topk, vector_topk, hash_vector_topk, rrf_fuse, hit_rows, reason_hints, parent_hits, parent_dedupe, channel_overlap, mmr_select, lexical_rerank,
     history_trim, history_render, pack_context, render_prompt, citations, support_score, echo_answer, golden_items, judged_hits, eval_metrics, eval_counts, eval_warnings, anchor_check, failure_list, ablation_metrics, policy_rates, full_prompts,
 ]
 

@@ -9,7 +9,8 @@ from pyspark.sql.streaming import StreamingQuery
 from ..config import Chunking, index_signature
 from ..functions.text import fingerprint
 from ..operators import chunk
-from ..operators.index import LEDGER, Store, plan_index
+from ..operators.index import LEDGER, plan_index
+from ..operators.store import Store
 
 
 def latest(docs: DataFrame, order: str | None = "version") -> DataFrame:
