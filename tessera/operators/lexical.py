@@ -1,26 +1,14 @@
-"""BM25: statistics as tables, scores at the scan of the children."""
+"""BM25: statistics of terms, counted from scratch.  Search goes through ``postings``."""
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..config import Retrieval
 from ..functions.text import tokens
-from ..sources.tables import stored
-from .vector import ORDER, Best, in_order, ranked_children
 
-#: Questions and children that are scored at a time.
-QUERIES = 256
-CHILDREN = 500
-#: Term weights of questions that are sent to the scan in one pass.
-WEIGHTS = 2_000_000
 #: The tokens of ``functions.text.TOKEN`` in Python's notation.
 TOKEN_WORD = "[a-z0-9]+|[\u4e00-\u9fff]"
 
@@ -50,63 +38,3 @@ def weighed(df: DataFrame, stats: DataFrame) -> DataFrame:
     """``term, df, idf, avg_len`` from document frequencies and the one row of ``n`` and ``avg_len``."""
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     return df.join(F.broadcast(stats)).select("term", "df", idf.alias("idf"), "avg_len")  # the broadcast side is one row
-
-
-def _asked_weights(index: LexicalIndex, queries: DataFrame, qid: str, text: str) -> DataFrame:
-    asked = queries.select(F.col(qid).alias("_q"), F.explode(tokens(F.col(text))).alias("term")).groupBy("_q", "term").agg(F.count("*").alias("qf"))
-    return asked.join(index.terms, "term").select("_q", "term", (F.col("qf") * F.col("idf")).alias("w"), "avg_len")
-
-
-def search(index: LexicalIndex, queries: DataFrame, children: DataFrame, n: int, params: Retrieval | None = None, qid: str = "qid", text: str = "question") -> DataFrame:
-    """Keyword channel: ``qid, rank, child_id, score, score_kind`` of the n best children with a positive score.
-
-    Ties go by source, parent and child order.  The questions' term weights are worked out once and sent to the scan of
-    the children (in parts of at most WEIGHTS rows, each a pass); a task cuts each child into tokens once, scores its
-    children as matrix products with QUERIES questions at a time, and keeps n rows a question.  What is shuffled is n rows
-    for each question and task, not a row for each common term of a question and a child, of which frequent words make most.
-    """
-    p = params or Retrieval()
-    spark = children.sparkSession
-    weights = stored(_asked_weights(index, queries, qid, text), "weights")
-    passes = max(1, -(-weights.count() // WEIGHTS))
-    qtype = queries.schema[qid].dataType.simpleString()
-    rows = children.select("child_id", *ORDER, F.lower("child_text").alias("_t"))
-    found = None
-    for number in range(passes):
-        part = weights.filter(F.pmod(F.xxhash64("_q"), F.lit(passes)) == number).toArrow().combine_chunks()
-        ids = pc.unique(part.column("_q")) if part.num_rows else pa.array([], part.schema.field("_q").type)
-        question = pc.index_in(part.column("_q"), value_set=ids).to_numpy(zero_copy_only=False).astype(np.int64) if part.num_rows else np.zeros(0, np.int64)
-        terms: dict[str, int] = {}
-        term = np.array([terms.setdefault(t, len(terms)) for t in part.column("term").to_pylist()], np.int64)
-        order = np.argsort(question, kind="stable")
-        mean = part.column("avg_len")[0].as_py() if part.num_rows else 1.0
-        sent = spark.sparkContext.broadcast((ids, terms, question[order], term[order], part.column("w").to_numpy()[order], max(mean, 1.0)))
-
-        def run(batches, sent=sent):
-            ids, terms, question, term, w, mean = sent.value
-            word, best = re.compile(TOKEN_WORD), Best(n, len(ids))
-            for batch in (b.slice(i, CHILDREN) for b in batches for i in range(0, b.num_rows, CHILDREN)):
-                said = [word.findall(t or "") for t in batch.column("_t").to_pylist()]
-                length = np.fromiter(map(len, said), np.int64, len(said))
-                flat = np.fromiter((terms.get(t, -1) for ts in said for t in ts), np.int64, int(length.sum()))
-                pair, tf = np.unique((np.repeat(np.arange(len(said)), length) * len(terms) + flat)[flat >= 0], return_counts=True)
-                child, column = pair // max(1, len(terms)), pair % max(1, len(terms))
-                share = tf * (p.k1 + 1) / (tf + p.k1 * (1 - p.b + p.b * length[child] / mean))
-                order = in_order(batch)
-                for begin in range(0, len(ids), QUERIES):
-                    a, b = np.searchsorted(question, [begin, begin + QUERIES])
-                    asked, at = np.unique(term[a:b], return_inverse=True)
-                    matrix = np.zeros((len(asked), min(QUERIES, len(ids) - begin)))
-                    matrix[at, question[a:b] - begin] = w[a:b]
-                    place = np.minimum(np.searchsorted(asked, column), len(asked) - 1)
-                    there = asked[place] == column
-                    held = np.zeros((batch.num_rows, len(asked)))
-                    held[child[there], place[there]] = share[there]
-                    score = np.round(held @ matrix, 6)
-                    row, col = best.of(score, score > 0, order, begin)
-                    take = pa.array(row)
-                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(begin + col)), *(batch.column(c).take(take) for c in ("child_id", *ORDER)), pa.array(score[row, col])], ["_q", "child_id", *ORDER, "score"])
-
-        got = rows.mapInArrow(run, f"_q {qtype}, child_id string, source string, parent_index int, child_index int, score double")
-        found = got if found is None else found.unionByName(got)
-    return ranked_children(found, n, qid, "bm25")

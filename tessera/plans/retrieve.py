@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import EMBED_DIM, Budget, Chunking, Retrieval
-from ..operators import chunk, contain, context, embed, fuse, lexical, vector
+from ..operators import chunk, contain, context, embed, fuse, postings, vector
 from ..sources.tables import spread, stored
 
 
@@ -35,8 +35,10 @@ def questions(benchmark: DataFrame) -> DataFrame:
     return benchmark.select(F.col("item_id").alias("qid"), F.col("text").alias("question"))
 
 
-def keyword_hits(c: Corpus, asked: DataFrame, p: Retrieval) -> DataFrame:
-    return lexical.search(lexical.fit(c.children), asked, c.children, p.candidates, p)
+def keyword_hits(c: Corpus, asked: DataFrame, p: Retrieval, shards: DataFrame | None = None, terms: DataFrame | None = None) -> DataFrame:
+    """From shards (``postings.build``) and statistics that are there, or made for these questions."""
+    shards = postings.build(c.children) if shards is None else shards
+    return postings.search(shards, postings.statistics(shards) if terms is None else terms, asked, p.candidates, p)
 
 
 def vector_hits(c: Corpus, asked: DataFrame, p: Retrieval, dim: int = EMBED_DIM) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from . import config
 from .functions import text as fn
-from .operators import answer, chunk, context, convert, embed, evaluate, fuse, index, lexical, vector
+from .operators import ann, answer, chunk, context, convert, embed, evaluate, fuse, index, lexical, vector
 from .plans import retrieve
 from .operators.store import Store
 from .sources.tables import shared_path, spread, stored
@@ -236,6 +236,14 @@ def vector_topk(spark, sf):
     return vector.top_n(v, asked, P.candidates, P.min_sim)
 
 
+def vector_ann_topk(spark, sf):
+    """OP-63, 86: the same by the approximate index, with the number of rows that each question looked at."""
+    v = _t(spark, sf, "embeddings")
+    model = ann.train(v, n=P.candidates)
+    asked = v.filter(F.col("vec_id") % 20 == 0).select(F.col("vec_id").alias("qid"), "embedding")
+    return ann.search(ann.build(v, model), model, asked, P.candidates, P.min_sim)
+
+
 def hash_vector_topk(spark, sf):
     """OP-48, 54, 63, 86: vector channel on hash vectors."""
     return retrieve.vector_hits(_corpus(spark, sf), _asked(spark, sf), P)
@@ -422,7 +430,7 @@ def full_prompts(spark, sf):
 
 ALL = [
     fingerprints, signatures, token_counts, html_strip, html_structured, text_reflow, file_capability, corpus_status, root_match, parent_chunks, child_windows, hash_embedding, embedding_cache, ledger_rows,
-    index_plan, index_vanished, index_unchanged, index_summary, replace_source, store_ledger, store_terms, bm25_terms, bm25_topk, vector_topk, hash_vector_topk, rrf_fuse, hit_rows, reason_hints, parent_hits, parent_dedupe, channel_overlap, mmr_select, lexical_rerank,
+    index_plan, index_vanished, index_unchanged, index_summary, replace_source, store_ledger, store_terms, bm25_terms, bm25_topk, vector_topk, vector_ann_topk, hash_vector_topk, rrf_fuse, hit_rows, reason_hints, parent_hits, parent_dedupe, channel_overlap, mmr_select, lexical_rerank,
     history_trim, history_render, pack_context, render_prompt, citations, support_score, echo_answer, golden_items, judged_hits, eval_metrics, eval_counts, eval_warnings, anchor_check, failure_list, ablation_metrics, policy_rates, full_prompts,
 ]
 

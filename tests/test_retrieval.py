@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera import config, queries
-from tessera.operators import answer, chunk, contain, context, embed, evaluate, fuse, index, lexical, vector
+from tessera.operators import answer, chunk, contain, context, embed, evaluate, fuse, index, lexical, postings, vector
 from tessera.operators.store import Store
 from tessera.plans import report, retrieve, trace
 from tessera.sources import database
@@ -49,16 +49,17 @@ def test_keyword_search_equals_brute_force(spark, sf, monkeypatch):
         weigh = lambda n: n * 2.5 / (n + 1.5 * (0.25 + 0.75 * sum(tf.values()) / mean))
         return sum(math.log(1 + (len(said) - df[t] + 0.5) / (df[t] + 0.5)) * weigh(tf[t]) for t in WORDS.findall(q.question.lower()) if t in tf)
 
-    fitted = lexical.fit(c.children)
+    shards = postings.build(c.children)
+    terms = postings.statistics(shards)
     want = ranked(children, asked.collect(), bm25, 5, 1e-6)
     close = lambda got: len(got) == len(want) and all(g[:3] == w[:3] and abs(g[3] - w[3]) < 3e-6 for g, w in zip(got, sorted(want), strict=True))
-    assert close(found_by(lexical.search(fitted, asked, c.children, 5)))
-    for name, value in (("QUERIES", 5), ("CHILDREN", 7), ("WEIGHTS", 40)):  # blocks and passes change nothing
-        monkeypatch.setattr(lexical, name, value)
-    assert close(found_by(lexical.search(fitted, asked, c.children, 5)))
+    assert close(found_by(postings.search(shards, terms, asked, 5)))
+    for size in (7, 64):  # shards, blocks and passes change nothing, nor where statistics come from
+        monkeypatch.setattr(postings, "WEIGHTS", 40)
+        assert close(found_by(postings.search(postings.build(c.children, shard=size), lexical.fit(c.children).terms, asked, 5)))
     none = asked.limit(1).withColumn("question", F.lit("zzzzqq ???"))
-    assert lexical.search(fitted, none, c.children, 5).count() == 0
-    assert lexical.search(fitted, asked.limit(0), c.children, 5).count() == 0
+    assert postings.search(shards, terms, none, 5).count() == 0
+    assert postings.search(shards, terms, asked.limit(0), 5).count() == 0
 
 
 def test_hash_search_equals_brute_force(spark, sf, monkeypatch):
@@ -397,5 +398,5 @@ def test_plans_prune_and_limit(spark, sf):
     plan = c.children._jdf.queryExecution().toString()
     assert "Exchange" not in plan.split("== Physical Plan ==")[1] and "n_chars" not in plan.split("ReadSchema")[1]
     asked = retrieve.questions(spark.read.parquet(f"{sf}/benchmark.parquet"))
-    assert "WindowGroupLimit" in lexical.search(lexical.fit(c.children), asked, c.children, 5)._jdf.queryExecution().toString()
+    assert "WindowGroupLimit" in retrieve.keyword_hits(c, asked, config.Retrieval())._jdf.queryExecution().toString()
     assert chunk.FENCE == "```"
