@@ -19,7 +19,9 @@ from pyspark.sql import functions as F
 #: splits at exactly these: x20 and x09 to x0D.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While a table is written: the shuffles behind it end with it, and a small one becomes a few files, not one for each core (a local disk
+#: starts a process for each file, to set its mode).
+_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false"}
 
 _own: dict[str, str] = {}
 _written: list[tuple[SparkSession, str]] = []
@@ -72,12 +74,14 @@ def _discard_all() -> None:
 @contextmanager
 def shuffles_end(spark: SparkSession):
     """Executions in here remove their shuffle files when they end: what they write replaces them."""
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
+    before = {key: spark.conf.get(key, None) for key in _WRITING}
+    for key, value in _WRITING.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.set(_CLEANUP, before)
+        for key, value in before.items():
+            spark.conf.set(key, value) if value is not None else spark.conf.unset(key)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
