@@ -171,32 +171,25 @@ def _learnable(docs: DataFrame, may_learn: Column | None, id_col: str, text_col:
 
 
 def _counted(batches):
-    """A task's texts -> one row: how many of them, and how many hold each place."""
+    """A task's texts -> one row: how many hold each place and, last, how many have a letter."""
     forget()
-    df, n = np.zeros(1 << BITS, np.int64), 0
+    df = np.zeros((1 << BITS) + 1, np.int64)
     for batch in batches:
         for t in batch.column("text"):
             found = counts(t.as_py())
             if found is not None:
-                df += found > 0
-                n += 1
-    yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64()), "df": pa.array([df.tolist()], pa.list_(pa.int64()))})
+                df[:-1] += found > 0
+                df[-1] += 1
+    yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(df)], pa.int32()), pa.array(df))], ["df"])
 
 
 def document_frequencies(rows: DataFrame) -> tuple[int, np.ndarray]:
     """Number of texts with a letter, and of those that hold each place: of all rows, added up on executors."""
-    each = rows.select("text").mapInArrow(_counted, "n long, df array<long>")
-    place = each.select("n", F.posexplode("df").alias("place", "df")).filter("df > 0").groupBy("place").agg(F.sum("df").alias("df"))
-    n = each.select("n")
-    both = place.unionByName(n.agg(F.sum("n").alias("df")).select(F.lit(-1).alias("place"), "df")).toArrow()  # 2**BITS + 1 rows at most
-    at, value = both.column("place").to_numpy(), both.column("df").to_pylist()
-    df, total = np.zeros(1 << BITS, np.int64), 0
-    for p, v in zip(at, value, strict=True):
-        if p < 0:
-            total = v or 0
-        else:
-            df[p] = v
-    return total, df
+    each = rows.select("text").mapInArrow(_counted, "df array<long>")
+    found = each.select(F.posexplode("df").alias("place", "df")).filter("df > 0").groupBy("place").agg(F.sum("df").alias("df")).toArrow()  # 2**BITS + 1 rows at most
+    df = np.zeros((1 << BITS) + 1, np.int64)
+    df[found.column("place").to_numpy()] = found.column("df").to_numpy()
+    return int(df[-1]), df[:-1]
 
 
 def sample(rows: DataFrame, languages: int, most: int = MOST, most_bytes: int = MOST_BYTES, total: int = TOTAL, least: int = LEAST) -> DataFrame:
