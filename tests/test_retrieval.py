@@ -296,12 +296,53 @@ def test_database_tables(spark):
             wrong()
     url, driver = "jdbc:derby:memory:tessera;create=true", "org.apache.derby.jdbc.EmbeddedDriver"
     rows = spark.createDataFrame([(f"c{i}", "p", f"text {i}", "[0.5, 1]", i) for i in range(9)], "child_id string, parent_id string, child_text string, embedding string, child_index int")
-    rows.write.format("jdbc").options(url=url, dbtable="child_chunk", driver=driver).save()
+    rows.write.format("jdbc").options(url=url, dbtable="child_chunk", driver=driver, createTableColumnTypes="child_id VARCHAR(64)").save()  # ids are comparable, as UUIDs are
     got = database.read(spark, url, "child_chunk", partitions=3, driver=driver)
     assert got.rdd.getNumPartitions() == 3 and sorted(r.child_id for r in got.filter("child_index > 5").collect()) == ["c6", "c7", "c8"]
     assert got.first().embedding == [0.5, 1.0]
 
 
+DERBY = [
+    "CREATE TABLE source_document (source VARCHAR(4000) PRIMARY KEY, fingerprint VARCHAR(64) NOT NULL, indexed_at TIMESTAMP)",
+    "CREATE TABLE parent_chunk (parent_id VARCHAR(64) PRIMARY KEY, parent_text CLOB NOT NULL, source VARCHAR(4000) NOT NULL REFERENCES source_document(source), heading CLOB, parent_index INT, char_len INT)",
+    "CREATE TABLE child_chunk (child_id VARCHAR(64) PRIMARY KEY, parent_id VARCHAR(64) NOT NULL REFERENCES parent_chunk(parent_id), child_text CLOB NOT NULL, embedding CLOB NOT NULL, child_index INT, char_start INT, char_end INT)",
+]
+
+
+def test_database_writes_are_one_transaction(spark):
+    url, driver = "jdbc:derby:memory:written;create=true", "org.apache.derby.jdbc.EmbeddedDriver"
+    database.initialize(spark, url, DERBY, driver=driver)
+    database.initialize(spark, url, [], driver=driver)  # what is there stays
+
+    def put(texts, gone, batch, spoil=None):
+        docs = spark.createDataFrame(list(texts.items()), "source string, text string").withColumn("label", F.lit("x")).repartition(3)
+        parents = chunk.parents(docs, label="label")
+        children = chunk.children(parents).withColumn("embedding", F.array(F.lit(0.5), F.lit(1.0)).cast("array<float>"))
+        if spoil:
+            children = children.withColumn("child_text", F.when(F.col("source") == spoil, F.raise_error(F.lit("a task fails"))).otherwise(F.col("child_text")))
+        ledger = docs.select("source", F.sha2("text", 256).alias("fingerprint"), F.current_timestamp().alias("indexed_at"))
+        return database.replace(ledger, parents, children, spark.createDataFrame([(g,) for g in gone], "source string"), url, batch, driver=driver)
+
+    def held():
+        found = database.read(spark, url, "parent_chunk", partitions=3, driver=driver)
+        children = database.read(spark, url, "child_chunk", partitions=2, driver=driver)
+        assert {r.parent_id for r in children.collect()} == {r.parent_id for r in found.collect()} and all(r.embedding == [0.5, 1.0] for r in children.collect())
+        assert {r.source for r in database.read(spark, url, "source_document", driver=driver).collect()} == {r.source for r in found.collect()}
+        return {r.source: r.parent_text for r in found.collect()}
+
+    assert put({"/a": "one", "/b": "two", "/c": "three"}, [], "batch 1")
+    assert held() == {"/a": "[x] one", "/b": "[x] two", "/c": "[x] three"}
+    with pytest.raises(Exception, match="a task fails"):
+        put({"/a": "changed", "/b": "changed"}, ["/c"], "batch 2", spoil="/b")
+    assert held() == {"/a": "[x] one", "/b": "[x] two", "/c": "[x] three"}  # nothing of it is there
+    assert put({"/a": "changed", "/d": "four"}, ["/c", "/none"], "batch 2")
+    want = {"/a": "[x] changed", "/b": "[x] two", "/d": "[x] four"}
+    assert held() == want
+    assert not put({"/a": "again"}, ["/b"], "batch 2") and held() == want  # a repeated batch
+    with database.Connection(spark, url, {"driver": driver}) as db:
+        assert not any(db.has(f"stage_{hashlib.sha256(b.encode()).hexdigest()[:12]}_gone") for b in ("batch 1", "batch 2"))
+
+
 def test_stream(spark, tmp_path):
     spark.createDataFrame([("/d/a", "alpha beta", "a")], "source string, text string, label string").write.parquet(f"{tmp_path}/in")
     store = Store(spark, f"file://{tmp_path}/store")
