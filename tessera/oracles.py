@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from . import config
-from .queries import CITED
+from .queries import BY_LANGUAGE
 
 _STRIP = r"'^[\s\x{0b}\x{85}\p{Z}]+|[\s\x{0b}\x{85}\p{Z}]+$'"
 _TOKENS = "regexp_extract_all(lower({0}), '[a-z0-9]+|[\\x{{4e00}}-\\x{{9fff}}]')"
@@ -154,9 +154,8 @@ m0 AS (SELECT *, lead(role) OVER w AS r2, lead(text) OVER w AS t2 FROM conversat
 tu0 AS (SELECT conv_id, turn, coalesce(text, '') AS question, CASE WHEN r2 = 'assistant' THEN coalesce(t2, '') ELSE '' END AS answer FROM m0 WHERE role = 'user'),
 tu AS (SELECT conv_id, turn, {_LINE} AS line FROM tu0)"""
 
-_CASES = ", ".join(f"({n}, {_q(t)})" for n, t in CITED)
 CITE = rf"""
-ci AS (SELECT * FROM (VALUES {_CASES}) AS v(case_id, text)),
+ci AS (SELECT doc_id AS case_id, left(text, 200) || ' [' || doc_id % 9 || '] and [' || (coalesce(n_chars, 0) % 5 + 1) || '-' || (coalesce(n_chars, 0) % 5 + doc_id % 4) || ', ' || doc_id % 3 || '] [' || coalesce(n_chars, 0) % 60 || '-' || coalesce(n_chars, 0) || '][1[2]]' AS text FROM documents),
 ci1 AS (SELECT case_id, regexp_extract_all(text, '\[([0-9][0-9,\- ]*)\]', 1) AS gs FROM ci),
 ci2 AS (SELECT case_id, unnest(flatten(list_transform(gs, lambda g: string_split(g, ',')))) AS part, unnest(range(0, len(flatten(list_transform(gs, lambda g: string_split(g, ',')))))) AS i FROM ci1),
 ci3 AS (SELECT case_id, i, part, trim(split_part(part, '-', 1)) AS l, trim(substr(part, instr(part, '-') + 1)) AS r, contains(part, '-') AS ranged FROM ci2),
@@ -172,12 +171,13 @@ _ECHO = f"{_q(config.ECHO_HEADER)} || chr(10) || string_agg('- ' || left({_strip
 
 def oracle_sql() -> dict[str, str]:
     w, r = "WITH ", "WITH RECURSIVE "
-    chunk_sig = "substr(sha256('parent=1200|child=300|overlap=50|min_child=60|merge=1.25'), 1, 8)"
+    by_lang = lambda get, other: "CASE lang " + " ".join(f"WHEN '{lang}' THEN {get(c)}" for lang, c in BY_LANGUAGE.items()) + f" ELSE {other} END"
+    child, overlap, least = by_lang(lambda c: c.max_child, 300), by_lang(lambda c: c.overlap, 50), by_lang(lambda c: c.min_child, 60)
     reason = "CASE WHEN lang = 'fr' THEN 'not_implemented' WHEN lang = 'es' THEN 'degraded' WHEN lang IN ('en', 'de') THEN NULL ELSE 'unsupported' END"
     kind = "CASE lang WHEN 'en' THEN 'markdown' WHEN 'de' THEN 'text' WHEN 'fr' THEN 'pdf' WHEN 'es' THEN 'html' END"
     found = {
         "fingerprints": f"SELECT doc_id, substr(sha256(text), 1, 16) AS content_hash, substr(sha256(text), 1, 16) || '.{_SIG}' AS fingerprint FROM documents",
-        "signatures": f"SELECT {chunk_sig} AS chunk_signature, substr(sha256({chunk_sig} || '|hash:1536'), 1, 8) AS index_signature",
+        "signatures": f"WITH s AS (SELECT lang, substr(sha256('parent=1200|child=' || {child} || '|overlap=' || {overlap} || '|min_child=' || {least} || '|merge=1.25'), 1, 8) AS chunk_signature FROM documents) SELECT lang, chunk_signature, substr(sha256(chunk_signature || '|hash:1536'), 1, 8) AS index_signature, count(*) AS n FROM s GROUP BY ALL",
         "token_counts": f"SELECT doc_id, CAST(len({_tok('text')}) AS BIGINT) AS n_tokens, CAST(len(list_distinct({_tok('text')})) AS BIGINT) AS n_terms, {_est('text')} AS prompt_tokens FROM documents",
         "html_strip": f"{w}{HTML} SELECT page_id, CAST(length(t) AS BIGINT) AS n_chars, md5(t) AS text_md5 FROM h",
         "html_structured": f"{w}{HTML}, {MARKDOWN} SELECT page_id, CAST(length(m) AS BIGINT) AS n_chars, md5(m) AS markdown_md5 FROM k",
@@ -210,7 +210,7 @@ def oracle_sql() -> dict[str, str]:
         "history_render": f"{w}{TURNS}, k AS (SELECT conv_id, coalesce(string_agg(line, chr(10) ORDER BY turn) FILTER (length(line) > 0), '') AS history FROM tu GROUP BY conv_id) SELECT conv_id, md5(history) AS history_md5, CASE WHEN length(history) > 0 THEN {_est('history')} ELSE 0 END AS history_tokens FROM k",
         "pack_context": f"{r}{PACKED} SELECT us.qid, used_tokens, dropped, ref, kind, parent_id, tokens FROM us LEFT JOIN bl USING (qid)",
         "render_prompt": f"{r}{PACKED}, x AS (SELECT qid, string_agg({_TITLE} || chr(10) || text, chr(10) || chr(10) ORDER BY ref) AS ctx FROM bl GROUP BY qid) SELECT q.qid, md5({_q(config.STRICT_PROMPT)} || chr(10) || chr(10) || {_q(config.CONTEXT_TITLE)} || chr(10) || coalesce(ctx, {_q(config.NO_CONTEXT)}) || chr(10) || chr(10) || {_q(config.QUESTION_TITLE)} || chr(10) || question) AS prompt_md5 FROM q LEFT JOIN x USING (qid)",
-        "citations": f"{w}{CITE} SELECT CAST(case_id AS INT) AS case_id, row_number() OVER (PARTITION BY case_id ORDER BY fa) - 1 AS pos, ref FROM ci6",
+        "citations": f"{w}{CITE} SELECT case_id AS doc_id, row_number() OVER (PARTITION BY case_id ORDER BY fa) - 1 AS pos, ref FROM ci6",
         "support_score": f"{w}{CHILDREN}, {QUESTIONS}, {VECTORS} SELECT q.qid, greatest(coalesce(max(score), 0.0), 0.0) AS support FROM q LEFT JOIN ve USING (qid) GROUP BY q.qid",
         "echo_answer": f"{r}{PACKED}, e AS (SELECT qid, {_ECHO} AS said, count(*) AS n FROM bl GROUP BY qid) SELECT q.qid, md5(coalesce(said, {_q(config.REFUSALS['no_context'])})) AS text_md5, said IS NULL AS refused, CASE WHEN said IS NULL THEN 'no_context' END AS refusal_reason, CAST(least(coalesce(n, 0), 3) AS BIGINT) AS n_refs, CAST(coalesce(n, 0) - least(coalesce(n, 0), 3) AS BIGINT) AS n_unused, coalesce(round(least(n, 3) / n, 6), 0.0) AS coverage, CAST(least(coalesce(n, 0), 3) AS BIGINT) AS n_citations FROM q LEFT JOIN e USING (qid)",
         "golden_items": f"{w}{GOLDEN} SELECT qid, answerable FROM gold",

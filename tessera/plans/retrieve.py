@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..config import EMBED_DIM, Budget, Chunking, Retrieval
+from ..config import ABLATIONS, EMBED_DIM, Budget, Chunking, Retrieval
 from ..operators import chunk, contain, context, embed, fuse, postings, vector
 from ..sources.tables import spread, stored
 
@@ -49,19 +50,32 @@ def vector_hits(c: Corpus, asked: DataFrame, p: Retrieval, dim: int = EMBED_DIM)
 def candidates(c: Corpus, asked: DataFrame, p: Retrieval) -> DataFrame:
     """Fused, one child for each parent, cut to the candidates: in this order.  A written table of a few rows a question."""
     found = vector_hits(c, asked, p)
-    if p.use_bm25:
-        found = fuse.rrf([found, keyword_hits(c, asked, p)], p.rrf_k)
+    return _best_parents(c, fuse.rrf([found, keyword_hits(c, asked, p)], p.rrf_k) if p.use_bm25 else found, p)
+
+
+def _best_parents(c: Corpus, found: DataFrame, p: Retrieval) -> DataFrame:
     return stored(fuse.cut(fuse.best_child(fuse.with_parent(found, c.children)), p.candidates), "candidates")
 
 
+def _diverse(c: Corpus, found: DataFrame, p: Retrieval, dim: int) -> DataFrame:
+    few = c.children.join(found.select("child_id").distinct(), "child_id", "left_semi")
+    return fuse.mmr(found, embed.dense(embed.hash_vectors(few, "child_id", "child_text", dim), "child_id", dim), p.top_k, p.mmr_lambda)
+
+
 def retrieve(c: Corpus, asked: DataFrame, p: Retrieval | None = None, dim: int = EMBED_DIM) -> DataFrame:
     """The top_k hits of each question."""
     p = p or Retrieval()
     found = candidates(c, asked, p)
-    if not p.use_mmr:
-        return fuse.cut(found, p.top_k)
-    few = c.children.join(found.select("child_id").distinct(), "child_id", "left_semi")
-    return fuse.mmr(found, embed.dense(embed.hash_vectors(few, "child_id", "child_text", dim), "child_id", dim), p.top_k, p.mmr_lambda)
+    return _diverse(c, found, p, dim) if p.use_mmr else fuse.cut(found, p.top_k)
+
+
+def ablated(c: Corpus, asked: DataFrame, p: Retrieval, dim: int = EMBED_DIM) -> DataFrame:
+    """The hits of all ablation runs, with ``run``: each channel searches once, and each set of candidates serves the runs with and without diversity."""
+    vectors = stored(vector_hits(c, asked, p, dim), "hits")
+    both = fuse.rrf([vectors, stored(keyword_hits(c, asked, p), "hits")], p.rrf_k)
+    sets = {with_words: _best_parents(c, both if with_words else vectors, p) for with_words in sorted({bm25 for bm25, _ in ABLATIONS.values()})}
+    runs = [(_diverse(c, sets[bm25], p, dim) if mmr else fuse.cut(sets[bm25], p.top_k)).withColumn("run", F.lit(run)) for run, (bm25, mmr) in ABLATIONS.items()]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), runs)
 
 
 def packed(c: Corpus, asked: DataFrame, p: Retrieval | None = None, b: Budget | None = None) -> DataFrame:

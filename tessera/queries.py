@@ -16,9 +16,6 @@ from .streaming import incremental
 P = config.Retrieval()
 #: The keyword channel alone, at the evaluation's depth.
 TOP = config.Retrieval(top_k=10, use_mmr=False)
-CITED = [
-    (1, "a [1] b [2][1]"), (2, "[1,2] and [1-3]"), (3, "[1, 3-5]"), (4, "reversed [5-2], long [7-99]"), (5, "[1[2]] nested"), (6, "none [x] [] [-]"), (7, "[2024] [3,,4] [ 5]"), (8, ""), (9, "[10-12,11,2]"),
-]
 
 
 def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -48,12 +45,15 @@ def fingerprints(spark, sf):
     return _t(spark, sf, "documents").select("doc_id", h.alias("content_hash"), fn.combine_fingerprint(h, F.lit(config.Settings().index_signature())).alias("fingerprint"))
 
 
+#: Chunking by language, where it isn't the default.
+BY_LANGUAGE = {"de": config.Chunking(max_child=400), "fr": config.Chunking(overlap=80, min_child=40)}
+
+
 def signatures(spark, sf):
-    """OP-18, 19: signatures of the chunking parameters and of the index."""
-    c = config.Chunking()
-    text = f"parent={c.max_parent}|child={c.max_child}|overlap={c.overlap}|min_child={c.min_child}|merge={c.merge_ratio}"
-    sig = F.substring(F.sha2(F.lit(text), 256), 1, 8)
-    return spark.range(1).select(sig.alias("chunk_signature"), F.substring(F.sha2(F.concat(sig, F.lit("|hash:1536")), 256), 1, 8).alias("index_signature"))
+    """OP-18, 19: the documents of each language with the signatures of their chunking and of their index."""
+    pick = lambda make: F.coalesce(F.element_at(F.create_map(*[F.lit(x) for lang, c in BY_LANGUAGE.items() for x in (lang, make(c))]), F.col("lang")), F.lit(make(config.Chunking())))
+    docs = _t(spark, sf, "documents").select("lang", pick(lambda c: c.signature()).alias("chunk_signature"), pick(lambda c: config.Settings(chunking=c).index_signature()).alias("index_signature"))
+    return docs.groupBy("lang", "chunk_signature", "index_signature").agg(F.count("*").alias("n"))
 
 
 def token_counts(spark, sf):
@@ -334,9 +334,11 @@ def render_prompt(spark, sf):
 
 
 def citations(spark, sf):
-    """OP-102: numbers cited in texts, in order of first appearance."""
-    rows = spark.createDataFrame(CITED, "case_id int, text string")
-    return rows.select("case_id", F.posexplode(answer.extract_citations(F.col("text"))).alias("pos", "ref")).select("case_id", F.col("pos").cast("long").alias("pos"), "ref")
+    """OP-102: numbers cited in texts, in order of first appearance: beginnings of the documents with single, listed, ranged, reversed and overlong citations."""
+    n, k = F.coalesce("n_chars", F.lit(0)), F.col("doc_id")
+    text = F.concat(F.left("text", F.lit(200)), F.lit(" ["), k % 9, F.lit("] and ["), n % 5 + 1, F.lit("-"), n % 5 + k % 4, F.lit(", "), k % 3, F.lit("] ["), n % 60, F.lit("-"), n, F.lit("][1[2]]"))
+    rows = _t(spark, sf, "documents").select("doc_id", text.alias("text"))
+    return rows.select("doc_id", F.posexplode(answer.extract_citations(F.col("text"))).alias("pos", "ref")).select("doc_id", F.col("pos").cast("long").alias("pos"), "ref")
 
 
 def support_score(spark, sf):
@@ -406,13 +408,10 @@ def failure_list(spark, sf):
 
 
 def ablation_metrics(spark, sf):
-    """OP-111: the ablation runs over one index, the run being a column."""
+    """OP-111: the ablation runs over one index and one search of each channel, the run being a column."""
     c, q, g = _corpus(spark, sf), _asked(spark, sf), _golden(spark, sf)
-    found = None
-    for run, (bm25, mmr) in config.ABLATIONS.items():
-        hits = retrieve.retrieve(c, q, config.Retrieval(top_k=10, min_sim=0.05, use_bm25=bm25, use_mmr=mmr)).withColumn("run", F.lit(run))
-        found = hits if found is None else found.unionByName(hits, allowMissingColumns=True)
-    judged = evaluate.judge(found, c.parents, g, by=("run", "qid"))
+    p = config.Retrieval(top_k=10, min_sim=0.05)
+    judged = evaluate.judge(retrieve.ablated(c, q, p), c.parents, g, by=("run", "qid"))
     runs = spark.range(1).select(F.explode(F.array(*[F.lit(r) for r in config.ABLATIONS])).alias("run"))
     return evaluate.metrics(evaluate.item_metrics(judged, g, runs), with_run=True)
 
