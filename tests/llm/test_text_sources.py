@@ -238,8 +238,6 @@ def _slow_scan(text, scanner):
             units.append((True, at, words[at : at + size], line_of[at : at + size], " ".join(words[at : at + size])))
     hits = []
     for window, begin, ws, of, said in units:
-        if not any(cue in " ".join(ws) for cue in license_scan.CUES):
-            continue
         grams = set(ws) | {f"{a} {b}" for a, b in zip(ws, ws[1:])}
         logits = bias + weights[:, sorted({place(g) for g in grams})].sum(1)
         p = np.exp(logits - logits.max())
@@ -314,3 +312,24 @@ def test_scan_passes_over_spans_that_cannot_hold_a_notice(spark):
     hits = [key(r) for r in scanner.classified(every).filter("family <> 'unknown'").collect()]
     assert len(hits) > len(notices) and all(judged[h] for h in hits)
     assert 2 * sum(judged.values()) < every.count()
+
+
+def test_scan_of_one_long_text_is_linear(spark):
+    import time
+
+    small = docs(spark, [prose(1, 400)])
+    scanner = license_scan.train(small)
+    notice = license_scan.TEMPLATES["mit"][1]
+
+    def timed(words):
+        lines = [prose(i % 50, 12) for i in range(words // 12)]
+        lines[len(lines) // 2] = notice
+        table = docs(spark, ["\n".join(lines)])
+        began = time.time()
+        got = license_scan.scan(table, scanner).collect()
+        assert (len(lines) // 2, "mit", True) in {(r.paragraph, r.family, r.confirmed) for r in got}
+        return time.time() - began
+
+    timed(5_000)
+    short, long = timed(80_000), timed(640_000)  # 0.5 and 4 MB
+    assert long < 16 * max(short, 1.0), (short, long)
