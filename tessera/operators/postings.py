@@ -8,8 +8,8 @@ written again as the corpus grows.  A term that most children hold has blocks in
 Search sends the questions' term weights to the shards, in parts of bounded size.  In a shard, the bounds of a question's blocks are summed by range, the heaviest terms first.
 Ranges whose sum is below the n-th best score so far are never opened.  In the others only the first terms, up to where what is left can't reach that score by
 itself, bring in children (MaxScore, range by range); of the remaining terms only the postings of children that can still get there are scored.
-What a task leaves is n rows a question.  A first pass over the shards
-scores only the few ranges with the greatest bounds; the n-th best of all these is what the second has to beat everywhere.
+What a task leaves is n rows a question.  First, of a few
+shards only the ranges with the greatest bounds are scored; the n-th best of all these is what has to be beaten everywhere.
 
 Document frequencies and lengths are read off the shards, so texts are cut into tokens once.
 """
@@ -35,6 +35,10 @@ from .vector import ORDER, ranked_children
 SHARD, RANGE = 4096, 4
 #: Term weights of questions that are sent to the shards in one pass.
 WEIGHTS = 2_000_000
+#: Groups that a question's terms are taken in, by falling weight.
+GROUPS = 8
+#: Shards that tell what is to be beaten.
+SEEDS = 16
 #: What separates a score from one that is equal but for the order of its sums.
 NOISE = 1e-6
 SHARDS = "child_id array<string>, source array<string>, parent_index array<int>, child_index array<int>, length array<int>, term array<string>, blocks array<int>, df array<int>, doc binary, tf binary, wide boolean, range binary, postings array<int>, block_tf array<int>, block_length array<int>"
@@ -120,8 +124,9 @@ class Postings:
         ``floor``: what the n-th best has elsewhere; without one, only the children of the ranges with the greatest bounds."""
         order = np.argsort(-weights, kind="stable")
         terms, weights = terms[order], weights[order]
-        blocks, number = _spans(self.first_block[terms], self.blocks[terms]), np.repeat(np.arange(len(terms)), self.blocks[terms])
-        ranges, n_ranges, weight = self.range[blocks], -(-self.size // RANGE), weights[number]
+        groups = min(GROUPS, len(terms))
+        blocks, number = _spans(self.first_block[terms], self.blocks[terms]), np.repeat(np.arange(len(terms)) * groups // len(terms), self.blocks[terms])
+        ranges, n_ranges, weight = self.range[blocks], -(-self.size // RANGE), np.repeat(weights, self.blocks[terms])
         bounds = weight * self.bound[blocks]
         if floor is None:
             most = np.bincount(ranges, bounds, minlength=n_ranges)
@@ -131,32 +136,28 @@ class Postings:
             acc, scored = self._added(np.zeros(self.size), blocks[here], weight[here])
             found = np.flatnonzero(acc)
             return found, acc[found], scored
-        left = np.zeros((len(terms) + 1, n_ranges))  # what the terms from each on can add, by range
-        left[:-1] = np.cumsum(np.bincount(number * n_ranges + ranges, bounds, minlength=len(terms) * n_ranges).reshape(-1, n_ranges)[::-1], 0)[::-1]
+        left = np.zeros((groups + 1, n_ranges))  # what the groups of terms from each on can add, by range
+        left[:-1] = np.cumsum(np.bincount(number * n_ranges + ranges, bounds, minlength=groups * n_ranges).reshape(-1, n_ranges)[::-1], 0)[::-1]
         opened = (left[0] > 0) & (left[0] + NOISE >= floor)
         if not opened.any():
             return np.zeros(0, np.int64), np.zeros(0), 0
-        return self._lifted(opened, terms, blocks, number, ranges, weight, left, floor)
+        return self._lifted(opened, blocks, number, ranges, weight, left, floor)
 
-    def _lifted(self, opened, terms, blocks, number, ranges, weight, left, floor) -> tuple[np.ndarray, np.ndarray, int]:
+    def _lifted(self, opened, blocks, number, ranges, weight, left, floor) -> tuple[np.ndarray, np.ndarray, int]:
         """Children of the opened ranges that can reach the floor, with their whole scores, and how many postings were scored."""
         here = opened[ranges]
         blocks, number, ranges, weight = blocks[here], number[here], ranges[here], weight[here]
         all_ranges, which = np.arange(len(opened)), np.arange(self.size) // RANGE
-        # a child that is in none of a range's first terms can't get there by the others alone
+        # a child that is in none of a range's first groups can't get there by the others alone
         first = left[number, ranges] + NOISE >= floor
         acc, scored = self._added(np.zeros(self.size), blocks[first], weight[first])
         until = (left[:-1] + NOISE >= floor).sum(0)
         alive = (acc > 0) & (acc + left[until, all_ranges][which] + NOISE >= floor)
-        blocks, number, ranges, weight = (v[~first] for v in (blocks, number, ranges, weight))
-        last = 0
-        for stop in (len(terms) * 2 // 3, len(terms)):
-            now = (number >= last) & (number < stop)
-            now &= (np.bincount(which[alive], minlength=len(opened)) > 0)[ranges]
-            acc, some = self._added(acc, blocks[now], weight[now], alive)
-            scored += some
-            alive &= acc + left[np.maximum(stop, until), all_ranges][which] + NOISE >= floor
-            last = stop
+        blocks, ranges, weight = blocks[~first], ranges[~first], weight[~first]
+        now = (np.bincount(which[alive], minlength=len(opened)) > 0)[ranges]
+        acc, some = self._added(acc, blocks[now], weight[now], alive)
+        scored += some
+        alive &= acc + NOISE >= floor
         found = np.flatnonzero(alive)
         return found, acc[found], scored
 
@@ -233,8 +234,8 @@ def search(shards: DataFrame, terms: DataFrame, queries: DataFrame, n: int, para
                 asker, place = np.nonzero(np.isfinite(tops))
                 yield pa.RecordBatch.from_arrays([pa.array(asker), pa.array(tops[asker, place])], ["q", "score"])
 
-        # what the best ranges of all shards have together is to be beaten in each
-        some = shards.mapInArrow(run, "q long, score double")
+        # what the best ranges of a few shards have together is to be beaten in all
+        some = shards.limit(SEEDS).repartition(SEEDS).mapInArrow(run, "q long, score double")
         nth = some.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score")))).filter(F.col("r") == n).select("q", "score").toArrow()  # a row for each question
         floor = np.full(len(ids), -np.inf)
         floor[nth.column("q").to_numpy()] = nth.column("score").to_numpy()

@@ -52,4 +52,4 @@ def test_few_postings_are_scored(spark):
     shards = postings.build(c.children)
     tally = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
     assert postings.search(shards, postings.statistics(shards), asked, config.Retrieval().candidates, tally=tally).count() > 0
-    assert tally[0].value < 0.2 * tally[1].value
+    assert tally[0].value < 0.22 * tally[1].value
