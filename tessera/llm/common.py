@@ -20,8 +20,11 @@ from pyspark.sql import functions as F
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 #: While a table is written: the shuffles behind it end with it, and a small one becomes a few files, not one for each core (a local disk
-#: starts a process for each file, to set its mode).
-_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false"}
+#: starts a process for each file, to set its mode); batches that go to Python are bounded in rows and bytes, as texts may be long.
+_WRITING = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20),
+}
 
 _own: dict[str, str] = {}
 _written: list[tuple[SparkSession, str]] = []
