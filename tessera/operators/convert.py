@@ -7,6 +7,7 @@ import io
 import re
 import zipfile
 from collections.abc import Iterable
+from html.entities import html5
 from html.parser import HTMLParser
 from itertools import groupby
 from operator import itemgetter
@@ -137,13 +138,26 @@ _SEMANTIC = (*_HEADS, "p", "li", "pre")
 _VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr")
 
 
+_REFERENCE = re.compile(r"&(?:#(?:[0-9]+|[xX][0-9a-fA-F]+)|[0-9A-Za-z]+);|&")
+
+
 @F.arrow_udf(T.StringType())
 def unescape(texts: pa.Array) -> pa.Array:
     return pa.array([None if t is None else html.unescape(t) if "&" in t else t for t in texts.to_pylist()], pa.string())
 
 
+@F.arrow_udf(T.StringType())
+def whole_references(texts: pa.Array) -> pa.Array:
+    """Pages in which each ``&`` that begins no known reference up to its semicolon, as in ``&amp</p>``, is escaped, so that it stays as it is."""
+    one = lambda m: m[0] if m[0].startswith("&#") or m[0][1:] in html5 else f"&amp;{m[0][1:]}"
+    return pa.array([None if t is None else _REFERENCE.sub(one, t) if "&" in t else t for t in texts.to_pylist()], pa.string())
+
+
 def strip_tags(page: Column) -> Column:
-    """Plain text of a page: noise out, block tags to line ends, other tags to blanks, entities resolved, blanks folded."""
+    """Plain text of a page: noise out, block tags to line ends, other tags to blanks, entities resolved, blanks folded.
+
+    References that lack their semicolon are resolved as browsers do; ``whole_references`` of the page leaves them.
+    """
     t = F.regexp_replace(page, rf"(?is)<({'|'.join(NOISE)})\b.*?</\1\s*>", " ")
     t = F.regexp_replace(t, rf"(?i)</?(?:{LINE_ELEMENTS})\b[^>]*>", "\n")
     t = unescape(F.regexp_replace(t, "<[^>]+>", " "))
