@@ -11,6 +11,8 @@ itself, bring in children (MaxScore, range by range); of the remaining terms onl
 What a task leaves is n rows a question.  First, of a few
 shards only the ranges with the greatest bounds are scored; the n-th best of all these is what has to be beaten everywhere.
 
+A shard has some megabytes.  So the table of them is written in row groups of a few, and a few go to Python at a time: no task holds all shards of its files.
+
 Document frequencies and lengths are read off the shards, so texts are cut into tokens once.
 """
 
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 
 from ..config import Retrieval
 from ..functions.text import tokens
-from ..sources.tables import stored
+from ..sources.tables import few_at_a_time, stored
 from .lexical import TOKEN_WORD, weighed
 from .vector import ORDER, ranked_children
 
@@ -41,10 +43,13 @@ GROUPS = 8
 SEEDS = 16
 #: What separates a score from one that is equal but for the order of its sums.
 NOISE = 1e-6
-SHARDS = "child_id array<string>, source array<string>, parent_index array<int>, child_index array<int>, length array<int>, term array<string>, blocks array<int>, df array<int>, doc binary, tf binary, wide boolean, range binary, postings array<int>, block_tf array<int>, block_length array<int>"
+#: Shards that a worker gets at a time, and bytes of a row group of them.
+AT_A_TIME, GROUP_BYTES = 2, 16 << 20
+#: ``seed``: one of the first SEEDS shards of its task; ``name``: the id of its first child.
+SHARDS = "seed boolean, name string, child_id array<string>, source array<string>, parent_index array<int>, child_index array<int>, length array<int>, term array<string>, blocks array<int>, df array<int>, doc binary, tf binary, wide boolean, range binary, postings array<int>, block_tf array<int>, block_length array<int>"
 
 
-def _shard(rows: pa.Table, word: re.Pattern) -> pa.RecordBatch:
+def _shard(rows: pa.Table, word: re.Pattern, seed: bool) -> pa.RecordBatch:
     """Children -> their shard."""
     said = [word.findall(t or "") for t in rows["_t"].to_pylist()]
     length = np.fromiter(map(len, said), np.int32, len(said))
@@ -56,7 +61,8 @@ def _shard(rows: pa.Table, word: re.Pattern) -> pa.RecordBatch:
     within = doc // RANGE
     begins = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (within[1:] != within[:-1])])) if len(doc) else np.zeros(0, np.int64)
     wide = bool(len(tf) and tf.max() > 255)
-    columns = [pa.array([rows[c].to_pylist()], pa.list_(kind)) for c, kind in (("child_id", pa.string()), ("source", pa.string()), ("parent_index", pa.int32()), ("child_index", pa.int32()))]
+    columns = [pa.array([seed]), pa.array([rows["child_id"][0].as_py()], pa.string())]
+    columns += [pa.array([rows[c].to_pylist()], pa.list_(kind)) for c, kind in (("child_id", pa.string()), ("source", pa.string()), ("parent_index", pa.int32()), ("child_index", pa.int32()))]
     ints = lambda v: pa.array([np.asarray(v, np.int32)], pa.list_(pa.int32()))
     columns += [ints(length), pa.array([list(number)], pa.list_(pa.string())), ints(np.bincount(term[begins], minlength=len(number))), ints(df)]
     columns += [pa.array([(doc % RANGE).astype(np.uint8).tobytes()]), pa.array([tf.astype(np.uint32 if wide else np.uint8).tobytes()]), pa.array([wide])]
@@ -70,20 +76,20 @@ def build(children: DataFrame, shard: int | None = None) -> DataFrame:
     rows = children.select("child_id", *ORDER, F.lower("child_text").alias("_t"))
 
     def run(batches):
-        word, kept, size = re.compile(TOKEN_WORD), [], 0
+        word, kept, size, made = re.compile(TOKEN_WORD), [], 0, 0
         for batch in (b.slice(i, most) for b in batches for i in range(0, b.num_rows, most)):
             while size + batch.num_rows >= most:
                 kept.append(batch.slice(0, most - size))
                 batch = batch.slice(most - size)
-                yield _shard(pa.Table.from_batches(kept), word)
-                kept, size = [], 0
+                yield _shard(pa.Table.from_batches(kept), word, made < SEEDS)
+                kept, size, made = [], 0, made + 1
             if batch.num_rows:
                 kept.append(batch)
                 size += batch.num_rows
         if size:
-            yield _shard(pa.Table.from_batches(kept), word)
+            yield _shard(pa.Table.from_batches(kept), word, made < SEEDS)
 
-    return stored(rows.mapInArrow(run, SHARDS), "shards")
+    return stored(rows.mapInArrow(run, SHARDS), "shards", GROUP_BYTES)
 
 
 def statistics(shards: DataFrame) -> DataFrame:
@@ -182,6 +188,9 @@ def search(shards: DataFrame, terms: DataFrame, queries: DataFrame, n: int, para
     asked = queries.select(F.col(qid).alias("_q"), F.explode(tokens(F.col(text))).alias("term")).groupBy("_q", "term").agg(F.count("*").alias("qf"))
     weights = stored(asked.join(terms, "term").select("_q", "term", (F.col("qf") * F.col("idf")).alias("w"), "avg_len"), "weights")
     passes = max(1, -(-weights.count() // WEIGHTS))
+    # only row groups with such shards are read for the seeds, and no more shards than the seeds are dealt out
+    seeds = shards.filter("seed")
+    seeds = seeds.filter(F.col("name").isin([r.name for r in seeds.select("name").limit(SEEDS).collect()]))
     qtype = queries.schema[qid].dataType.simpleString()
     found = None
     for number in range(passes):
@@ -235,12 +244,15 @@ def search(shards: DataFrame, terms: DataFrame, queries: DataFrame, n: int, para
                 yield pa.RecordBatch.from_arrays([pa.array(asker), pa.array(tops[asker, place])], ["q", "score"])
 
         # what the best ranges of a few shards have together is to be beaten in all
-        some = shards.limit(SEEDS).repartition(SEEDS).mapInArrow(run, "q long, score double")
-        nth = some.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score")))).filter(F.col("r") == n).select("q", "score").toArrow()  # a row for each question
+        some = seeds.repartition(SEEDS).mapInArrow(run, "q long, score double")
+        with few_at_a_time(spark, AT_A_TIME):
+            nth = some.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score")))).filter(F.col("r") == n).select("q", "score").toArrow()  # a row for each question
         floor = np.full(len(ids), -np.inf)
         floor[nth.column("q").to_numpy()] = nth.column("score").to_numpy()
         run = partial(run, floor=spark.sparkContext.broadcast(floor))
 
         got = shards.mapInArrow(run, f"_q {qtype}, child_id string, source string, parent_index int, child_index int, score double")
+        with few_at_a_time(spark, AT_A_TIME):
+            got = stored(got, "found")
         found = got if found is None else found.unionByName(got)
     return ranked_children(found, n, qid, "bm25")

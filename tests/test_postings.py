@@ -2,9 +2,13 @@
 
 import random
 
+import pyarrow as pa
+import pyarrow.parquet as pq
+
 from tessera import config
 from tessera.operators import lexical, postings
 from tessera.plans import retrieve
+from tessera.sources.tables import few_at_a_time, stored
 
 KIND = "child_id string, source string, parent_index int, child_index int, child_text string"
 
@@ -53,3 +57,23 @@ def test_few_postings_are_scored(spark):
     tally = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
     assert postings.search(shards, postings.statistics(shards), asked, config.Retrieval().candidates, tally=tally).count() > 0
     assert tally[0].value < 0.22 * tally[1].value
+
+
+def test_a_task_never_holds_all_shards_of_its_files(spark, monkeypatch):
+    texts = [("t%d" % i, "s", i, 0, " ".join(f"w{(i * 7 + j) % 300}" for j in range(40))) for i in range(640)]
+    children = spark.createDataFrame(texts, KIND).coalesce(1)
+    asked = spark.createDataFrame([(1, "w1 w2 w3")], "qid int, question string")
+    shards = postings.build(children)
+    want = [tuple(r) for r in postings.search(shards, postings.statistics(shards), asked, 5).collect()]
+    bounds = []
+    monkeypatch.setattr(postings, "GROUP_BYTES", 1 << 10)
+    monkeypatch.setattr(postings, "few_at_a_time", lambda session, rows: bounds.append(rows) or few_at_a_time(session, rows))
+    shards = postings.build(children, shard=16)
+    files = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in shards.inputFiles()]
+    groups = [m.row_group(i).num_rows for m in files for i in range(m.num_row_groups)]
+    assert sum(groups) == 40 and max(groups) <= 2
+    assert [tuple(r) for r in postings.search(shards, postings.statistics(shards), asked, 5).collect()] == want
+    assert len(bounds) == 2 and max(bounds) <= 4  # of the shards that tell the floor, and of all
+    with few_at_a_time(spark, 2):
+        sizes = stored(shards.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches), "n long"), "sizes")
+    assert sizes.agg({"n": "max"}).first()[0] <= 2
