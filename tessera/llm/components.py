@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, scratch, shuffles_end
+from .common import NO_MARK, discard, scratch, shuffles_end
 
 MAX_ROUNDS = 60
 
@@ -40,11 +40,11 @@ def components(links: DataFrame) -> DataFrame:
     links = links.filter("a is not null and b is not null and a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     path, before = scratch(spark, "links"), None
     with shuffles_end(spark):
-        links.distinct().write.parquet(path)
+        links.distinct().write.options(**NO_MARK).parquet(path)
     for _ in range(MAX_ROUNDS):
         old, path = path, scratch(spark, "links")
         with shuffles_end(spark):
-            _small_star(_large_star(spark.read.parquet(old))).write.parquet(path)
+            _small_star(_large_star(spark.read.parquet(old))).write.options(**NO_MARK).parquet(path)
         discard(spark, old)
         now = spark.read.parquet(path).agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import memo
+from .common import memo, trim
 from .labelled import labelled_sample
 
 BITS = 18
@@ -124,12 +124,16 @@ def train(docs: DataFrame, labels: DataFrame, may_learn: Column | None = None, l
     order = np.lexsort((got.column("label").to_numpy(), got.column("_h").to_numpy()))
     label = got.column("label").to_numpy()
     rows = [(np.asarray(got.column("place")[int(i)].values), np.asarray(got.column("value")[int(i)].values), int(label[i])) for i in order]
+    del got
     seen = {int(y) for y in label}
     if len(seen) < 2:
         weights = np.zeros((1 << BITS) + 1, np.float32)
         weights[-1] = np.log((1 + (label == 1).sum()) / (1 + (label == 0).sum())) if len(label) else 0.0
         return weights
-    return Ftrl().fit(rows)
+    weights = Ftrl().fit(rows)
+    del rows
+    trim()  # the driver goes on with other stages
+    return weights
 
 
 def score_udf(spark, weights: np.ndarray):

@@ -1,3 +1,4 @@
+import os
 import random
 
 import numpy as np
@@ -6,6 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tessera.llm import shingle_sets, simhash
+from tessera.llm.common import stored
 
 
 def test_stages_in_order(spark):
@@ -182,3 +184,10 @@ def test_a_crowd_is_linked_by_hubs(spark, monkeypatch):
     kept = {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs(spark, texts), None).collect()}
     assert kept == set(label.values())
     assert 20 < len(kept) < 300 and sum(counts) < 8 * len(set(texts))
+
+
+def test_tables_in_between_have_no_mark_of_success(spark):
+    """Each mark is two processes of the driver, which count with all of its memory while they start."""
+    table = stored(spark.range(10), "numbers")
+    folder = table.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+    assert table.count() == 10 and not os.path.exists(f"{folder}/_SUCCESS") and not os.path.exists(f"{folder}/._SUCCESS.crc")
