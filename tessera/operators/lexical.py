@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from ..sources.tables import stored
 
 #: The tokens of ``functions.text.TOKEN`` in Python's notation.
 TOKEN_WORD = "[a-z0-9]+|[\u4e00-\u9fff]"
@@ -34,6 +35,16 @@ def fit(children: DataFrame, key: str = "child_id", text: str = "child_text") ->
     return LexicalIndex(postings, weighed(df, stats))
 
 
+def statistics(children: DataFrame, text: str = "child_text") -> DataFrame:
+    """The terms of ``fit``, from one pass over the children: each adds its length to a row without a term, whose count is the number of children."""
+    cut = children.select(tokens(F.col(text)).alias("_t"))
+    each = cut.select(F.size("_t").alias("length"), F.explode(F.array_append(F.array_distinct("_t"), F.lit(None).cast("string"))).alias("term"))
+    counts = stored(each.groupBy("term").agg(F.count("*").alias("df"), F.sum("length").alias("length")), "terms")
+    n, length = F.coalesce(F.sum("df"), F.lit(0)), F.coalesce(F.sum("length"), F.lit(0))
+    stats = counts.filter("term is null").agg(n.alias("n"), (length / F.greatest(n, F.lit(1))).alias("avg_len"))
+    return weighed(counts.filter("term is not null").select("term", "df"), stats)
+
+
 def weighed(df: DataFrame, stats: DataFrame) -> DataFrame:
     """``term, df, idf, avg_len`` from document frequencies and the one row of ``n`` and ``avg_len``."""
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))

@@ -77,3 +77,18 @@ def test_a_task_never_holds_all_shards_of_its_files(spark, monkeypatch):
     with few_at_a_time(spark, 2):
         sizes = stored(shards.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches), "n long"), "sizes")
     assert sizes.agg({"n": "max"}).first()[0] <= 2
+
+
+def test_statistics_take_one_pass(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    texts = [("a", "s", 0, 0, "x y x"), ("b", "s", 1, 0, "y 漢字"), ("c", "s", 2, 0, "!?"), ("d", "s", 3, 0, None)]
+    children = spark.createDataFrame(texts, KIND)
+    got = {tuple(r) for r in lexical.statistics(children.mapInArrow(counted, KIND)).collect()}
+    assert seen.value == len(texts) and got == {tuple(r) for r in lexical.fit(children).terms.collect()} and len(got) == 4
+    assert lexical.statistics(children.limit(0)).count() == 0
