@@ -285,11 +285,15 @@ class Store:
         none, nothing = F.lit(None).cast("string").alias("term"), F.lit(0).cast("long")
         return each.select("term", "df", nothing.alias("n"), nothing.alias("length")).unionByName(totals.select(none, nothing.alias("df"), "n", "length"))
 
-    def sync(self, new_ledger: DataFrame, new_parents: DataFrame, new_children: DataFrame, gone: DataFrame) -> int:
-        """Replaces the sources of ``new_ledger`` and deletes those of ``gone``; doing it twice changes nothing."""
+    def sync(self, new_ledger: DataFrame, new_parents: DataFrame, new_children: DataFrame | Callable[[DataFrame], DataFrame], gone: DataFrame) -> int:
+        """Replaces the sources of ``new_ledger`` and deletes those of ``gone``; doing it twice changes nothing.
+
+        ``new_children``: a function makes them of the parents as they are written, so that these aren't made twice.
+        """
         folder = f"segments/{uuid.uuid4().hex}"
         written = {}
         for name, rows in (("ledger", new_ledger), ("parents", new_parents), ("children", new_children)):
+            rows = rows(self.spark.read.schema(written["parents"][1]).parquet(f"{self.path}/{folder}/parents")) if callable(rows) else rows
             written[name] = self._write(rows.sortWithinPartitions("source"), folder, name)
         ledger = self.spark.read.schema(LEDGER).parquet(f"{self.path}/{folder}/ledger")
         written["touched"] = self._write(ledger.select("source").unionByName(gone.select("source")).distinct().sortWithinPartitions("source"), folder, "touched")

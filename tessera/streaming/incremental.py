@@ -42,7 +42,7 @@ def index_batch(store: Store, docs: DataFrame, params: Chunking | None = None, i
             new = planned.filter("action = 'index'")
             parents = chunk.parents(new, label="label", params=params)
             rows = new.select("source", "fingerprint", F.current_timestamp().alias("indexed_at"))
-            store.sync(rows, parents, chunk.children(parents, params), ledger.select("source").limit(0))
+            store.sync(rows, parents, lambda written: chunk.children(written, params), ledger.select("source").limit(0))
     finally:
         planned.unpersist()
     return {"indexed": counts.get("index", 0), "skipped": counts.get("skip", 0)}

@@ -143,3 +143,21 @@ def test_without_statistics(spark, tmp_path):
 @pytest.mark.parametrize("name", ["store_ledger", "store_terms"])
 def test_merged_state_matches_sql(spark, sf, name):
     compare(spark, sf, queries.queries()[name], oracles.oracle_sql()[name])
+
+
+def test_documents_of_a_batch_are_chunked_once(spark, tmp_path, monkeypatch):
+    seen, chunked = spark.sparkContext.accumulator(0), incremental.chunk.parents
+
+    def counted(docs, **options):
+        def run(batches):
+            for batch in batches:
+                seen.add(batch.num_rows)
+                yield batch
+
+        return chunked(docs.select("source", "text", "label").mapInArrow(run, "source string, text string, label string"), **options)
+
+    monkeypatch.setattr(incremental.chunk, "parents", counted)
+    store = Store(spark, str(tmp_path / "store"))
+    docs = spark.createDataFrame([(str(i), f"words of {i}. " * 50, "") for i in range(5)], "source string, text string, label string")
+    assert incremental.index_batch(store, docs)["indexed"] == 5
+    assert seen.value == 5 and store.read("children").count() > 5 and {r.source for r in store.read("parents").collect()} == {str(i) for i in range(5)}
