@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -9,6 +12,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import hash_bucket, tokens
+from ..sources.tables import stored
+from .lexical import TOKEN_WORD
 
 #: A batch of queries of at most this many bytes is sent to every scan task.
 QUERY_BYTES = 64 << 20
@@ -17,6 +22,12 @@ QUERIES = 256
 ROWS = 1000
 #: A block of scores has at most so many bytes.
 SCORE_BYTES = 32 << 20
+#: Scores of a block that are looked at together, so what is noted of each stays in bounds.
+PIECE = 1 << 18
+#: What rounding may add to a score.
+ROUNDED = 1e-6
+#: Tokens whose buckets a worker remembers.
+REMEMBERED = 1 << 18
 #: What separates a cosine from one that is equal but for the order of its sums.
 NOISE = 1e-12
 ORDER = ("source", "parent_index", "child_index")
@@ -38,6 +49,26 @@ def _counts(column: pa.Array, dim: int) -> np.ndarray:
     return np.bincount(np.repeat(np.arange(len(size)), size) * dim + flat, minlength=len(size) * dim).reshape(len(size), dim).astype(float)
 
 
+class Buckets:
+    """The buckets of texts' tokens, as ``hash_bucket`` has them."""
+
+    def __init__(self, dim: int):
+        self.dim, self.word, self.known = dim, re.compile(TOKEN_WORD), {}
+
+    def of(self, texts: pa.Array) -> pa.Array:
+        """Lower-cased texts -> lists of buckets."""
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        known, out = self.known, []
+        for text in texts.to_pylist():
+            said = self.word.findall(text or "")
+            for token in said:
+                if token not in known:
+                    known[token] = int.from_bytes(hashlib.md5(token.encode()).digest()[:4], "big") % self.dim
+            out.append([known[token] for token in said])
+        return pa.array(out, pa.list_(pa.int32()))
+
+
 def _unit(m: np.ndarray) -> np.ndarray:
     norm = np.sqrt((m * m).sum(1, keepdims=True))
     return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
@@ -56,17 +87,32 @@ class Best:
     def __init__(self, n: int, questions: int):
         self.n, self.tops = n, np.full((n, questions), -np.inf)
 
-    def of(self, score: np.ndarray, wanted: np.ndarray, order: np.ndarray, begin: int = 0) -> tuple[np.ndarray, np.ndarray]:
-        """Rows and questions (from ``begin`` on) among the n best of the score block and of those before; ``wanted`` says which count."""
-        tops = self.tops[:, begin : begin + score.shape[1]]
-        value = np.where(wanted, score, -np.inf)
-        both = np.concatenate([tops, value])
-        tops[:] = np.partition(both, len(both) - self.n, axis=0)[len(both) - self.n :]
-        row, col = np.nonzero(wanted & (value >= tops.min(0)))
-        best = np.lexsort((order[row], -score[row, col], col))
-        row, col = row[best], col[best]
-        keep = np.arange(len(col)) - np.searchsorted(col, col) < self.n
-        return row[keep], col[keep]
+    def of(self, raw: np.ndarray, least: float | None, order: np.ndarray, begin: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows, questions (from ``begin`` on) and rounded scores among the n best of the block and of those before, from ``least`` on.
+
+        A block is passed over once, for what can still get in; all else is done with that, some PIECE scores at a time.
+        """
+        found, rows = [], max(1, PIECE // max(1, raw.shape[1]))
+        tops = self.tops[:, begin : begin + raw.shape[1]]
+        for first in range(0, len(raw), rows):
+            piece, low = raw[first : first + rows], tops.min(0, initial=np.inf)
+            row, col = np.nonzero(piece >= (low - ROUNDED if least is None else np.maximum(low - ROUNDED, least - NOISE)))
+            score = np.round(piece[row, col], 6)
+            row += first
+            best = np.flatnonzero(score >= low[col])
+            best = best[np.lexsort((order[row[best]], -score[best], col[best]))]
+            row, col, score = row[best], col[best], score[best]
+            place = np.arange(len(col)) - np.searchsorted(col, col)
+            keep = place < self.n
+            row, col, score, place = row[keep], col[keep], score[keep], place[keep]
+            asked, which = np.unique(col, return_inverse=True)
+            new = np.full((self.n, len(asked)), -np.inf)
+            new[place, which] = score
+            tops[:, asked] = np.partition(np.concatenate([tops[:, asked], new]), self.n, axis=0)[self.n :]
+            still = score >= tops.min(0, initial=np.inf)[col]
+            found.append((row[still], col[still], score[still]))
+        row, col, score = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        return row, col, score
 
 
 def ranked_children(found: DataFrame, n: int, qid: str, kind: str) -> DataFrame:
@@ -99,12 +145,9 @@ def top_n(vectors: DataFrame, queries: DataFrame, n: int, min_sim: float | None,
             best, rows_at_a_time = Best(n, len(q)), max(1, SCORE_BYTES // (8 * max(1, len(q))))
             for batch in (b.slice(i, rows_at_a_time) for b in batches for i in range(0, b.num_rows, rows_at_a_time)):
                 m = _unit(_matrix(batch.column("_v")))
-                d = max(m.shape[1], q.shape[1])
-                wide = lambda x: np.pad(x, ((0, 0), (0, d - x.shape[1])))  # noqa: B023, E731
-                raw = wide(m) @ wide(q).T
-                score, keys = np.round(raw, 6), batch.column("_k")
-                row, col = best.of(score, np.ones_like(score, bool) if min_sim is None else raw >= min_sim - NOISE, np.argsort(np.asarray(pc.array_sort_indices(keys))))
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(col)), keys.take(pa.array(row)), pa.array(score[row, col])], ["_q", "_k", "score"])
+                d, keys = min(m.shape[1], q.shape[1]), batch.column("_k")  # what one of two has more counts as zeros
+                row, col, score = best.of(m[:, :d] @ q[:, :d].T, min_sim, np.argsort(np.asarray(pc.array_sort_indices(keys))))
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(col)), keys.take(pa.array(row)), pa.array(score)], ["_q", "_k", "score"])
 
         got = rows.mapInArrow(run, f"_q {qtype}, _k {ktype}, score double")
         found = got if found is None else found.unionByName(got)
@@ -116,7 +159,7 @@ def top_n(vectors: DataFrame, queries: DataFrame, n: int, min_sim: float | None,
 def hash_top_n(children: DataFrame, queries: DataFrame, n: int, min_sim: float, dim: int, qid: str = "qid", text: str = "question") -> DataFrame:
     """The vector channel on hash vectors, straight from the texts: ``qid, rank, child_id, score, score_kind``.
 
-    Tokens become buckets in the JVM.  The questions' buckets are sent to the scan (in parts of at most QUERY_BYTES, each
+    A worker finds a token's bucket once and remembers it.  The questions' buckets are sent to the scan (in parts of at most QUERY_BYTES, each
     a pass over the children); a task counts its children's buckets into a small dense block, normalises, multiplies it with the
     questions, QUERIES at a time, and keeps n rows a question.  Ties go by source, parent and child order.
     """
@@ -126,7 +169,8 @@ def hash_top_n(children: DataFrame, queries: DataFrame, n: int, min_sim: float,
     size = asked.agg(F.sum(F.size("_b") * 4 + 16)).first()[0] or 0
     passes = max(1, -(-size // QUERY_BYTES))
     qtype = asked.schema["_q"].dataType.simpleString()
-    rows = children.select("child_id", *ORDER, buckets(F.col("child_text")).alias("_b"))
+    rows = children.select("child_id", *ORDER, F.lower("child_text").alias("_t"))
+    rows = stored(rows, "children") if passes > 1 else rows
     found = None
     for number in range(passes):
         part = asked.filter(F.pmod(F.xxhash64("_q"), F.lit(passes)) == number).toArrow()
@@ -136,14 +180,13 @@ def hash_top_n(children: DataFrame, queries: DataFrame, n: int, min_sim: float,
             ids, asked = sent.value
             best = Best(n, len(ids))
             blocks = [(i, _unit(_counts(asked.slice(i, QUERIES), dim)).T) for i in range(0, len(ids), QUERIES)] if len(ids) <= 8 * QUERIES else None
+            bucket = Buckets(dim)
             for batch in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
-                m, order = _unit(_counts(batch.column("_b"), dim)), in_order(batch)
+                m, order = _unit(_counts(bucket.of(batch.column("_t")), dim)), in_order(batch)
                 for begin, q in blocks or ((i, _unit(_counts(asked.slice(i, QUERIES), dim)).T) for i in range(0, len(ids), QUERIES)):
-                    raw = m @ q
-                    score = np.round(raw, 6)
-                    row, col = best.of(score, raw >= min_sim - NOISE, order, begin)
+                    row, col, score = best.of(m @ q, min_sim, order, begin)
                     take = pa.array(row)
-                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(begin + col)), *(batch.column(c).take(take) for c in ("child_id", *ORDER)), pa.array(score[row, col])], ["_q", "child_id", *ORDER, "score"])
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(begin + col)), *(batch.column(c).take(take) for c in ("child_id", *ORDER)), pa.array(score)], ["_q", "child_id", *ORDER, "score"])
 
         got = rows.mapInArrow(run, f"_q {qtype}, child_id string, source string, parent_index int, child_index int, score double")
         found = got if found is None else found.unionByName(got)
