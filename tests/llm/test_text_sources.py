@@ -296,6 +296,17 @@ def test_scan_judges_paragraphs_whatever_their_words(spark):
     assert license_scan.units_of(table).select("_id").distinct().count() == len(texts)
 
 
+def test_model_and_threshold_come_from_every_paragraph(spark):
+    texts = [prose(i, 12) for i in range(1000)]
+    last = [r.doc_id for r in docs(spark, texts).orderBy(F.xxhash64("doc_id").desc()).limit(10).collect()]
+    changed = [t + " software" if i in last else t for i, t in enumerate(texts)]
+    a, b = (license_scan.train(docs(spark, ts)).model.coefficientMatrix.toArray() for ts in (texts, changed))
+    assert abs(a - b).max() > 1e-5
+    judged = spark.createDataFrame([(p,) for p in [0.1] * 95 + [0.7, 0.8, 0.8, 0.9, 0.95]], "_best double")
+    passing = lambda least: judged.filter(F.col("_best") >= least).count()
+    assert passing(license_scan._calibrated(judged)) == 1 and license_scan._calibrated(judged.filter("_best < 0.5")) == license_scan.LEAST
+
+
 def test_scan_passes_over_spans_that_cannot_hold_a_notice(spark):
     notices = [t for ts in license_scan.TEMPLATES.values() for t in ts]
     given_texts = [r["text"] for r in given("/root/testdata/sf0.01", "documents")][: 2 * len(notices)]
