@@ -31,7 +31,7 @@ from ..config import Retrieval
 from ..functions.text import tokens
 from ..sources.tables import few_at_a_time, stored
 from .lexical import TOKEN_WORD, weighed
-from .vector import ORDER, ranked_children
+from .vector import ORDER, ROWS, Buckets, hash_search, in_order, ranked_children
 
 #: Children of a shard, at most 2**16, and of a range, at most 2**8.
 SHARD, RANGE = 4096, 4
@@ -100,6 +100,42 @@ def statistics(shards: DataFrame) -> DataFrame:
     return weighed(df, stats)
 
 
+def _counted(dim: int):
+    """Batches of shards -> blocks of at most ROWS children for ``vector.hash_search``: a bucket's count is the sum of its terms' frequencies."""
+
+    def run(batches):
+        bucket = Buckets(dim)
+        for batch in batches:
+            for r in range(batch.num_rows):
+                row = {name: batch.column(name)[r] for name in batch.schema.names}
+                ints = lambda name: row[name].values.to_numpy()  # noqa: B023, E731
+                terms, postings = row["term"].values.to_pylist(), ints("postings")
+                known = bucket.find(terms)
+                places = np.fromiter((known[t] for t in terms), np.int64, len(terms))
+                doc = np.repeat(np.frombuffer(row["range"].as_py(), np.uint16) * RANGE, postings) + np.frombuffer(row["doc"].as_py(), np.uint8)
+                place = np.repeat(np.repeat(places, ints("blocks")), postings)
+                tf = np.frombuffer(row["tf"].as_py(), np.uint32 if row["wide"].as_py() else np.uint8)
+                by_doc = np.argsort(doc, kind="stable")
+                doc, place, tf = doc[by_doc].astype(np.int64), place[by_doc], tf[by_doc]
+                keys = pa.RecordBatch.from_arrays([row[c].values for c in ("child_id", *ORDER)], ["child_id", *ORDER])
+                order = in_order(keys)
+                for first in range(0, keys.num_rows, ROWS):
+                    some = keys.slice(first, ROWS)
+                    a, b = np.searchsorted(doc, [first, first + some.num_rows])
+                    counts = np.bincount((doc[a:b] - first) * dim + place[a:b], tf[a:b], some.num_rows * dim)
+                    yield counts.reshape(some.num_rows, dim), order[first : first + some.num_rows], some
+
+    return run
+
+
+def hash_top_n(shards: DataFrame, queries: DataFrame, n: int, min_sim: float, dim: int, qid: str = "qid", text: str = "question") -> DataFrame:
+    """``vector.hash_top_n`` of the children in the shards: their tokens are counted there, so no text is read or cut into tokens again."""
+    rows = shards.select("child_id", *ORDER, "term", "blocks", "doc", "tf", "wide", "range", "postings")
+    with few_at_a_time(shards.sparkSession, AT_A_TIME):
+        found = stored(hash_search(rows, _counted(dim), queries, n, min_sim, dim, qid, text, written=True), "found")
+    return ranked_children(found, n, qid, "cosine")
+
+
 def _spans(first: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The numbers of several spans, one after another."""
     return np.arange(int(size.sum())) + np.repeat(first - (np.cumsum(size) - size), size)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,8 @@ SCORE_BYTES = 32 << 20
 PIECE = 1 << 18
 #: What rounding may add to a score.
 ROUNDED = 1e-6
+#: What single precision may add to a cosine of vectors without negative entries, for each dimension: twice what a rounding of 1 may.
+ROUGH = 2.0**-23
 #: Tokens whose buckets a worker remembers.
 REMEMBERED = 1 << 18
 #: What separates a cosine from one that is equal but for the order of its sums.
@@ -55,18 +58,21 @@ class Buckets:
     def __init__(self, dim: int):
         self.dim, self.word, self.known = dim, re.compile(TOKEN_WORD), {}
 
-    def of(self, texts: pa.Array) -> pa.Array:
-        """Lower-cased texts -> lists of buckets."""
+    def find(self, tokens) -> dict[str, int]:
+        """What is remembered, these tokens among it."""
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        known, out = self.known, []
-        for text in texts.to_pylist():
-            said = self.word.findall(text or "")
-            for token in said:
-                if token not in known:
-                    known[token] = int.from_bytes(hashlib.md5(token.encode()).digest()[:4], "big") % self.dim
-            out.append([known[token] for token in said])
-        return pa.array(out, pa.list_(pa.int32()))
+        known = self.known
+        for token in tokens:
+            if token not in known:
+                known[token] = int.from_bytes(hashlib.md5(token.encode()).digest()[:4], "big") % self.dim
+        return known
+
+    def of(self, texts: pa.Array) -> pa.Array:
+        """Lower-cased texts -> lists of buckets."""
+        said = [self.word.findall(text or "") for text in texts.to_pylist()]
+        known = self.find(token for tokens in said for token in tokens)
+        return pa.array([[known[token] for token in tokens] for tokens in said], pa.list_(pa.int32()))
 
 
 def _unit(m: np.ndarray) -> np.ndarray:
@@ -163,14 +169,30 @@ def hash_top_n(children: DataFrame, queries: DataFrame, n: int, min_sim: float,
     a pass over the children); a task counts its children's buckets into a small dense block, normalises, multiplies it with the
     questions, QUERIES at a time, and keeps n rows a question.  Ties go by source, parent and child order.
     """
-    spark = children.sparkSession
+    rows = children.select("child_id", *ORDER, F.lower("child_text").alias("_t"))
+
+    def counted(batches):
+        bucket = Buckets(dim)
+        for batch in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
+            yield _counts(bucket.of(batch.column("_t")), dim), in_order(batch), batch
+
+    return ranked_children(hash_search(rows, counted, queries, n, min_sim, dim, qid, text), n, qid, "cosine")
+
+
+def hash_search(rows: DataFrame, counted: Callable, queries: DataFrame, n: int, min_sim: float, dim: int, qid: str, text: str, written: bool = False) -> DataFrame:
+    """What the tasks leave of ``hash_top_n``: ``_q, child_id, source, parent_index, child_index, score``.
+
+    Children are scored in single precision first; those that may be among the best of a question, for all that rounding can do, in double.
+    ``counted`` makes of a task's batches of ``rows`` small blocks: counts by child and bucket, places in the order of ties, and the children's ids and order
+    columns. ``written``: ``rows`` is a table, so several passes needn't make it again.
+    """
+    spark = rows.sparkSession
     buckets = lambda c: F.transform(tokens(c), lambda t: hash_bucket(t, dim))
     asked = queries.select(F.col(qid).alias("_q"), buckets(F.col(text)).alias("_b")).filter("_q is not null")
     size = asked.agg(F.sum(F.size("_b") * 4 + 16)).first()[0] or 0
     passes = max(1, -(-size // QUERY_BYTES))
     qtype = asked.schema["_q"].dataType.simpleString()
-    rows = children.select("child_id", *ORDER, F.lower("child_text").alias("_t"))
-    rows = stored(rows, "children") if passes > 1 else rows
+    rows = stored(rows, "children") if passes > 1 and not written else rows
     found = None
     for number in range(passes):
         part = asked.filter(F.pmod(F.xxhash64("_q"), F.lit(passes)) == number).toArrow()
@@ -180,14 +202,19 @@ def hash_top_n(children: DataFrame, queries: DataFrame, n: int, min_sim: float,
             ids, asked = sent.value
             best = Best(n, len(ids))
             blocks = [(i, _unit(_counts(asked.slice(i, QUERIES), dim)).T) for i in range(0, len(ids), QUERIES)] if len(ids) <= 8 * QUERIES else None
-            bucket = Buckets(dim)
-            for batch in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
-                m, order = _unit(_counts(bucket.of(batch.column("_t")), dim)), in_order(batch)
+            for counts, order, keys in counted(batches):
+                rough, length = counts.astype(np.float32), np.sqrt(np.einsum("ij,ij->i", counts, counts)).astype(np.float32)[:, None]
+                length[length == 0] = 1
                 for begin, q in blocks or ((i, _unit(_counts(asked.slice(i, QUERIES), dim)).T) for i in range(0, len(ids), QUERIES)):
-                    row, col, score = best.of(m @ q, min_sim, order, begin)
-                    take = pa.array(row)
-                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(begin + col)), *(batch.column(c).take(take) for c in ("child_id", *ORDER)), pa.array(score)], ["_q", "child_id", *ORDER, "score"])
+                    low = best.tops[:, begin : begin + q.shape[1]].min(0, initial=np.inf)
+                    floor = (low if min_sim is None else np.maximum(low, min_sim)) - (dim + 8) * ROUGH
+                    near = np.flatnonzero((rough @ q.astype(np.float32) / length >= floor.astype(np.float32)).any(1))
+                    if not len(near):
+                        continue
+                    row, col, score = best.of(_unit(counts[near]) @ q, min_sim, order[near], begin)
+                    take = pa.array(near[row])
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(begin + col)), *(keys.column(c).take(take) for c in ("child_id", *ORDER)), pa.array(score)], ["_q", "child_id", *ORDER, "score"])
 
         got = rows.mapInArrow(run, f"_q {qtype}, child_id string, source string, parent_index int, child_index int, score double")
         found = got if found is None else found.unionByName(got)
-    return ranked_children(found, n, qid, "cosine")
+    return found

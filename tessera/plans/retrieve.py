@@ -49,8 +49,13 @@ def vector_hits(c: Corpus, asked: DataFrame, p: Retrieval, dim: int = EMBED_DIM)
 
 def candidates(c: Corpus, asked: DataFrame, p: Retrieval) -> DataFrame:
     """Fused, one child for each parent, cut to the candidates: in this order.  A written table of a few rows a question."""
-    found = vector_hits(c, asked, p)
-    return _best_parents(c, fuse.rrf([found, keyword_hits(c, asked, p)], p.rrf_k) if p.use_bm25 else found, p)
+    return _best_parents(c, fuse.rrf(list(both_channels(c, asked, p)), p.rrf_k) if p.use_bm25 else vector_hits(c, asked, p), p)
+
+
+def both_channels(c: Corpus, asked: DataFrame, p: Retrieval, dim: int = EMBED_DIM) -> tuple[DataFrame, DataFrame]:
+    """The hits of the vector and of the keyword channel, from the same shards: children are cut into tokens once."""
+    shards = postings.build(c.children)
+    return postings.hash_top_n(shards, asked, p.candidates, p.min_sim, dim), keyword_hits(c, asked, p, shards)
 
 
 def _best_parents(c: Corpus, found: DataFrame, p: Retrieval) -> DataFrame:
@@ -71,8 +76,8 @@ def retrieve(c: Corpus, asked: DataFrame, p: Retrieval | None = None, dim: int =
 
 def ablated(c: Corpus, asked: DataFrame, p: Retrieval, dim: int = EMBED_DIM) -> DataFrame:
     """The hits of all ablation runs, with ``run``: each channel searches once, and each set of candidates serves the runs with and without diversity."""
-    vectors = stored(vector_hits(c, asked, p, dim), "hits")
-    both = fuse.rrf([vectors, stored(keyword_hits(c, asked, p), "hits")], p.rrf_k)
+    vectors, words = (stored(hits, "hits") for hits in both_channels(c, asked, p, dim))
+    both = fuse.rrf([vectors, words], p.rrf_k)
     sets = {with_words: _best_parents(c, both if with_words else vectors, p) for with_words in sorted({bm25 for bm25, _ in ABLATIONS.values()})}
     runs = [(_diverse(c, sets[bm25], p, dim) if mmr else fuse.cut(sets[bm25], p.top_k)).withColumn("run", F.lit(run)) for run, (bm25, mmr) in ABLATIONS.items()]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), runs)

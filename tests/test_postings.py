@@ -6,7 +6,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 
 from tessera import config
-from tessera.operators import lexical, postings
+from tessera.operators import lexical, postings, vector
 from tessera.plans import retrieve
 from tessera.sources.tables import few_at_a_time, stored
 
@@ -92,3 +92,21 @@ def test_statistics_take_one_pass(spark):
     got = {tuple(r) for r in lexical.statistics(children.mapInArrow(counted, KIND)).collect()}
     assert seen.value == len(texts) and got == {tuple(r) for r in lexical.fit(children).terms.collect()} and len(got) == 4
     assert lexical.statistics(children.limit(0)).count() == 0
+
+
+def test_the_vector_channel_counts_tokens_in_the_shards(spark):
+    rng = random.Random(8)
+    texts = [" ".join(rng.choices([f"w{i}" for i in range(90)], k=rng.randrange(30))) for _ in range(700)] + ["", None, "same " * 700, "w1 " * 300 + "w2"]
+    children = spark.createDataFrame([(f"c{i}", f"s{i % 7}", i, 0, t) for i, t in enumerate(texts)], KIND).repartition(3)
+    asked = spark.createDataFrame([(i, " ".join(rng.choices([f"w{i}" for i in range(95)], k=9))) for i in range(20)] + [(90, "same"), (91, ""), (92, None)], "qid int, question string")
+    shards = postings.build(children, shard=64)
+    for dim, least in ((16, 0.35), (1536, 0.2), (16, 0.0)):
+        want = {tuple(r) for r in vector.hash_top_n(children, asked, 5, least, dim).collect()}
+        assert {tuple(r) for r in postings.hash_top_n(shards, asked, 5, least, dim).collect()} == want
+    # both channels from one table of shards: the texts are read once, to make it
+    p = config.Retrieval(min_sim=0.2)
+    corpus = retrieve.Corpus(None, stored(children, "children"))
+    found, words = retrieve.both_channels(corpus, asked, p)
+    assert {tuple(r) for r in found.collect()} == {tuple(r) for r in retrieve.vector_hits(corpus, asked, p).collect()}
+    assert {tuple(r) for r in words.collect()} == {tuple(r) for r in retrieve.keyword_hits(corpus, asked, p).collect()}
+    assert postings.hash_top_n(postings.build(children.limit(0)), asked, 5, 0.35, 16).count() == 0
